@@ -76,9 +76,9 @@ class Raw:
         if isinstance(dtype, T.VariantType):
             return cls.of_variant(c)
         if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
-            return cls(present, text=c, is_text=yes, printed=c, variant=F.to_variant_object(F.struct(c.alias("v"))))
+            return cls(present, text=c, is_text=yes, printed=c, variant=c.cast("variant"))
         if isinstance(dtype, T.BooleanType):
-            return cls(present, flag=c, is_flag=yes, printed=c.cast("string"))
+            return cls(present, flag=c, is_flag=yes, printed=c.cast("string"), variant=c.cast("variant"))
         if isinstance(dtype, T.NumericType):
             fractional = isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType)
             printed = c.cast("string")
@@ -93,13 +93,14 @@ class Raw:
                 real=c.try_cast("double"),
                 is_number=yes,
                 printed=printed,
+                variant=c.cast("variant"),
             )
         if isinstance(dtype, T.TimestampType):
             return cls(present, instant=c, printed=render_instant(c, "yyyy-MM-dd HH:mm:ss.SSSSSS", zone))
         if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
             wall = c.cast("timestamp_ntz")
             return cls(present, instant=wall_to_instant(wall, zone), printed=c.cast("string"))
-        return cls(present, printed=F.to_json(c))
+        return cls(present, printed=F.to_json(c), variant=F.to_variant_object(c))
 
     def choose(self, *cases: tuple[Column | None, Column]) -> Column:
         """First case whose test holds; cases with an impossible test are left out."""
