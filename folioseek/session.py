@@ -29,10 +29,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder, so that a lost executor costs no rerun."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    The lineage ends there: a lost executor costs no rerun of what came before, and values
+    that depend on the partitioning are fixed.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:
