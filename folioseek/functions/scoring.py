@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # The usual BM25 parameters.
 K1 = 1.2
 B = 0.75
+# Scores are kept to this many digits: sums of doubles depend on their order in the last
+# bits, which would shuffle equal documents from run to run.
+DIGITS = 9
 
 
 def idf(n_docs: Column, df: Column) -> Column:

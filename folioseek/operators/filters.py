@@ -106,16 +106,11 @@ def _field_predicate(f: Filter, field: Field, zone: str, combine: str) -> Column
     if not groups:
         return None
     live = [_any(u for u, _ in g) for g in groups]
-    hit = [_any(u & F.coalesce(p, F.lit(False)) if _needs_guard(field) else u & p for u, p in g) for g in groups]
+    hit = [_any(u & p for u, p in g) for g in groups]
+    # A NULL comparison counts as no match, so nothing hides the comparisons from the scan.
     if combine == "or":
-        return F.coalesce(~_any(live) | (stored.isNotNull() & _any(hit)), F.lit(False))
-    return F.coalesce(
-        ~_any(live) | (stored.isNotNull() & _all(~u | h for u, h in zip(live, hit))), F.lit(False)
-    )
-
-
-def _needs_guard(field: Field) -> bool:
-    return field.type in JSON
+        return ~_any(live) | (stored.isNotNull() & _any(hit))
+    return ~_any(live) | (stored.isNotNull() & _all(~u | h for u, h in zip(live, hit)))
 
 
 def predicate(filters: Sequence[Filter], spec: IndexSpec, combine: str = "and") -> Column | None:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the largest proximity that is kept.
 MAX_PROXIMITY = 2
@@ -26,7 +27,7 @@ def _least_spread(chain) -> float:
     return cost.min()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _spread(chains: pd.Series) -> pd.Series:
     return chains.map(_least_spread).astype("float64")
 

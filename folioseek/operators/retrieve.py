@@ -180,7 +180,7 @@ def evaluate(hits: DataFrame, avg_dl: Column) -> DataFrame:
         F.count_if("is_not").alias("hit_not"),
         F.max("n_must").alias("n_must"),
         F.max("n_positive").alias("n_positive"),
-        F.coalesce(F.sum(F.when(positive, share)), F.lit(0.0)).alias("score"),
+        F.round(F.coalesce(F.sum(F.when(positive, share)), F.lit(0.0)), scoring.DIGITS).alias("score"),
     )
 
 

@@ -41,12 +41,13 @@ class Collection:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
-    def _committed(self, after: int) -> list[int]:
+    def _committed(self, after: int, before: int | None = None) -> list[int]:
         """Numbers of the finished batches that no snapshot covers yet."""
         if not self._exists(self._at("log", "summary")):
             return []
         rows = self.spark.read.parquet(self._at("log", "summary")).select("batch").distinct().collect()
-        return sorted(int(r.batch) for r in rows if int(r.batch) > after)
+        numbers = (int(r.batch) for r in rows)
+        return sorted(n for n in numbers if n > after and (before is None or n < before))
 
     def _log(self, table: str, batches: list[int]) -> DataFrame:
         paths = [self._at("log", table, f"batch={b}") for b in batches]
@@ -66,8 +67,18 @@ class Collection:
 
     # -- writes -----------------------------------------------------------------------
 
+    def _folded(self, batch: int) -> bool:
+        """Whether a snapshot already holds this batch: then running it again is a no-op.
+
+        Batch numbers therefore have to rise.
+        """
+        snap = self._snapshot()
+        return snap is not None and batch <= snap[1]
+
     def append(self, docs: DataFrame, batch: int) -> None:
         """Add documents from a reader; an id that exists is replaced."""
+        if self._folded(batch):
+            return
         typed = typed_read(docs, self.spec).withColumn("op", F.lit(mutate.UPSERT))
         rows = self._write_rows(typed, batch)
         winners = mutate.latest(accepted(rows).select("docid", "seq", "op", "doc"))
@@ -75,8 +86,11 @@ class Collection:
 
     def update(self, docs: DataFrame, batch: int) -> None:
         """Overlay the given fields on existing documents; unknown ids become error rows."""
+        if self._folded(batch):
+            return
+        stored = self.docs(before=batch)
         typed = typed_read(docs, self.spec).withColumn("op", F.lit(mutate.UPSERT))
-        known = self.docs().select("docid", F.lit(True).alias("known"))
+        known = stored.select("docid", F.lit(True).alias("known"))
         typed = typed.join(known, "docid", "left")
         absent = F.col("error").isNull() & F.col("known").isNull()
         typed = typed.select(
@@ -88,11 +102,13 @@ class Collection:
             "op",
         )
         rows = self._write_rows(typed, batch)
-        changed = mutate.partial_update(accepted(rows), self.docs(), self.spec)
+        changed = mutate.partial_update(accepted(rows), stored, self.spec)
         self._write_batch(changed.select("docid", F.lit(mutate.UPSERT).alias("op"), "doc"), rows, batch)
 
     def delete(self, ids: DataFrame, batch: int) -> None:
         """Drop documents by id (first column of ``ids``); unknown ids are ignored."""
+        if self._folded(batch):
+            return
         gone = mutate.delete_rows(ids, self.spec)
         no_seq = F.lit(None).cast("struct<at:bigint,source:string,block:bigint,pos:bigint>")
         none = F.lit(None).cast("string")
@@ -142,10 +158,10 @@ class Collection:
         """Last version of each document changed since the snapshot."""
         return mutate.latest(self._log("docs", batches), order="batch")
 
-    def docs(self) -> DataFrame:
-        """Current documents ``(docid, doc, dl)``."""
+    def docs(self, before: int | None = None) -> DataFrame:
+        """Current documents ``(docid, doc, dl)``, or those before a batch."""
         snap = self._snapshot()
-        batches = self._committed(snap[1] if snap else -1)
+        batches = self._committed(snap[1] if snap else -1, before)
         parts = []
         if batches:
             delta = self._delta(batches)

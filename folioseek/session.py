@@ -59,3 +59,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if estimated_bytes(df) < cores * split:
         return df.repartition(cores, *keys)
     return df
+
+
+def local_session(cores: str = "8", partitions: int = 8, memory: str = "16g") -> SparkSession:
+    """A local session for tests and trials; on a cluster use the one it provides."""
+    spark = (
+        SparkSession.builder.master(f"local[{cores}]")
+        .appName("folioseek")
+        .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", memory)
+        .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.sql.session.timeZone", "UTC")
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
