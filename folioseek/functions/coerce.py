@@ -51,11 +51,11 @@ class Raw:
     variant: Column | None = None
 
     @classmethod
-    def of_variant(cls, v: Column) -> Raw:
-        kind = F.schema_of_variant(v)
+    def of_variant(cls, v: Column, kind: Column | None = None) -> Raw:
+        kind = F.schema_of_variant(v) if kind is None else kind
         return cls(
             present=v.isNotNull(),
-            null=F.is_variant_null(v),
+            null=kind == "VOID",
             text=F.try_variant_get(v, "$", "string"),
             is_text=kind == "STRING",
             whole=F.try_variant_get(v, "$", "bigint"),
@@ -282,6 +282,24 @@ def convert(raw: Raw, field: Field, zone: str) -> Column:
     return raw.variant
 
 
+def cannot_fail(dtype: T.DataType, field: Field) -> bool:
+    """Whether every non-NULL value of a column type converts to the declared type.
+
+    Such fields need no test, so a scan that does not ask for them need not read them.
+    """
+    if field.type in STRINGS or field.type == "json":
+        return not isinstance(dtype, T.VariantType) or field.type == "json"
+    if isinstance(dtype, T.BooleanType):
+        return field.type in BOOLS
+    if isinstance(dtype, T.IntegralType):
+        return field.type in FLOATS or field.type in BOOLS or field.data_type == T.LongType() and field.type in SIGNED
+    if isinstance(dtype, T.NumericType):
+        return field.type in FLOATS or field.type in BOOLS
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return field.type in ("date", "datetime", "time")
+    return False
+
+
 def render(value: Column, field: Field, zone: str) -> Column:
     """A stored value as it is shown: time types by their pattern, the rest as is."""
     if field.type in ("date", "datetime"):

@@ -1,7 +1,7 @@
 """Positional postings, built row by row.
 
 A document is one row, so its equal tokens are merged inside the row: sort the
-``(scope, token, position)`` entries, cut them into runs, explode the runs.  The build
+``(token, position)`` entries, cut them into runs, explode the runs.  The build
 is therefore one narrow pass over the documents.  Grouping exploded tokens would shuffle
 every token of the corpus only to bring together what already lies together.
 
@@ -38,35 +38,45 @@ def field_tokens(doc: Column, field: Field) -> Column:
     return text.tokens(field_text(doc[field.name], field), field.tokenizer)
 
 
-def _entries(tokens: Column, scope: str, start: Column) -> Column:
+def _entries(tokens: Column, field: int, start: Column) -> Column:
+    """One entry per token; ``n``, the field's token count, leads to the scoped position."""
+    n = F.size(tokens)
     return F.transform(
         tokens,
         lambda t, i: F.struct(
-            F.lit(scope).alias("scope"), t.alias("token"), (start + i).cast("int").alias("pos")
+            t.alias("token"),
+            (start + i).cast("int").alias("pos"),
+            F.lit(field).alias("field"),
+            n.alias("n"),
         ),
     )
 
 
-def _runs(entries: Column) -> Column:
-    """Sorted entries -> one struct per (scope, token) with its positions in order."""
+def _runs(entries: Column, by_field: bool, names: list[str]) -> Column:
+    """Sorted entries -> one struct per token (and field) with its positions in order."""
     n = F.size(entries)
     at = F.get
-    starts = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (i == 0)
-        | (at(entries, i)["token"] != at(entries, i - 1)["token"])
-        | (at(entries, i)["scope"] != at(entries, i - 1)["scope"]),
-    )
+
+    def differs(i: Column, part: str) -> Column:
+        return at(entries, i)[part] != at(entries, i - 1)[part]
+
+    def begins(i: Column) -> Column:
+        new = (i == 0) | differs(i, "token")
+        return new | differs(i, "field") if by_field and len(names) > 1 else new
+
+    def run(first: Column, end: Column) -> Column:
+        members = F.slice(entries, first + 1, end - first)
+        head = at(entries, first)
+        if by_field:
+            scope = at(F.array(*[F.lit(x) for x in names]), head["field"])
+            positions = F.transform(members, lambda e: e["pos"] + e["n"])
+        else:
+            scope, positions = F.lit(GLOBAL), members["pos"]
+        return F.struct(scope.alias("scope"), head["token"].alias("token"), positions.alias("positions"))
+
     return let(
-        starts,
-        lambda s: F.transform(
-            s,
-            lambda first, k: F.struct(
-                at(entries, first)["scope"].alias("scope"),
-                at(entries, first)["token"].alias("token"),
-                F.slice(entries, first + 1, F.coalesce(at(s, k + 1), n) - first)["pos"].alias("positions"),
-            ),
-        ),
+        F.filter(F.sequence(F.lit(0), n - 1), begins),
+        lambda s: F.transform(s, lambda first, k: run(first, F.coalesce(at(s, k + 1), n))),
     )
 
 
@@ -94,16 +104,24 @@ def postings(docs: DataFrame, spec: IndexSpec, scopes: str = "both") -> DataFram
     fields = [f for f in spec.fields if f.has_text]
     rows = analysed(docs, spec).filter(F.col("dl") > 0)
     kept = [c for c in docs.columns if c != "doc"]
-    start: Column = F.lit(0)
-    parts: list[Column] = []
-    for i, f in enumerate(fields):
-        n = F.size(f"t{i}")
-        if scopes in ("both", "global"):
-            parts.append(_entries(F.col(f"t{i}"), GLOBAL, start))
-        if scopes in ("both", "field"):
-            parts.append(_entries(F.col(f"t{i}"), f.name, start + n))
-        start = start + F.when(n > 0, 2 * n + FIELD_GAP).otherwise(0)
-    merged = let(F.sort_array(F.concat(*parts)), _runs)
+    if not fields:  # nothing to analyse: no postings
+        merged = F.array().cast("array<struct<scope:string,token:string,positions:array<int>>>")
+    else:
+        start: Column = F.lit(0)
+        parts: list[Column] = []
+        for i in range(len(fields)):
+            n = F.size(f"t{i}")
+            parts.append(_entries(F.col(f"t{i}"), i, start))
+            start = start + F.when(n > 0, 2 * n + FIELD_GAP).otherwise(0)
+        names = [f.name for f in fields]
+
+        def both(entries: Column) -> Column:
+            """One sort serves both scopes: fields lie behind each other, so the places of a
+            token come in field order."""
+            kinds = [k for k in (False, True) if scopes == "both" or (scopes == "field") == k]
+            return F.concat(*[_runs(entries, k, names) for k in kinds])
+
+        merged = let(F.sort_array(F.concat(*parts)), both)
     return rows.select(*kept, "dl", F.explode(merged).alias("p")).select(
         *kept, "p.scope", "p.token", F.size("p.positions").alias("tf"), "p.positions", "dl"
     )

@@ -184,6 +184,12 @@ def evaluate(hits: DataFrame, avg_dl: Column) -> DataFrame:
     )
 
 
+def evaluate_should(hits: DataFrame, avg_dl: Column) -> DataFrame:
+    """:func:`evaluate` and :func:`matching` for queries of should tokens only: the sum is all."""
+    share = scoring.term_score(F.col("weight"), F.col("tf"), F.col("dl"), avg_dl)
+    return hits.groupBy("qid", "docid").agg(F.round(F.sum(share), scoring.DIGITS).alias("score"))
+
+
 def matching(evaluated: DataFrame) -> DataFrame:
     """Documents that satisfy a query with positive tokens: ``(qid, docid, score)``.
 
@@ -197,7 +203,3 @@ def matching(evaluated: DataFrame) -> DataFrame:
         & ((F.col("n_must") > 0) | (F.col("hit_should") > 0))
     ).select("qid", "docid", "score")
 
-
-def excluded(evaluated: DataFrame) -> DataFrame:
-    """Documents ruled out by queries that have must-not tokens only: ``(qid, docid)``."""
-    return evaluated.filter((F.col("n_positive") == 0) & (F.col("hit_not") > 0)).select("qid", "docid")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from ..functions.coerce import Raw, convert, key_text
+from ..functions.coerce import Raw, cannot_fail, convert, key_text
 from ..spec import JSON, STRINGS, Field, IndexSpec
 
 KEY_MISSING = "pk field must be specified"
@@ -55,6 +55,15 @@ def _raw_columns(docs: DataFrame, spec: IndexSpec) -> tuple[DataFrame, dict[str,
     return rows, types
 
 
+def _once(df: DataFrame, kept: list[str], columns: list[Column]) -> DataFrame:
+    """Add ``columns``, computed once per row.
+
+    A plain select would be merged with what follows, and each later use, such as the
+    filter on ``error``, would repeat the conversion.  A one-element explode stands between.
+    """
+    return df.select(*kept, F.explode(F.array(F.struct(*columns))).alias("_")).select(*kept, "_.*")
+
+
 def _all(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, columns)
 
@@ -68,31 +77,40 @@ def typed_read(docs: DataFrame, spec: IndexSpec) -> DataFrame:
     """
     rows, types = _raw_columns(docs, spec)
     kept = [c for c in docs.columns if c not in ("payload", "error")]
-    raws = [Raw.of_column(F.col(f"r{i}"), types[f.name], spec.zone) for i, f in enumerate(spec.fields)]
-    values = rows.select(
-        *kept,
-        "error",
-        "stage",
-        *[convert(raw, f, spec.zone).alias(f"v{i}") for i, (raw, f) in enumerate(zip(raws, spec.fields))],
-        *[
-            F.when(raw.present, raw.printed).alias(f"p{i}")
-            for i, raw in enumerate(raws)
-        ],
-        *[raw.present.alias(f"has{i}") for i, raw in enumerate(raws)],
-    )
+    at = range(len(spec.fields))
+    raw_names = [f"r{i}" for i in at]
+    variants = [i for i, f in enumerate(spec.fields) if isinstance(types[f.name], T.VariantType)]
+    if variants:
+        rows = _once(
+            rows,
+            [*kept, "error", "stage", *[f"r{i}" for i in at if i not in variants]],
+            [c for i in variants for c in (F.col(f"r{i}"), F.schema_of_variant(f"r{i}").alias(f"kind{i}"))],
+        )
+    raws = [
+        Raw.of_variant(F.col(f"r{i}"), F.col(f"kind{i}"))
+        if i in variants
+        else Raw.of_column(F.col(f"r{i}"), types[f.name], spec.zone)
+        for i, f in enumerate(spec.fields)
+    ]
+    fallible = [i for i, f in enumerate(spec.fields) if not cannot_fail(types[f.name], f)]
+    converted = [convert(raws[i], f, spec.zone).alias(f"v{i}") for i, f in enumerate(spec.fields)]
+    carried = [*kept, "error", "stage", *raw_names, *[f"kind{i}" for i in variants]]
+    # Without fallible fields nothing is tested, and the plan stays open for pruning and
+    # pushdown down to the scan.
+    values = _once(rows, carried, converted) if fallible else rows.select(*carried, *converted)
     bad_fields = [
         F.when(
-            F.col(f"has{i}") & F.col(f"v{i}").isNull(),
+            raws[i].present & F.col(f"v{i}").isNull(),
             F.concat(
-                F.lit(f"field {f.name}: can not convert "),
-                F.coalesce(F.left(F.col(f"p{i}"), F.lit(200)), F.lit("value")),
-                F.lit(f" to {f.type}"),
+                F.lit(f"field {spec.fields[i].name}: can not convert "),
+                F.coalesce(F.left(raws[i].printed, F.lit(200)), F.lit("value")),
+                F.lit(f" to {spec.fields[i].type}"),
             ),
         )
-        for i, f in enumerate(spec.fields)
+        for i in fallible
     ]
     key_at = [i for i, f in enumerate(spec.fields) if f.pk]
-    no_key = F.when(~_all([F.col(f"has{i}") for i in key_at]), F.lit(KEY_MISSING))
+    no_key = F.when(~_all([raws[i].present for i in key_at]), F.lit(KEY_MISSING))
     # First failure in field order, then the key test.
     why = F.coalesce(*bad_fields, no_key)
     # The id takes key values as converted, before any trimming.

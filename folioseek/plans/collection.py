@@ -16,6 +16,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import mutate
 from ..operators.postings import corpus_stats, doc_lengths, postings, token_stats
@@ -25,12 +26,49 @@ from ..session import spread
 from ..spec import IndexSpec
 from .search import Search, Tables, token_bucket
 
-DEFAULT_BUCKETS = 64
+# One bucket should hold some hundred megabytes of postings; large corpora take thousands.
+DEFAULT_BUCKETS = 16
+POSTINGS = "scope string, token string, docid string, tf int, positions array<int>, dl int"
+STATS = "scope string, token string, df bigint, bucket int"
+CORPUS = "n_docs bigint, avg_dl double"
+SUMMARY = "index string, docs bigint, unreadable bigint, failed bigint, code int, msg string, batch bigint"
 
 
 class Collection:
     def __init__(self, spark: SparkSession, path: str, spec: IndexSpec, buckets: int = DEFAULT_BUCKETS):
         self.spark, self.path, self.spec, self.buckets = spark, path, spec, buckets
+        if self._exists(self._at("meta")):
+            stored = self._meta()
+            if stored != buckets:
+                raise ValueError(f"{path} has {stored} token buckets, not {buckets}")
+
+    def _meta(self) -> int:
+        return self.spark.read.schema("buckets int").parquet(self._at("meta")).first().buckets
+
+    def _one_row(self, path: str, mode: str, **values) -> None:
+        row = self.spark.range(0, 1, 1, 1).select(*[(F.lit(v) if isinstance(v, int) else v).alias(k) for k, v in values.items()])
+        row.write.mode(mode).parquet(path)
+
+    def _schema(self, table: str) -> T.StructType | str:
+        """Declared schemas: no inference job, and an empty folder is an empty table."""
+        if table == "docs":
+            return T.StructType(
+                [
+                    T.StructField("docid", T.StringType()),
+                    T.StructField("op", T.StringType()),
+                    T.StructField("doc", self.spec.struct_type()),
+                    T.StructField("dl", T.IntegerType()),
+                    T.StructField("batch", T.LongType()),
+                ]
+            )
+        fixed = {
+            "postings": f"{POSTINGS}, bucket int",
+            "log postings": f"{POSTINGS}, batch bigint, bucket int",
+            "stats": STATS,
+            "corpus": CORPUS,
+            "summary": SUMMARY,
+        }
+        return fixed[table]
 
     # -- folders ----------------------------------------------------------------------
 
@@ -45,25 +83,28 @@ class Collection:
         """Numbers of the finished batches that no snapshot covers yet."""
         if not self._exists(self._at("log", "summary")):
             return []
-        rows = self.spark.read.parquet(self._at("log", "summary")).select("batch").distinct().collect()
+        rows = self.summaries().select("batch").distinct().collect()
         numbers = (int(r.batch) for r in rows)
         return sorted(n for n in numbers if n > after and (before is None or n < before))
 
     def _log(self, table: str, batches: list[int]) -> DataFrame:
         paths = [self._at("log", table, f"batch={b}") for b in batches]
-        return self.spark.read.option("basePath", self._at("log", table)).parquet(*paths)
+        reader = self.spark.read.option("basePath", self._at("log", table))
+        if table != "rows":
+            reader = reader.schema(self._schema("log postings" if table == "postings" else table))
+        return reader.parquet(*paths)
 
     def _snapshot(self) -> tuple[int, int] | None:
         """(generation, last batch folded in) of the newest complete snapshot."""
         if not self._exists(self._at("snap", "done")):
             return None
         row = (
-            self.spark.read.parquet(self._at("snap", "done"))
-            .agg(F.max(F.struct("gen", "upto")).alias("m"))
+            self.spark.read.schema("gen int, upto bigint").parquet(self._at("snap", "done"))
+            .agg(F.max_by(F.struct("gen", "upto"), "gen").alias("m"))
             .select("m.gen", "m.upto")
             .first()
         )
-        return int(row.gen), int(row.upto)
+        return row.gen, row.upto
 
     # -- writes -----------------------------------------------------------------------
 
@@ -125,8 +166,8 @@ class Collection:
     def _write_batch(self, versions: DataFrame, rows: DataFrame, batch: int) -> None:
         path = self._at("log", "docs", f"batch={batch}")
         self._with_length(versions).write.mode("overwrite").parquet(path)
-        docs = self.spark.read.parquet(path).filter(F.col("op") == mutate.UPSERT)
-        self._write_postings(
+        docs = self.spark.read.schema(self._schema("docs")).parquet(path).filter(F.col("op") == mutate.UPSERT)
+        self._write_by_bucket(
             postings(docs.select("docid", "doc"), self.spec), self._at("log", "postings", f"batch={batch}")
         )
         batch_summary(rows, self.spec.name).write.mode("overwrite").parquet(
@@ -137,14 +178,16 @@ class Collection:
         lengths = doc_lengths(docs.select("*", F.col("doc").alias("kept")), self.spec)
         return lengths.withColumnRenamed("kept", "doc")
 
-    def _write_postings(self, posted: DataFrame, path: str) -> None:
+    def _write_by_bucket(self, rows: DataFrame, path: str) -> None:
         """One folder per token bucket, tokens in order inside each file.
 
         The rebalance hint lets Spark split a bucket that a frequent token has swollen
         over several tasks and files, and join small ones.
         """
+        if not self._exists(self._at("meta")):
+            self._one_row(self._at("meta"), "overwrite", buckets=self.buckets)
         (
-            posted.withColumn("bucket", token_bucket(self.buckets))
+            rows.withColumn("bucket", token_bucket(self.buckets))
             .hint("rebalance", "bucket")
             .sortWithinPartitions("bucket", "scope", "token")
             .write.mode("overwrite")
@@ -158,10 +201,15 @@ class Collection:
         """Last version of each document changed since the snapshot."""
         return mutate.latest(self._log("docs", batches), order="batch")
 
+    def _state(self, before: int | None = None) -> tuple[tuple[int, int] | None, list[int]]:
+        snap = self._snapshot()
+        return snap, self._committed(snap[1] if snap else -1, before)
+
     def docs(self, before: int | None = None) -> DataFrame:
         """Current documents ``(docid, doc, dl)``, or those before a batch."""
-        snap = self._snapshot()
-        batches = self._committed(snap[1] if snap else -1, before)
+        return self._docs(*self._state(before))
+
+    def _docs(self, snap: tuple[int, int] | None, batches: list[int]) -> DataFrame:
         parts = []
         if batches:
             delta = self._delta(batches)
@@ -172,18 +220,16 @@ class Collection:
                 base = base.join(delta.select("docid"), "docid", "left_anti")
             parts.append(base.select("docid", "doc", "dl"))
         if not parts:
-            empty = f"docid string, doc {self.spec.struct_type().simpleString()}, dl int"
-            return self.spark.createDataFrame([], empty)
+            return self.spark.createDataFrame([], self._schema("docs")).select("docid", "doc", "dl")
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def _snap_table(self, gen: int, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._at("snap", f"gen={gen}", name))
+        return self.spark.read.schema(self._schema(name)).parquet(self._at("snap", f"gen={gen}", name))
 
     def tables(self) -> Tables:
         """What searches read.  Without changes since the snapshot it is the snapshot."""
-        snap = self._snapshot()
-        batches = self._committed(snap[1] if snap else -1)
-        docs = self.docs()
+        snap, batches = self._state()
+        docs = self._docs(snap, batches)
         if snap and not batches:
             return Tables(
                 docs,
@@ -214,21 +260,20 @@ class Collection:
 
     def summaries(self) -> DataFrame:
         """One row per finished batch."""
-        return self.spark.read.parquet(self._at("log", "summary"))
+        return self.spark.read.schema(SUMMARY).parquet(self._at("log", "summary"))
 
     # -- snapshots --------------------------------------------------------------------
 
     def compact(self) -> None:
         """Fold all finished batches into a new snapshot; searches then read it."""
-        snap = self._snapshot()
-        batches = self._committed(snap[1] if snap else -1)
+        snap, batches = self._state()
         if snap and not batches:
             return
         gen = snap[0] + 1 if snap else 0
         upto = batches[-1] if batches else -1
         tables = self.tables()
         tables.docs.write.mode("overwrite").parquet(self._at("snap", f"gen={gen}", "docs"))
-        self._write_postings(tables.postings.drop("bucket"), self._at("snap", f"gen={gen}", "postings"))
+        self._write_by_bucket(tables.postings.drop("bucket"), self._at("snap", f"gen={gen}", "postings"))
         self._finish(gen, upto)
 
     def build(self, docs: DataFrame, unique: bool = False) -> None:
@@ -244,20 +289,15 @@ class Collection:
             good = mutate.latest(good.select("docid", "seq", "doc"))
         path = self._at("snap", "gen=0", "docs")
         self._with_length(spread(good.select("docid", "doc"), "docid")).write.mode("overwrite").parquet(path)
-        stored = self.spark.read.parquet(path)
-        self._write_postings(
+        stored = self._snap_table(0, "docs")
+        self._write_by_bucket(
             postings(stored.select("docid", "doc"), self.spec), self._at("snap", "gen=0", "postings")
         )
         self._finish(0, -1)
 
     def _finish(self, gen: int, upto: int) -> None:
         posted, docs = self._snap_table(gen, "postings"), self._snap_table(gen, "docs")
-        stats = token_stats(posted)
-        # Written in token order, so that a scan for a few tokens skips most row groups.
-        stats.sortWithinPartitions("scope", "token").write.mode("overwrite").parquet(
-            self._at("snap", f"gen={gen}", "stats")
-        )
+        # By bucket like the postings, so that a search reads the buckets it needs.
+        self._write_by_bucket(token_stats(posted), self._at("snap", f"gen={gen}", "stats"))
         corpus_stats(docs).write.mode("overwrite").parquet(self._at("snap", f"gen={gen}", "corpus"))
-        self.spark.range(1).select(
-            F.lit(gen).alias("gen"), F.lit(upto).cast("bigint").alias("upto")
-        ).coalesce(1).write.mode("append").parquet(self._at("snap", "done"))
+        self._one_row(self._at("snap", "done"), "append", gen=gen, upto=F.lit(upto).cast("bigint"))

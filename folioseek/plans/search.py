@@ -6,12 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import filters as flt
 from ..operators import paging, project, proximity, retrieve, sorting, survivors
 from ..operators.postings import token_stats
+from ..session import staged
 from ..spec import IndexSpec
 
 # A query batch with at most this many token rows is broadcast and prunes the scan; it is
@@ -27,7 +28,7 @@ class Tables:
 
     ``docs``      (docid, doc, ...), one row per live document
     ``postings``  (scope, token, docid, tf, positions, dl[, bucket])
-    ``stats``     (scope, token, df) or None to count the df of the asked tokens
+    ``stats``     (scope, token, df[, bucket]) or None to count the df of the asked tokens
     ``corpus``    one row (n_docs, avg_dl)
     ``buckets``   number of token buckets the postings are partitioned by, or None
     """
@@ -41,10 +42,16 @@ class Tables:
 
 def query_frame(spark: SparkSession, queries: Sequence[tuple]) -> DataFrame:
     """A few queries given in place: ``(qid, [(field, text, occur), ...])``."""
-    return spark.createDataFrame(
-        [(qid, [tuple(c) for c in clauses]) for qid, clauses in queries],
-        f"qid bigint, clauses {retrieve.CLAUSES}",
-    )
+    rows = [
+        F.struct(
+            F.lit(qid).cast("bigint").alias("qid"),
+            F.array(*[retrieve.clause(F.lit(text), occur, field) for field, text, occur in clauses])
+            .cast(retrieve.CLAUSES)
+            .alias("clauses"),
+        )
+        for qid, clauses in queries
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
 
 
 class Search:
@@ -75,8 +82,9 @@ class Search:
     @cached_property
     def _sample(self) -> list | None:
         """All token rows of a small batch, None for a large one."""
+        bucket = token_bucket(self.tables.buckets or 1).alias("bucket")
         rows = (
-            self.tokens.select("scope", "token", retrieve.kind().alias("kind"))
+            self.tokens.select("scope", "token", bucket, "is_must", "is_not", retrieve.kind().alias("kind"))
             .limit(SMALL_BATCH + 1)
             .collect()
         )
@@ -85,27 +93,21 @@ class Search:
     def _may_hold(self, kind: str) -> bool:
         return self._sample is None or any(r.kind == kind for r in self._sample)
 
-    @cached_property
-    def _postings(self) -> DataFrame:
-        """The postings, cut to the buckets and tokens of a small batch."""
-        posted = self.tables.postings
+    def _prune(self, rows: DataFrame) -> DataFrame:
+        """Cut postings or statistics to the buckets and tokens of a small batch."""
         if self._sample is None:
-            return posted
-        tokens = sorted({r.token for r in self._sample if r.token is not None})
+            return rows
+        asked = [r for r in self._sample if r.token is not None]
+        if not asked:
+            return rows.filter(F.lit(False))
         if self.tables.buckets:
-            posted = posted.filter(F.col("bucket").isin(*self._buckets(tokens)) if tokens else F.lit(False))
-        if len(tokens) <= LISTED_TOKENS:
-            posted = posted.filter(F.col("token").isin(*tokens) if tokens else F.lit(False))
-        return posted
+            rows = rows.filter(F.col("bucket").isin(*sorted({r.bucket for r in asked})))
+        tokens = sorted({r.token for r in asked})
+        return rows.filter(F.col("token").isin(*tokens)) if len(tokens) <= LISTED_TOKENS else rows
 
-    def _buckets(self, tokens: list[str]) -> list[int]:
-        rows = (
-            self.tokens.filter(F.col("token").isNotNull())
-            .select(token_bucket(self.tables.buckets).alias("b"))
-            .distinct()
-            .collect()
-        )
-        return [r.b for r in rows]
+    @cached_property
+    def _postings(self) -> DataFrame:
+        return self._prune(self.tables.postings)
 
     @cached_property
     def _docs(self) -> DataFrame:
@@ -118,32 +120,40 @@ class Search:
     # -- retrieval --------------------------------------------------------------------
 
     @cached_property
-    def _evaluated(self) -> DataFrame:
+    def _only_should(self) -> bool:
+        return self._sample is not None and not any(r.is_must or r.is_not for r in self._sample)
+
+    @cached_property
+    def _avg_dl(self) -> Column:
+        return self.tables.corpus.select("avg_dl").scalar()
+
+    @cached_property
+    def _hits(self) -> DataFrame:
         small = self._sample is not None
         posted = self._postings.select("scope", "token", "docid", "tf", "dl")
         asked = self.tokens
         if self.tables.stats is not None:
-            stats = self.tables.stats
-            if small:
-                tokens = sorted({r.token for r in self._sample if r.token is not None})
-                if len(tokens) <= LISTED_TOKENS:
-                    stats = stats.filter(F.col("token").isin(*tokens) if tokens else F.lit(False))
+            stats = self._prune(self.tables.stats)
         else:
             wanted = asked.filter(F.col("token").isNotNull()).select("scope", "token").distinct()
             stats = token_stats(posted.join(F.broadcast(wanted) if small else wanted, ["scope", "token"], "left_semi"))
         n_docs = self.tables.corpus.select("n_docs").scalar()
-        avg_dl = self.tables.corpus.select("avg_dl").scalar()
         weighted = retrieve.weighted(asked, stats, n_docs)
         if small:
-            hits = retrieve.token_hits(F.broadcast(weighted), posted)
-        else:
-            hits = retrieve.token_hits(weighted, posted, retrieve.hot_tokens(stats))
-        return retrieve.evaluate(hits, avg_dl)
+            return retrieve.token_hits(F.broadcast(weighted), posted)
+        return retrieve.token_hits(weighted, posted, retrieve.hot_tokens(stats))
+
+    @cached_property
+    def _evaluated(self) -> DataFrame:
+        return retrieve.evaluate(self._hits, self._avg_dl)
 
     @cached_property
     def matches(self) -> DataFrame:
         """``(qid, docid, score, k...)``: every document each positive query matches."""
-        found = retrieve.matching(self._evaluated)
+        if self._only_should:
+            found = retrieve.evaluate_should(self._hits, self._avg_dl)
+        else:
+            found = retrieve.matching(self._evaluated)
         if self.max_proximity is not None:
             ordered = retrieve.clause_tokens(self.queries, self.spec).filter(
                 F.col("occur") != retrieve.MUST_NOT
@@ -160,8 +170,11 @@ class Search:
 
     @cached_property
     def _excluded(self) -> DataFrame:
-        gone = retrieve.excluded(self._evaluated)
-        return gone if self.predicate is None else gone.join(self._docs.select("docid"), "docid")
+        """What the excluding queries rule out, written once: pages and totals share it."""
+        barred = self._hits.filter((F.col("n_positive") == 0) & F.col("is_not")).select("qid", "docid").distinct()
+        if self.predicate is not None:
+            barred = barred.join(self._docs.select("docid"), "docid").select("qid", "docid")
+        return staged(barred, "excluded")
 
     @cached_property
     def _kinds(self) -> DataFrame:
@@ -202,7 +215,7 @@ class Search:
             plain.append(self._kinds.filter(F.col("kind") == "all").select("qid"))
         if self._may_hold("not_only"):
             placed = survivors.positions(self._unscored, self._order)
-            rest = survivors.surviving_page(retrieve.excluded(self._evaluated), placed, self.page_args)
+            rest = survivors.surviving_page(self._excluded, placed, self.page_args)
             parts.append(
                 rest.select("qid", "docid", F.col("rank").cast("int").alias("rank"), F.lit(0.0).alias("score"))
             )

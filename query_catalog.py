@@ -49,8 +49,8 @@ PARTS = IndexSpec.of(
 ORDERS = IndexSpec.of(
     "orders",
     [
-        Field("o_orderkey", "u64", pk=True),
-        Field("o_custkey", "u32"),
+        Field("o_orderkey", "i64", pk=True),
+        Field("o_custkey", "int"),
         Field("o_orderstatus", tokenizer="none"),
         Field("o_totalprice", "f64"),
         Field("o_orderdate", "datetime", sorting="desc"),
@@ -198,7 +198,7 @@ def _all_matches(spark, sf, clauses):
 
 
 def search_should(spark, sf):
-    return _all_matches(spark, sf, [(None, "the which", "should"), (None, "und", "should")])
+    return _all_matches(spark, sf, [(None, "the thre", "should"), (None, "und", "should")])
 
 
 def search_must(spark, sf):
@@ -207,7 +207,7 @@ def search_must(spark, sf):
 
 def search_mixed(spark, sf):
     return _all_matches(
-        spark, sf, [(None, "the", "must"), (None, "which in", "should"), (None, "thing", "must_not"), (None, "le", "must_not")]
+        spark, sf, [(None, "the", "must"), (None, "thre in", "should"), (None, "tion", "must_not"), (None, "le", "must_not")]
     )
 
 
@@ -238,7 +238,7 @@ def search_field(spark, sf):
         F.array(
             retrieve.clause(F.col("qid"), "should", "p_type"),
             retrieve.clause(F.lit("red"), "should"),
-            retrieve.clause(F.lit("Brand#2"), "must_not", "p_brand"),
+            retrieve.clause(F.lit("#7"), "must_not", "p_brand"),
             retrieve.clause(F.lit("anything"), "must", "no_such_field"),
         ).alias("clauses"),
     )
@@ -258,7 +258,7 @@ def search_filtered_topk(spark, sf):
     s = _search(
         spark,
         sf,
-        [(None, "the", "must"), (None, "which", "should")],
+        [(None, "the", "must"), (None, "thre", "should")],
         filters=[Filter("lang", ["en"]), Filter("n_chars", ranges=[("500", None)])],
         sort=[Sort(RELEVANCE)],
         page=Page.of(1, 10),
@@ -295,7 +295,7 @@ def search_proximity(spark, sf):
 def _orders_where(spark, sf, filters, combine="and"):
     docs = documents_of(spark, sf, "orders", ORDERS)
     return docs.filter(predicate(filters, ORDERS, combine)).select(
-        F.col("doc.o_orderkey").cast("bigint").alias("o_orderkey"), "doc.o_orderstatus", "doc.o_orderpriority", "doc.o_totalprice"
+        "doc.o_orderkey", "doc.o_orderstatus", "doc.o_orderpriority", "doc.o_totalprice"
     )
 
 
@@ -332,7 +332,7 @@ def filter_string_by_tokenizer(spark, sf):
 
 def filter_text_token(spark, sf):
     docs = spread(documents_of(spark, sf, "documents", DOCUMENTS), "docid")
-    return docs.filter(predicate([Filter("text", ["which"]), Filter("lang", ranges=[("en", "es")])], DOCUMENTS)).select("docid")
+    return docs.filter(predicate([Filter("text", ["thre"]), Filter("lang", ranges=[("en", "es")])], DOCUMENTS)).select("docid")
 
 
 def filter_time_range(spark, sf):
@@ -406,7 +406,7 @@ def sort_default(spark, sf):
 def sort_string_by_relevance(spark, sf):
     """A string key sorts by the whole-number score, equal scores by the next key."""
     s = _search(
-        spark, sf, [(None, "the which", "should")], sort=[Sort("text"), Sort("n_chars", "asc")], page=Page.of(1, 50)
+        spark, sf, [(None, "the thre", "should")], sort=[Sort("text"), Sort("n_chars", "asc")], page=Page.of(1, 50)
     )
     return s.page.select("rank", "doc_id", "n_chars")
 
@@ -643,7 +643,7 @@ def collection_cycle(spark, sf):
     index.update(readers.from_table(labels), 1)
     index.delete(labels.filter(F.col("toxic") == 1).select("doc_id"), 2)
     s = index.search(
-        query_frame(spark, [(1, [(None, "the", "must"), (None, "which", "should")])]),
+        query_frame(spark, [(1, [(None, "the", "must"), (None, "thre", "should")])]),
         filters=[Filter("quality", ["1"])], sort=[Sort(RELEVANCE)],
     )
     return s.matches.select("docid", shown_score())

@@ -127,9 +127,9 @@ ORACLES: dict[str, str] = {
     "1 AS tf, '1' AS positions FROM events WHERE event_id % 2 = 0",
     "corpus_stats": f"WITH {_DOCS} SELECT n AS n_docs, round(a, 6) AS avg_dl FROM corpus",
     "token_document_frequency": f"WITH {_DOCS} SELECT token, df FROM dfs WHERE scope = ''",
-    "search_should": _matches(("the", "should"), ("which", "should"), ("und", "should")),
+    "search_should": _matches(("the", "should"), ("thre", "should"), ("und", "should")),
     "search_must": _matches(("the", "must"), ("of", "must")),
-    "search_mixed": _matches(("the", "must"), ("which", "should"), ("in", "should"), ("thing", "must_not"), ("le", "must_not")),
+    "search_mixed": _matches(("the", "must"), ("thre", "should"), ("in", "should"), ("tion", "must_not"), ("le", "must_not")),
     "search_not_only": _survivors(_fixed(("the", "must_not"), ("der", "must_not")), 51, 100),
     "search_not_only_batch": _survivors(_benchmark("must_not"), 1, 10),
     "search_match_all": "SELECT 1::BIGINT AS qid, rank, docid, total FROM (SELECT CAST(doc_id AS VARCHAR) AS docid, "
@@ -137,12 +137,12 @@ ORACLES: dict[str, str] = {
     "search_field": f"""WITH {_PARTS},
     qt AS (SELECT p_type AS qid, 'p_type' AS scope, unnest({_list('p_type')}) AS token, 'should' AS occur FROM (SELECT DISTINCT p_type FROM part)
            UNION ALL SELECT DISTINCT p_type, '', 'red', 'should' FROM part
-           UNION ALL SELECT DISTINCT p_type, 'p_brand', unnest(['Brand', '2']), 'must_not' FROM part), {_HITS}
+           UNION ALL SELECT DISTINCT p_type, 'p_brand', '7', 'must_not' FROM part), {_HITS}
     SELECT qid, docid, round(score, 5) AS score FROM hit""",
     "bm25_topk_batch": f"""WITH {_DOCS}, {_benchmark('should')}, {_HITS}
     SELECT qid, rank, docid, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM hit)
     WHERE rank <= 10""",
-    "search_filtered_topk": f"""WITH {_DOCS}, {_fixed(('the', 'must'), ('which', 'should'))}, {_HITS}
+    "search_filtered_topk": f"""WITH {_DOCS}, {_fixed(('the', 'must'), ('thre', 'should'))}, {_HITS}
     SELECT rank, doc_id, lang, source, n_chars, round(score, 5) AS score FROM
       (SELECT *, row_number() OVER (ORDER BY score DESC, docid) AS rank FROM hit JOIN documents ON docid = CAST(doc_id AS VARCHAR)
        WHERE lang = 'en' AND n_chars >= 500) WHERE rank <= 10""",
@@ -171,7 +171,7 @@ ORACLES: dict[str, str] = {
     "filter_string_by_tokenizer": f"SELECT 'space' AS kind, CAST(p_partkey AS VARCHAR) AS docid FROM part WHERE list_has_any({_list('p_name')}, ['red', 'ring']) "
     "UNION ALL SELECT 'zh', CAST(p_partkey AS VARCHAR) FROM part WHERE contains(p_brand, '#1') "
     "UNION ALL SELECT 'none', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F'",
-    "filter_text_token": f"SELECT CAST(doc_id AS VARCHAR) AS docid FROM documents WHERE list_contains({_list('text')}, 'which') AND lang BETWEEN 'en' AND 'es'",
+    "filter_text_token": f"SELECT CAST(doc_id AS VARCHAR) AS docid FROM documents WHERE list_contains({_list('text')}, 'thre') AND lang BETWEEN 'en' AND 'es'",
     "filter_time_range": "SELECT 'exact' AS kind, CAST(o_orderkey AS VARCHAR) AS docid FROM orders WHERE o_orderdate = TIMESTAMP '1996-02-29' "
     "UNION ALL SELECT 'range', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-06-01' AND TIMESTAMP '1996-06-30' "
     "OR o_orderdate >= TIMESTAMP '2001-01-01'",
@@ -185,7 +185,7 @@ ORACLES: dict[str, str] = {
         "(SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, CAST(o_orderkey AS VARCHAR) AS docid FROM orders)",
         "o_orderdate, docid", "o_orderdate DESC, docid", 21, 40,
     ),
-    "sort_string_by_relevance": f"""WITH {_DOCS}, {_fixed(('the', 'should'), ('which', 'should'))}, {_HITS}
+    "sort_string_by_relevance": f"""WITH {_DOCS}, {_fixed(('the', 'should'), ('thre', 'should'))}, {_HITS}
     SELECT rank, doc_id, n_chars FROM (SELECT *, row_number() OVER (ORDER BY floor(score) DESC, n_chars, docid) AS rank
       FROM hit JOIN documents ON docid = CAST(doc_id AS VARCHAR)) WHERE rank <= 50""",
     "page_window": _ranked(
@@ -221,7 +221,7 @@ ORACLES: dict[str, str] = {
     "lookup_by_key": "SELECT conv_id || '_' || turn AS docid, role FROM conversations JOIN labels ON doc_id = conv_id WHERE turn = 1",
     "docid_collisions": "SELECT p_partkey || '_' || p_size || '_' || p_type AS docid FROM part WHERE p_size < 10",
     "collection_cycle": f"""WITH {_corpus("(SELECT documents.* FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))", "doc_id", [("text", "space")])},
-    {_fixed(('the', 'must'), ('which', 'should'))}, {_HITS}
+    {_fixed(('the', 'must'), ('thre', 'should'))}, {_HITS}
     SELECT docid, round(score, 5) AS score FROM hit WHERE docid IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 1)""",
     "stream_upsert": _LATEST_EVENTS,
     "stream_summary": "SELECT 'orders' AS index, 200 AS code, count(*) FILTER (o_orderkey % 100 <> 0) AS docs, "
