@@ -189,7 +189,8 @@ ORACLES: dict[str, str] = {
     SELECT rank, doc_id, n_chars FROM (SELECT *, row_number() OVER (ORDER BY floor(score) DESC, n_chars, docid) AS rank
       FROM hit JOIN documents ON docid = CAST(doc_id AS VARCHAR)) WHERE rank <= 50""",
     "page_window": _ranked(
-        "(SELECT l_orderkey || '_' || l_linenumber AS docid, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate, CAST(l_quantity AS INTEGER) AS l_quantity FROM lineitem)",
+        "(SELECT l_orderkey || '_' || l_linenumber AS docid, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate, CAST(l_quantity AS INTEGER) AS l_quantity FROM lineitem "
+        "QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey * 100000 + l_suppkey DESC) = 1)",
         "docid, l_shipdate, l_quantity", "l_shipdate, docid", 401, 420, "l_quantity BETWEEN 10 AND 12",
     ),
     "deep_page_per_query": "SELECT qid, rank, docid FROM (SELECT o_orderstatus AS qid, CAST(o_orderkey AS VARCHAR) AS docid, "
