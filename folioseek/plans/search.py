@@ -124,8 +124,10 @@ class Search:
         return self._sample is not None and not any(r.is_must or r.is_not for r in self._sample)
 
     @cached_property
-    def _avg_dl(self) -> Column:
-        return self.tables.corpus.select("avg_dl").scalar()
+    def _corpus(self) -> tuple[Column, Column]:
+        """Document count and mean length: two numbers, read once and put in the plan."""
+        row = self.tables.corpus.first()
+        return F.lit(row.n_docs), F.lit(float(row.avg_dl))
 
     @cached_property
     def _hits(self) -> DataFrame:
@@ -137,21 +139,20 @@ class Search:
         else:
             wanted = asked.filter(F.col("token").isNotNull()).select("scope", "token").distinct()
             stats = token_stats(posted.join(F.broadcast(wanted) if small else wanted, ["scope", "token"], "left_semi"))
-        n_docs = self.tables.corpus.select("n_docs").scalar()
-        weighted = retrieve.weighted(asked, stats, n_docs)
+        weighted = retrieve.weighted(asked, stats, self._corpus[0])
         if small:
             return retrieve.token_hits(F.broadcast(weighted), posted)
         return retrieve.token_hits(weighted, posted, retrieve.hot_tokens(stats))
 
     @cached_property
     def _evaluated(self) -> DataFrame:
-        return retrieve.evaluate(self._hits, self._avg_dl)
+        return retrieve.evaluate(self._hits, self._corpus[1])
 
     @cached_property
     def matches(self) -> DataFrame:
         """``(qid, docid, score, k...)``: every document each positive query matches."""
         if self._only_should:
-            found = retrieve.evaluate_should(self._hits, self._avg_dl)
+            found = retrieve.evaluate_should(self._hits, self._corpus[1])
         else:
             found = retrieve.matching(self._evaluated)
         if self.max_proximity is not None:
