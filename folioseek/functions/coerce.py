@@ -18,8 +18,7 @@ from pyspark.sql import types as T
 
 from ..spec import BOOLS, FLOATS, SIGNED, STRINGS, UNSIGNED, Field
 
-# Bounds of the sized integers, the words read as true.
-SIGNED_BITS = {"i8": 8, "i16": 16, "i32": 32}
+# Widths of the unsigned integers, the words read as true.
 UNSIGNED_BITS = {"u8": 8, "u16": 16, "u32": 32}
 TRUE_WORDS = ("yes", "y", "true")
 
@@ -51,12 +50,13 @@ class Raw:
     variant: Column | None = None
 
     @classmethod
-    def of_variant(cls, v: Column, kind: Column | None = None) -> Raw:
+    def of_variant(cls, v: Column, kind: Column | None = None, text: Column | None = None) -> Raw:
+        """``kind`` and ``text`` may be given where they are columns already."""
         kind = F.schema_of_variant(v) if kind is None else kind
         return cls(
             present=v.isNotNull(),
             null=kind == "VOID",
-            text=F.try_variant_get(v, "$", "string"),
+            text=F.try_variant_get(v, "$", "string") if text is None else text,
             is_text=kind == "STRING",
             whole=F.try_variant_get(v, "$", "bigint"),
             exact=F.try_variant_get(v, "$", "decimal(38,9)"),
@@ -113,6 +113,11 @@ class Raw:
         return out
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def epoch_wall() -> Column:
     return F.lit("1970-01-01").cast("timestamp_ntz")
 
@@ -141,7 +146,7 @@ def to_string(raw: Raw) -> Column:
     return raw.choose((raw.null, F.lit("")), (raw.present, raw.printed))
 
 
-def to_signed(raw: Raw, bits: int, dtype: T.DataType) -> Column:
+def to_signed(raw: Raw, dtype: T.DataType) -> Column:
     number = raw.choose(
         (raw.null, F.lit(0).cast("bigint")),
         (
@@ -153,8 +158,7 @@ def to_signed(raw: Raw, bits: int, dtype: T.DataType) -> Column:
         ),
         (raw.is_number, raw.whole),
     )
-    limit = 1 << (bits - 1)
-    return F.when(number.between(-limit, limit - 1), number.try_cast(dtype))
+    return number.try_cast(dtype)  # NULL beyond the type's range
 
 
 def to_unsigned(raw: Raw, bits: int, dtype: T.DataType) -> Column:
@@ -172,11 +176,14 @@ def to_unsigned(raw: Raw, bits: int, dtype: T.DataType) -> Column:
         (
             raw.is_number,
             raw.exact is not None
-            and F.when(raw.exact > -1, F.floor(F.greatest(raw.exact, F.lit(0).cast("decimal(38,9)"))).try_cast(wide)),
+            and let(
+                raw.exact,
+                lambda n: F.when(n > -1, F.floor(F.greatest(n, F.lit(0).cast("decimal(38,9)"))).try_cast(wide)),
+            ),
         ),
     )
     top = F.lit(str((1 << bits) - 1)).cast(wide)
-    return F.when(number <= top, number.try_cast(dtype))
+    return let(number, lambda n: F.when(n <= top, n.try_cast(dtype)))
 
 
 def to_float(raw: Raw, dtype: T.DataType) -> Column:
@@ -266,7 +273,7 @@ def convert(raw: Raw, field: Field, zone: str) -> Column:
     if kind in STRINGS:
         return to_string(raw)
     if kind in SIGNED:
-        return to_signed(raw, SIGNED_BITS.get(kind, 64), field.data_type)
+        return to_signed(raw, field.data_type)
     if kind in UNSIGNED:
         return to_unsigned(raw, UNSIGNED_BITS.get(kind, 64), field.data_type)
     if kind in FLOATS:

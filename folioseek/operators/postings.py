@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.coerce import let
 from ..spec import JSON, Field, IndexSpec
 
 GLOBAL = ""
@@ -22,11 +23,6 @@ GLOBAL = ""
 FIELD_GAP = 10
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def field_text(value: Column, field: Field) -> Column:
     """The analysable text of a field; of a JSON field only string values."""
     if field.type in JSON:

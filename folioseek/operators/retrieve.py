@@ -15,6 +15,7 @@ from ..spec import IndexSpec
 from .postings import GLOBAL
 
 SHOULD, MUST, MUST_NOT = "should", "must", "must_not"
+ROLES = ["is_should", "is_must", "is_not"]
 CLAUSES = "array<struct<field:string,text:string,occur:string>>"
 
 # Tokens held by more documents than this are split over several tasks in shuffle joins.
@@ -156,6 +157,34 @@ def token_hits(tokens: DataFrame, posted: DataFrame, hot: DataFrame | None = Non
     return left.drop("splits").join(right.drop("splits"), ["scope", "token", "part"]).drop("part")
 
 
+def led_hits(tokens: DataFrame, posted: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Hits of queries with must tokens, found from each query's rarest must token.
+
+    Only documents that hold the rarest one can match, so the other tokens are looked up
+    for those documents alone, by (token, document).  Hits then number the rarest token's
+    documents times the query's tokens, however frequent the other tokens are, and the
+    lookup key is never hot.  Queries with a must token the corpus lacks match nothing.
+    """
+    entry = F.struct("scope", "token", "is_should", "is_must", "is_not", "weight")
+    asked = (
+        tokens.groupBy("qid")
+        .agg(
+            F.min_by(F.struct("scope", "token"), F.when(F.col("is_must"), F.struct("df", "scope", "token"))).alias("lead"),
+            F.max(F.col("is_must") & F.col("df").isNull()).alias("hopeless"),
+            F.collect_list(entry).alias("asked"),
+            F.first("n_must").alias("n_must"),
+            F.first("n_positive").alias("n_positive"),
+        )
+        .filter(~F.col("hopeless"))
+        .select("qid", "lead.scope", "lead.token", "asked", "n_must", "n_positive")
+    )
+    candidates = token_hits(asked, posted.select("scope", "token", "docid"), hot)
+    wanted = candidates.select("qid", "docid", "n_must", "n_positive", F.explode("asked").alias("t")).select(
+        "qid", "docid", "n_must", "n_positive", "t.*"
+    )
+    return wanted.join(posted, ["scope", "token", "docid"])
+
+
 def hot_tokens(stats: DataFrame, hot_df: int = HOT_DF, limit: int = MAX_HOT_TOKENS) -> DataFrame:
     """The most frequent tokens above ``hot_df``, at most ``limit`` of them.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from ..functions.coerce import Raw, cannot_fail, convert, key_text
+from ..functions.coerce import Raw, cannot_fail, convert, key_text, let
 from ..spec import JSON, STRINGS, Field, IndexSpec
 
 KEY_MISSING = "pk field must be specified"
@@ -86,33 +86,59 @@ def typed_read(docs: DataFrame, spec: IndexSpec) -> DataFrame:
             [*kept, "error", "stage", *[f"r{i}" for i in at if i not in variants]],
             [c for i in variants for c in (F.col(f"r{i}"), F.schema_of_variant(f"r{i}").alias(f"kind{i}"))],
         )
-    raws = [
-        Raw.of_variant(F.col(f"r{i}"), F.col(f"kind{i}"))
-        if i in variants
-        else Raw.of_column(F.col(f"r{i}"), types[f.name], spec.zone)
-        for i, f in enumerate(spec.fields)
-    ]
-    fallible = [i for i, f in enumerate(spec.fields) if not cannot_fail(types[f.name], f)]
-    converted = [convert(raws[i], f, spec.zone).alias(f"v{i}") for i, f in enumerate(spec.fields)]
-    carried = [*kept, "error", "stage", *raw_names, *[f"kind{i}" for i in variants]]
-    # Without fallible fields nothing is tested, and the plan stays open for pruning and
-    # pushdown down to the scan.
-    values = _once(rows, carried, converted) if fallible else rows.select(*carried, *converted)
-    bad_fields = [
-        F.when(
-            raws[i].present & F.col(f"v{i}").isNull(),
-            F.concat(
-                F.lit(f"field {spec.fields[i].name}: can not convert "),
-                F.coalesce(F.left(raws[i].printed, F.lit(200)), F.lit("value")),
-                F.lit(f" to {spec.fields[i].type}"),
-            ),
+        # Reading a VARIANT is dear: each string is taken out once.
+        rows = rows.select(
+            "*",
+            *[F.when(F.col(f"kind{i}") == "STRING", F.try_variant_get(f"r{i}", "$", "string")).alias(f"text{i}") for i in variants],
         )
-        for i in fallible
-    ]
+
+    def seen(column) -> list[Raw]:
+        return [
+            Raw.of_variant(column(f"r{i}"), column(f"kind{i}"), column(f"text{i}"))
+            if i in variants
+            else Raw.of_column(column(f"r{i}"), types[f.name], spec.zone)
+            for i, f in enumerate(spec.fields)
+        ]
+
+    def converted(raws: list[Raw]) -> list[Column]:
+        return [convert(raw, f, spec.zone).alias(f"v{i}") for i, (raw, f) in enumerate(zip(raws, spec.fields))]
+
+    raws = seen(F.col)
+    fallible = [i for i, f in enumerate(spec.fields) if not cannot_fail(types[f.name], f)]
+    carried = [*raw_names, *[f"{part}{i}" for i in variants for part in ("kind", "text")]]
     key_at = [i for i, f in enumerate(spec.fields) if f.pk]
-    no_key = F.when(~_all([raws[i].present for i in key_at]), F.lit(KEY_MISSING))
-    # First failure in field order, then the key test.
-    why = F.coalesce(*bad_fields, no_key)
+
+    def why(raws: list[Raw], value) -> Column:
+        """First conversion failure in field order, then the key test."""
+        bad = [
+            F.when(
+                raws[i].present & value(f"v{i}").isNull(),
+                F.concat(
+                    F.lit(f"field {spec.fields[i].name}: can not convert "),
+                    F.coalesce(F.left(raws[i].printed, F.lit(200)), F.lit("value")),
+                    F.lit(f" to {spec.fields[i].type}"),
+                ),
+            )
+            for i in fallible
+        ]
+        return F.coalesce(*bad, F.when(~_all([raws[i].present for i in key_at]), F.lit(KEY_MISSING)))
+
+    value_names = [f"v{i}" for i in range(len(spec.fields))]
+
+    def judged(r: Column) -> Column:
+        raws = seen(lambda c: r[c])
+        return let(
+            F.struct(*converted(raws)),
+            lambda v: F.struct(*[v[n].alias(n) for n in value_names], why(raws, lambda n: v[n]).alias("why")),
+        )
+
+    if fallible:
+        # In lambdas, so that many fields do not make one method too long to compile.
+        row = F.transform(F.array(F.struct(*carried)), judged)
+        values = rows.select(*kept, "error", "stage", F.explode(row).alias("_")).select(*kept, "error", "stage", "_.*")
+    else:
+        # Nothing to test: the plan stays open for pruning and pushdown down to the scan.
+        values = rows.select(*kept, "error", "stage", *converted(raws), why(raws, F.col).alias("why"))
     # The id takes key values as converted, before any trimming.
     docid = F.concat_ws("_", *[key_text(F.col(f"v{i}"), spec.fields[i]) for i in key_at])
     doc = F.struct(*[_stored(F.col(f"v{i}"), f).alias(f.name) for i, f in enumerate(spec.fields)])
@@ -120,8 +146,8 @@ def typed_read(docs: DataFrame, spec: IndexSpec) -> DataFrame:
         *kept,
         docid.alias("docid"),
         doc.alias("doc"),
-        F.coalesce("error", why).alias("error"),
-        F.coalesce("stage", F.when(why.isNotNull(), F.lit("convert"))).alias("stage"),
+        F.coalesce("error", "why").alias("error"),
+        F.coalesce("stage", F.when(F.col("why").isNotNull(), F.lit("convert"))).alias("stage"),
     )
     ok = F.col("error").isNull()
     return checked.select(

@@ -142,7 +142,11 @@ class Search:
         weighted = retrieve.weighted(asked, stats, self._corpus[0])
         if small:
             return retrieve.token_hits(F.broadcast(weighted), posted)
-        return retrieve.token_hits(weighted, posted, retrieve.hot_tokens(stats))
+        hot = retrieve.hot_tokens(stats)
+        led = retrieve.led_hits(weighted.filter(F.col("n_must") > 0), posted, hot)
+        loose = retrieve.token_hits(weighted.filter(F.col("n_must") == 0), posted, hot)
+        columns = ["qid", "docid", *retrieve.ROLES, "n_must", "n_positive", "weight", "tf", "dl"]
+        return led.select(columns).unionByName(loose.select(columns))
 
     @cached_property
     def _evaluated(self) -> DataFrame:

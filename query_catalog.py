@@ -458,7 +458,7 @@ COERCED = IndexSpec.of(
 
 def _raw_events(spark, sf) -> DataFrame:
     """Events as JSON texts with the value in many shapes, some of them unusable."""
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events"), "event_id")
     n = F.col("event_id")
     cents = F.floor(F.col("value") * 100).cast("bigint")
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
