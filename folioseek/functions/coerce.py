@@ -162,6 +162,23 @@ def to_signed(raw: Raw, dtype: T.DataType) -> Column:
 
 
 def to_unsigned(raw: Raw, bits: int, dtype: T.DataType) -> Column:
+    if bits <= 32:  # fits a BIGINT on the way
+        zero = F.lit(0).cast("bigint")
+        number = raw.choose(
+            (raw.null, zero),
+            (
+                raw.is_text,
+                raw.text is not None
+                and F.when(raw.text == "", zero).when(raw.text.rlike(_UNSIGNED_TEXT), raw.text.try_cast("bigint")),
+            ),
+            (raw.is_number, raw.whole),
+        )
+
+        def bounded(n: Column) -> Column:
+            return F.when((n >= 0) & (n < 1 << bits), n.try_cast(dtype))
+
+        # A VARIANT is dear to read twice; a lambda would keep plain columns from compiling.
+        return bounded(number) if raw.null is None else let(number, bounded)
     wide = "decimal(38,0)"
     number = raw.choose(
         (raw.null, F.lit(0).cast(wide)),

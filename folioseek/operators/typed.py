@@ -132,7 +132,10 @@ def typed_read(docs: DataFrame, spec: IndexSpec) -> DataFrame:
             lambda v: F.struct(*[v[n].alias(n) for n in value_names], why(raws, lambda n: v[n]).alias("why")),
         )
 
-    if fallible:
+    if fallible and not variants:
+        values = _once(rows, [*kept, "error", "stage", *raw_names], converted(raws))
+        values = values.withColumn("why", why(raws, F.col))
+    elif fallible:
         # In lambdas, so that many fields do not make one method too long to compile.
         row = F.transform(F.array(F.struct(*carried)), judged)
         values = rows.select(*kept, "error", "stage", F.explode(row).alias("_")).select(*kept, "error", "stage", "_.*")
