@@ -56,9 +56,9 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
         dealt = df.withColumn("_part", F.pmod(F.xxhash64("docid"), F.lit(parts)))
         local = Window.partitionBy(*group, "_part").orderBy(*order)
         df = dealt.withColumn("_r", F.row_number().over(local)).filter(F.col("_r") <= k).drop("_r", "_part")
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(
-        F.col("rank") <= k
-    )
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    # The type changes after the filter: the early cut looks for the bare rank.
+    return ranked.filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def window(df: DataFrame, order: Sequence[Column], page: Page) -> DataFrame:

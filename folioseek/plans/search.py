@@ -206,7 +206,7 @@ class Search:
             "docid", F.row_number().over(Window.orderBy(*self._order)).alias("i")
         ).agg(F.sort_array(F.collect_list(F.struct("i", "docid")))["docid"].alias("ids"))
         return qids.select("qid", F.posexplode(ordered.scalar()).alias("i", "docid")).select(
-            "qid", "docid", (F.col("i") + (p.offset + 1)).cast("int").alias("rank"), F.lit(0.0).alias("score")
+            "qid", "docid", (F.col("i") + (p.offset + 1)).cast("bigint").alias("rank"), F.lit(0.0).alias("score")
         )
 
     @cached_property
@@ -222,7 +222,7 @@ class Search:
             placed = survivors.positions(self._unscored, self._order)
             rest = survivors.surviving_page(self._excluded, placed, self.page_args)
             parts.append(
-                rest.select("qid", "docid", F.col("rank").cast("int").alias("rank"), F.lit(0.0).alias("score"))
+                rest.select("qid", "docid", "rank", F.lit(0.0).alias("score"))
             )
             # Queries whose tokens hit nothing that passes the filters exclude nothing.
             plain.append(

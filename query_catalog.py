@@ -388,7 +388,7 @@ def _page(spark, sf, name, spec, columns, **options):
 
 def sort_multi(spark, sf):
     return _page(
-        spark, sf, "customer", CUSTOMERS, ["c_nationkey", "c_acctbal", "c_custkey"],
+        spark, sf, "customer", CUSTOMERS, [F.col("c_nationkey").cast("int").alias("c_nationkey"), "c_acctbal", "c_custkey"],
         sort=[Sort("c_nationkey", "asc"), Sort("no_such_field"), Sort("c_acctbal")], page=Page.of(2, 100),
     )
 

@@ -56,7 +56,7 @@ _HITS = """
 
 
 def _fixed(*tokens: tuple[str, str]) -> str:
-    rows = ", ".join(f"(1, '', '{t}', '{o}')" for t, o in tokens)
+    rows = ", ".join(f"(1::BIGINT, '', '{t}', '{o}')" for t, o in tokens)
     return f"qt AS (SELECT * FROM (VALUES {rows}) v(qid, scope, token, occur))"
 
 
@@ -151,12 +151,12 @@ ORACLES: dict[str, str] = {
     SELECT qid, total, CAST(ceil(total / 7.0) AS BIGINT) AS pages, 7::BIGINT AS page_size, 1::BIGINT AS curr_page,
            least(total, 7) AS page_count FROM t""",
     "proximity_spread": f"""WITH {_DOCS},
-    two AS (SELECT * FROM (VALUES (1, 'of', 'the'), (2, 'la', 'le')) v(qid, t1, t2)),
+    two AS (SELECT * FROM (VALUES (1::BIGINT, 'of', 'the'), (2::BIGINT, 'la', 'le')) v(qid, t1, t2)),
     g AS (SELECT docid, token, pos FROM occ WHERE scope = '' AND token IN ('of', 'the', 'la', 'le', 'in', 'and'))
     SELECT qid, g1.docid, min(abs(g2.pos - g1.pos - 1)) AS proximity FROM two JOIN g g1 ON g1.token = t1
       JOIN g g2 ON g2.token = t2 AND g2.docid = g1.docid GROUP BY qid, g1.docid
     UNION ALL
-    SELECT 3 AS qid, docid, min(c + abs(p3 - p2 - 1)) AS proximity FROM
+    SELECT 3::BIGINT AS qid, docid, min(c + abs(p3 - p2 - 1)) AS proximity FROM
       (SELECT g2.docid, g2.pos AS p2, min(abs(g2.pos - g1.pos - 1)) AS c FROM g g1 JOIN g g2 ON g2.docid = g1.docid
        WHERE g1.token = 'in' AND g2.token = 'the' GROUP BY g2.docid, g2.pos) x
       JOIN (SELECT docid, pos AS p3 FROM g WHERE token = 'and') g3 USING (docid) GROUP BY docid""",
