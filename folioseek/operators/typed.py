@@ -72,7 +72,8 @@ def typed_read(docs: DataFrame, spec: IndexSpec) -> DataFrame:
     """``(seq, payload, error)`` to ``(seq, docid, doc, error, stage)``.
 
     ``doc`` is a struct of the declared fields, NULL where absent.  ``stage`` tells
-    whether a rejected document failed in the reader (``read``) or here (``convert``).
+    whether a rejected document failed in the reader (``read``) or here (``convert``); it has
+    no ``docid``, and its ``doc`` means nothing.
     One narrow pass: no shuffle, no Python.
     """
     rows, types = _raw_columns(docs, spec)
@@ -153,9 +154,9 @@ def typed_read(docs: DataFrame, spec: IndexSpec) -> DataFrame:
         F.coalesce("stage", F.when(F.col("why").isNotNull(), F.lit("convert"))).alias("stage"),
     )
     ok = F.col("error").isNull()
-    return checked.select(
-        *kept, F.when(ok, F.col("docid")).alias("docid"), F.when(ok, F.col("doc")).alias("doc"), "error", "stage"
-    )
+    # A bare struct lets filters on fields and unused fields reach the scan.
+    shown = F.when(ok, F.col("doc")).alias("doc") if fallible else F.col("doc")
+    return checked.select(*kept, F.when(ok, F.col("docid")).alias("docid"), shown, "error", "stage")
 
 
 def _stored(value: Column, field: Field) -> Column:
