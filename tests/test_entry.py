@@ -11,6 +11,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import query_catalog
+import query_oracles
 from tools.compare import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +21,7 @@ SOME = [
     "filter_values_and_ranges", "page_window", "coerce_types", "ingest_report", "read_csv", "partial_update", "stream_upsert",
     "time_format", "json_output",
 ]
-NAMES = sorted(entry.queries()) if os.environ.get("FOLIOSEEK_ALL_QUERIES") else SOME
+NAMES = sorted(query_catalog.QUERIES) if os.environ.get("FOLIOSEEK_ALL_QUERIES") else SOME
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +42,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(query_catalog.QUERIES) == set(query_oracles.ORACLES)
 
 
 def test_import_needs_no_session():
