@@ -6,4 +6,25 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op10_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+                   ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+        items AS (SELECT doc_id, unnest(s) AS x FROM sets),
+        sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+        common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM items a JOIN items b USING (x)
+            JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+            WHERE a.doc_id < b.doc_id AND 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n) GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+            WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT r.a, e.b FROM reach r JOIN sym e ON e.a = r.b)
+        SELECT doc_id, n AS n_shingles, m AS component_id, doc_id = m AS kept
+        FROM sizes JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id
+    """,
 }

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from folioseek.llm.common import table
 from folioseek.llm.exact_dedup import exact_dedup
+from folioseek.llm.mixing import mix_sources
+from folioseek.llm.near_dedup import near_duplicates
+from folioseek.llm.packing import pack_by_length
+from folioseek.llm.sharding import shuffle_into_shards
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +20,29 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_by_length(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix_sources(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shuffle_into_shards(table(spark, sf_dir, "documents"))
+    return found.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), size=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_packing": op5_packing,
+    "op7_mixing": op7_mixing,
+    "op9_sharding": op9_sharding,
+    "op10_near_dedup": op10_near_dedup,
 }
