@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from folioseek.llm.common import table
 from folioseek.llm.exact_dedup import exact_dedup
+from folioseek.llm.language import fit_languages, predict_languages
 from folioseek.llm.mixing import mix_sources
 from folioseek.llm.near_dedup import near_duplicates
 from folioseek.llm.packing import pack_by_length
+from folioseek.llm.quality import fit_quality, score_quality
 from folioseek.llm.sharding import shuffle_into_shards
 
 
@@ -20,10 +22,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_by_length(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = predict_languages(docs, fit_languages(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix_sources(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -41,7 +55,9 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
     "op5_packing": op5_packing,
+    "op6_language": op6_language,
     "op7_mixing": op7_mixing,
     "op9_sharding": op9_sharding,
     "op10_near_dedup": op10_near_dedup,
