@@ -15,6 +15,7 @@ from folioseek.llm.near_dedup import near_duplicates
 from folioseek.llm.packing import pack_by_length
 from folioseek.llm.quality import fit_quality, score_quality
 from folioseek.llm.sharding import shuffle_into_shards
+from folioseek.llm.topk import quantised, top_inner_products
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), quantised(F.col("embedding")).alias("v"))
+    return top_inner_products(vectors, vectors.filter("id % 20 = 0"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_by_length(table(spark, sf_dir, "documents"))
 
@@ -56,6 +62,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
+    "op4_topk": op4_topk,
     "op5_packing": op5_packing,
     "op6_language": op6_language,
     "op7_mixing": op7_mixing,
