@@ -6,6 +6,45 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op3_url_filter": r"""
+        WITH cut AS (SELECT page_id, row_number() OVER () AS id, url, coalesce(instr(url, '://'), 0) AS at FROM pages),
+        rest AS (SELECT *, CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END AS r FROM cut),
+        parts AS (
+            SELECT page_id, id, translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(r, '^[^?#]*\?([^#]*)', 1) AS query,
+                   regexp_extract(r, '(?s)^[^#]*#(.*)$', 1) AS fragment,
+                   CASE WHEN at > 0 THEN translate(substr(url, 1, at - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS scheme
+            FROM rest),
+        listed AS (
+            SELECT *, CASE
+                WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+                WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+                WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+                WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule,
+                CASE WHEN length(host) + length(path) = 0 THEN [] ELSE list_filter(list_distinct(
+                    ['s:' || scheme, 'f:' || regexp_replace(fragment, '[0-9]+', '0', 'g')]
+                    || list_transform(string_split(host, '.'), lambda x: 'h:' || x)
+                    || list_transform(string_split(regexp_replace(path, '[0-9]+', '0', 'g'), '/'), lambda x: 'p:' || x)
+                    || list_transform(string_split(query, '&'), lambda x: 'q:' || string_split(x, '=')[1])), lambda x: length(x) > 2) END AS tokens
+            FROM parts),
+        marks AS (
+            SELECT doc_id, max(coalesce(quality = 0 OR toxic = 1, quality = 0, toxic = 1)) AS bad FROM labels GROUP BY doc_id),
+        known AS (SELECT id, tokens, bad FROM listed JOIN marks ON doc_id = page_id WHERE bad IS NOT NULL),
+        needed AS (SELECT greatest(5, ceil(0.005 * count(*))) AS n FROM known),
+        items AS (SELECT id, bad, unnest(tokens) AS t FROM known),
+        sets AS (
+            SELECT [t] AS s, bad FROM items
+            UNION ALL SELECT [a.t, b.t], a.bad FROM items a JOIN items b ON a.id = b.id AND a.t < b.t
+            UNION ALL SELECT [a.t, b.t, c.t], a.bad FROM items a JOIN items b ON a.id = b.id AND a.t < b.t JOIN items c ON b.id = c.id AND b.t < c.t),
+        rules AS (
+            SELECT s FROM sets, needed GROUP BY s, n
+            HAVING sum(bad::INT) >= n AND sum(bad::INT)::DOUBLE / count(*) >= 0.6),
+        hits AS (SELECT id, count(s) AS mined FROM listed LEFT JOIN rules ON rule IS NULL AND list_has_all(tokens, s) GROUP BY id)
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR mined > 0 THEN 'block' ELSE 'allow' END AS verdict, mined
+        FROM listed JOIN hits USING (id)
+    """,
     "op4_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings

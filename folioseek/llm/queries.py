@@ -13,9 +13,11 @@ from folioseek.llm.language import fit_languages, predict_languages
 from folioseek.llm.mixing import mix_sources
 from folioseek.llm.near_dedup import near_duplicates
 from folioseek.llm.packing import pack_by_length
+from folioseek.llm.pii import find_personal_data, fit_spans
 from folioseek.llm.quality import fit_quality, score_quality
 from folioseek.llm.sharding import shuffle_into_shards
 from folioseek.llm.topk import quantised, top_inner_products
+from folioseek.llm.url_filter import filter_urls
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), quantised(F.col("embedding")).alias("v"))
     return top_inner_products(vectors, vectors.filter("id % 20 = 0"))
@@ -49,6 +55,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return find_personal_data(docs, fit_spans(docs))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shuffle_into_shards(table(spark, sf_dir, "documents"))
     return found.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
@@ -62,10 +73,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
+    "op3_url_filter": op3_url_filter,
     "op4_topk": op4_topk,
     "op5_packing": op5_packing,
     "op6_language": op6_language,
     "op7_mixing": op7_mixing,
+    "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_near_dedup": op10_near_dedup,
 }
