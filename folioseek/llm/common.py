@@ -34,6 +34,26 @@ def numbered(df: DataFrame, **columns: Column) -> DataFrame:
         return plain.select(*key, *(F.col(n) for n in columns))
 
 
+def as_scan(df: DataFrame) -> DataFrame:
+    """The frame itself if its rows can be keyed by file and place, else the same rows written and read again."""
+    try:
+        df.select("_metadata.row_index").schema
+        return df
+    except AnalysisException:
+        return staged(df, "rows")
+
+
+def with_row_key(scan: DataFrame) -> DataFrame:
+    """All columns of a scan and the row key that ``numbered`` gives the same rows."""
+    return scan.select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+
+
+def rows_left(scan: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of a scan whose keys are not among ``dropped``; few keys are broadcast, so texts stay where they are."""
+    dropped = staged(dropped.select(FILE, ROW), "dropped")
+    return with_row_key(scan).join(maybe_broadcast(dropped, dropped.count()), [FILE, ROW], "left_anti").select(*scan.columns)
+
+
 def integer_names(distinct: DataFrame, *cols: str) -> DataFrame:
     """Give each row of a table of distinct keys an integer over 0: its place in sorted order.
 
