@@ -1,22 +1,28 @@
 """Near-duplicate groups by circulant MinHash, banding and exact verification.
 
-1. One pass over the texts leaves, per row, the size and a digest of its shingle set, its band
-   keys and a sketch.  Rows with the same set become one class; all further work is on classes.
+1. One pass over the texts leaves, per row, the size and a digest of its shingle set and its band
+   keys.  Rows with the same set become one class; all further work is on classes.
 2. Classes that share a band key are candidates.  Each is compared with the first and the last
    class of each of its bands, which is linear in the size of a band and joins most of a group.
-3. Where a band still holds several components, the pairs across components that the sketches
-   do not rule out are compared too.  Pairs inside a component need no test: the answer is the component.
+3. Where a band still holds several components, its other pairs across components matter too.
+   Let L be the first class of a band and x, y two others of it.  What x and y have in common lies in L, and
+   is at most what the lesser of them shares with L, or outside L.  So x and y are alike only if both
+   share enough with L, which is a test of two numbers, or have a shingle outside L in common,
+   which is a join on such shingles; and of these only a prefix in hash order is needed (a set of n
+   has at least percent of n in common with what it is like).  Nothing that is alike is passed over,
+   and a group of many near copies is not compared pair by pair.
+   Pairs inside a component need no test: the answer is the component.
 4. Every link is confirmed on the full sets of shingles, as words, never on hashes.
 
 Banding finds a pair of similarity s with probability 1 - (1 - s^rows)^bands: at 0.8 with the
-defaults it misses 5 in a million, above that far fewer; sketches rule out a true pair with less
-than one chance in a hundred million.  There is no cap on bands, candidates or partners.
+defaults it misses 5 in a million, above that far fewer.  There is no cap on bands, candidates or partners.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,43 +39,59 @@ def _prints(size: int, bands: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, circulant = Shingler(size), Circulant(bands, rows, seed)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for text in batch.column(3).to_pylist():
                 h = shingler.hashes(text)
-                line = (0, None, None, None, None)
+                line = (0, None, None, None)
                 if len(h):
-                    signature = circulant.signature(h)
                     total, folded = int(h.sum() >> 1), int((h * h + (h >> 7)).sum() >> 1)
-                    line = (len(h), total, folded, circulant.band_keys(signature), circulant.sketch(signature))
+                    line = (len(h), total, folded, circulant.band_keys(circulant.signature(h)))
                 for column, value in zip(out, line):
                     column.append(value)
-            arrays = [
-                pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
-                pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int64())),
-            ]
-            names = [FILE, ROW, "doc_id", "n", "h1", "h2", "bands", "sketch"]
+            arrays = [*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.list_(pa.int64()))]
+            names = [FILE, ROW, "doc_id", "n", "h1", "h2", "bands"]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *arrays], names=names)
 
     return run
 
 
-def _alike(size: int, percent: int):
+def _compared(size: int, percent: int):
+    """Rows (u, v, a, b) of ids and texts to (u, v, common shingles, linked)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = None, set()
         for batch in batches:
-            u, v, kept = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            common, linked = [], []
             a, b = batch.column(2), batch.column(3)
-            for i, node in enumerate(u):
+            for i, node in enumerate(batch.column(0).to_pylist()):
                 if node != last:
                     last, first = node, shingle_set(a[i].as_py(), size)
                 second = shingle_set(b[i].as_py(), size)
-                if 100 * min(len(first), len(second)) < percent * max(len(first), len(second)):
-                    continue
-                common = len(first & second)
-                if 100 * common >= percent * (len(first) + len(second) - common):
-                    kept.append(i)
+                common.append(len(first & second))
+                linked.append(100 * common[-1] >= percent * (len(first) + len(second) - common[-1]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], names=["u", "v", "common", "linked"]
+            )
+
+    return run
+
+
+def _outside(size: int, percent: int):
+    """Rows (low, node, n, common, text of low, text of node) to (low, node, prefix of the hashes outside low)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, last, inside = Shingler(size), None, None
+        for batch in batches:
+            prefixes = []
+            a, b = batch.column(4), batch.column(5)
+            for i, (low, n, common) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)))):
+                if low != last:
+                    last, inside = low, shingler.hashes(a[i].as_py())
+                rest = np.setdiff1d(shingler.hashes(b[i].as_py()), inside, assume_unique=True)
+                least = max(1, -(-percent * n // 100) - common)
+                prefixes.append(rest[: max(0, len(rest) - least + 1)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([u[i] for i in kept], pa.int64()), pa.array([v[i] for i in kept], pa.int64())], names=["u", "v"]
+                [batch.column(0), batch.column(1), pa.array(prefixes, pa.list_(pa.int64()))], names=["low", "node", "rest"]
             )
 
     return run
@@ -97,12 +119,12 @@ def near_duplicates(
     """
     texts = numbered(docs, doc_id=F.col(id_col), text=F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     id_type = dict(texts.dtypes)["doc_id"]
-    schema = f"{FILE} long, {ROW} long, doc_id {id_type}, n long, h1 long, h2 long, bands array<long>, sketch array<long>"
+    schema = f"{FILE} long, {ROW} long, doc_id {id_type}, n long, h1 long, h2 long, bands array<long>"
     prints = staged(texts.mapInArrow(_prints(size, bands, rows, seed), schema), "prints")
     own = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", FILE, ROW)
     classes = (
         prints.filter("n > 0").groupBy("n", "h1", "h2")
-        .agg(F.min(own).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .agg(F.min(own).alias("first"), F.first("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     classes = staged(classes, "classes")  # which fixes the node numbers
@@ -120,35 +142,48 @@ def near_duplicates(
     spelled = shared.select("node").distinct().join(classes.select("node", f"first.{FILE}", f"first.{ROW}"), "node")
     spelled = staged(texts.join(spelled, [FILE, ROW]).select("node", "text"), "candidate-texts")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        seconds = pairs.join(spelled.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-        both = seconds.join(spelled.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-        return both.select("u", "v", "a", "b").mapInArrow(_alike(size, percent), "u long, v long")
+    def with_texts(pairs: DataFrame, first: str, second: str) -> DataFrame:
+        one = pairs.join(spelled.select(F.col("node").alias(second), F.col("text").alias("b")), second)
+        return one.join(spelled.select(F.col("node").alias(first), F.col("text").alias("a")), first)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = with_texts(pairs, "u", "v").select("u", "v", "a", "b")
+        return both.mapInArrow(_compared(size, percent), "u long, v long, common long, linked boolean")
 
-    links = staged(confirmed(pairs), "links")
+    tested = staged(compared(pairs), "tested")
+    links = tested.filter("linked").select("u", "v")
     found = staged(components(links), "components")
 
-    # Bands that hold more than one component, and their pairs across components.
-    rooted = shared.select("band", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = staged(rooted, "rooted")
-    several = staged(rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("band"), "several")
-    sides = staged(
-        rooted.join(several, "band").join(classes.select("node", "n", "sketch"), "node"), "sides"
-    )
-    left = sides.select("band", *(F.col(c).alias(f"l_{c}") for c in ("node", "root", "n", "sketch")))
-    right = sides.select("band", *(F.col(c).alias(f"r_{c}") for c in ("node", "root", "n", "sketch")))
-    # J = 0.8 gives 256 x 0.1 differing bits, standard deviation 4.8; six deviations are allowed.
-    share = (100 - percent) / 200
-    most = int(256 * share + 6 * (256 * share * (1 - share)) ** 0.5) + 1
-    apart = sum((F.bit_count(left[f"l_sketch"][i].bitwiseXOR(right["r_sketch"][i])) for i in range(1, 4)),
-                F.bit_count(left["l_sketch"][0].bitwiseXOR(right["r_sketch"][0])))
-    across = left.join(
-        right,
-        (left["band"] == right["band"]) & (F.col("l_node") < F.col("r_node")) & (F.col("l_root") != F.col("r_root"))
-        & (100 * F.least("l_n", "r_n") >= percent * F.greatest("l_n", "r_n")) & (apart <= most),
+    # First classes whose followers are in more than one component.
+    rooted = shared.select("low", "node").filter("low <> node").distinct().join(found, "node", "left")
+    rooted = staged(rooted.withColumn("root", F.coalesce("root", "node")), "followers")
+    several = staged(rooted.groupBy("low").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p < q").select("low"), "several")
+    members = rooted.join(several, "low").join(
+        tested.select(F.col("u").alias("low"), F.col("v").alias("node"), "common"), ["low", "node"]
+    ).join(classes.select("node", "n"), "node")
+    members = staged(members.select("low", "node", "root", "n", "common"), "members")
+    lows = staged(members.groupBy("node").agg(F.collect_set("low").alias("lows")), "lows")  # at most one per band
+    outside = with_texts(members, "low", "node").select("low", "node", "n", "common", "a", "b")
+    outside = outside.mapInArrow(_outside(size, percent), "low long, node long, rest array<long>")
+    members = staged(members.join(lows, "node"), "placed-members")
+    outside = staged(outside.join(members, ["low", "node"]).select("low", "node", "root", "n", "lows", F.explode("rest").alias("h")), "outside")
+
+    def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return tuple(rows.select([F.col(c).alias(side + c) for c in rows.columns]) for side in ("l_", "r_"))
+
+    # Each pair is looked at under the least first class that both follow.
+    apart = (
+        (F.col("l_low") == F.col("r_low")) & (F.col("l_node") < F.col("r_node")) & (F.col("l_root") != F.col("r_root"))
+        & (100 * F.least("l_n", "r_n") >= percent * F.greatest("l_n", "r_n"))
     )
-    rest = staged(across.select(F.col("l_node").alias("u"), F.col("r_node").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti"), "rest")
-    more = staged(confirmed(rest), "more-links")
+    once = F.array_min(F.array_intersect("l_lows", "r_lows")) == F.col("l_low")
+    left, right = sides(members)
+    near_first = left.join(right, apart & ((100 + percent) * F.least("l_common", "r_common") >= percent * (F.col("l_n") + F.col("r_n"))) & once)
+    left, right = sides(outside)
+    across = left.join(right, (F.col("l_h") == F.col("r_h")) & apart & once)
+    rest = [p.select(F.col("l_node").alias("u"), F.col("r_node").alias("v")).distinct() for p in (near_first, across)]
+    rest = staged(rest[0].unionByName(rest[1]).distinct().join(pairs, ["u", "v"], "left_anti"), "rest")
+    more = staged(compared(rest).filter("linked").select("u", "v"), "more-links")
     if not more.isEmpty():
         found = staged(components(links.unionByName(more)), "components")
 

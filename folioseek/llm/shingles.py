@@ -69,7 +69,7 @@ class Circulant:
     def __init__(self, bands: int, rows: int, seed: int):
         size = 1 << UNIVERSE_BITS
         rng = np.random.default_rng(seed)
-        self.bands, self.rows, self.width = bands, rows, max(bands * rows, 256)
+        self.bands, self.rows, self.width = bands, rows, bands * rows
         self.first = rng.permutation(size)
         second = rng.permutation(size).astype(np.uint32)
         self.runs = np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[: self.width]]), self.width)
@@ -84,13 +84,8 @@ class Circulant:
 
     def band_keys(self, signature: np.ndarray) -> np.ndarray:
         """One 64-bit key per band; keys of different bands differ by their salt."""
-        grid = signature[: self.bands * self.rows].reshape(self.bands, self.rows).astype(np.uint64)
+        grid = signature.reshape(self.bands, self.rows).astype(np.uint64)
         keys = self.salt
         for j in range(self.rows):
             keys = mixed(keys * _M1 + grid[:, j])
         return keys.view(np.int64)
-
-    @staticmethod
-    def sketch(signature: np.ndarray) -> np.ndarray:
-        """The lowest bit of 256 coordinates: sets of similarity J agree in (1 + J) / 2 of them."""
-        return np.packbits((signature[:256] & 1).astype(np.uint8)).view(np.int64)
