@@ -161,7 +161,7 @@ def fit_languages(
         return pd.DataFrame({"model": [out.getvalue()]})
 
     sample = sample.select(FILE, ROW, F.col("text").cast("binary").alias("text"), "lang")
-    learned = sample.mapInArrow(features, "lang string, x binary, key long").groupBy(F.lit(1)).applyInPandas(fit, "model binary").first()
+    learned = sample.mapInArrow(features, "lang string, x binary, key long").groupBy().applyInPandas(fit, "model binary").first()
     if learned is None:
         return LanguageModel([], code, None, None)
     model = np.load(io.BytesIO(bytes(learned.model)))

@@ -66,7 +66,7 @@ def fit_spans(
         pickle.dump((model.trees.edges, model.trees.start, model.trees.split, model.trees.leaf, model.threshold), out)
         return pd.DataFrame({"model": [out.getvalue()]})
 
-    learned = chosen.mapInArrow(examples, "key long, x binary, y int").groupBy(F.lit(1)).applyInPandas(fit, "model binary").first()
+    learned = chosen.mapInArrow(examples, "key long, x binary, y int").groupBy().applyInPandas(fit, "model binary").first()
     if learned is None or not learned.model:
         return None
     return SpanModel.restored(*pickle.loads(bytes(learned.model)))

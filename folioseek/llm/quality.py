@@ -148,7 +148,7 @@ def fit_quality(
 
     # at most about rows_learned keys
     sample = rows.join(F.broadcast(chosen), [FILE, ROW]).select(FILE, ROW, F.col("text").cast("binary").alias("text"), "mark")
-    learned = sample.mapInArrow(features, f"{FILE} long, {ROW} long, mark int, i binary, x binary").groupBy(F.lit(1)).applyInPandas(fit, "w binary").first()
+    learned = sample.mapInArrow(features, f"{FILE} long, {ROW} long, mark int, i binary, x binary").groupBy().applyInPandas(fit, "w binary").first()
     return np.zeros((1 << BITS) + 1, np.float32) if learned is None else np.load(io.BytesIO(bytes(learned.w)))
 
 
