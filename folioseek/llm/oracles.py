@@ -7,13 +7,13 @@ ORACLES: dict[str, str] = {
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
     "op3_url_filter": r"""
-        WITH cut AS (SELECT page_id, row_number() OVER () AS id, url, coalesce(instr(url, '://'), 0) AS at FROM pages),
-        rest AS (SELECT *, CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END AS r FROM cut),
+        WITH cut AS (SELECT page_id, row_number() OVER () AS id, url, coalesce(instr(url, '://'), 0) AS k FROM pages),
+        rest AS (SELECT *, CASE WHEN k > 0 THEN substr(url, k + 3) ELSE '' END AS r FROM cut),
         parts AS (
             SELECT page_id, id, translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(r, '^[^?#]*\?([^#]*)', 1) AS query,
                    regexp_extract(r, '(?s)^[^#]*#(.*)$', 1) AS fragment,
-                   CASE WHEN at > 0 THEN translate(substr(url, 1, at - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS scheme
+                   CASE WHEN k > 0 THEN translate(substr(url, 1, k - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS scheme
             FROM rest),
         listed AS (
             SELECT *, CASE

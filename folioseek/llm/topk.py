@@ -144,9 +144,9 @@ def top_inner_products(
         q = np.frombuffer(asked["q"].iat[0], np.int64).reshape(len(keys), width)
         best = TopK(len(q), k)
         for _, rows in index.groupby("block", sort=True):
-            rows = rows.sort_values("level", ascending=False)
-            rows = [*rows[rows.level == -1].itertuples(index=False), *rows[rows.level > 0].itertuples(index=False)]
-            search_block(q, keys[:, 0], [tuple(r)[2:] for r in rows], best)
+            rows = rows.sort_values("level", ascending=False)[["level", "dims", "at", "value", "rest"]]
+            rows = list(rows.itertuples(index=False, name=None))
+            search_block(q, keys[:, 0], rows[-1:] + rows[:-1], best)
         out = keys[best.q]
         return pd.DataFrame({"query_id": out[:, 0], "qf": out[:, 1], "qr": out[:, 2], "vec_id": best.id, "score": best.score})
 
