@@ -19,7 +19,7 @@ def output_fields(fields: Sequence[str] | None, spec: IndexSpec) -> tuple[Field,
     for name in fields:
         field = spec.get(name)
         if field is None:
-            raise ValueError(f"out field {name} not found")
+            raise ValueError(f"no field {name} to show")
         chosen.append(field)
     return tuple(chosen)
 

@@ -31,5 +31,5 @@ def batch_summary(typed: DataFrame, index: str) -> DataFrame:
         "unreadable",
         "failed",
         F.when(F.col("failed") > 0, 500).otherwise(200).alias("code"),
-        F.when(F.col("failed") > 0, "failed to index docs").otherwise("OK").alias("msg"),
+        F.when(F.col("failed") > 0, "some documents were rejected").otherwise("OK").alias("msg"),
     )

@@ -12,7 +12,7 @@ from ..functions import text
 from ..functions.coerce import Raw, cannot_fail, convert, key_text, let
 from ..spec import JSON, STRINGS, Field, IndexSpec
 
-KEY_MISSING = "pk field must be specified"
+KEY_MISSING = "a key field has no value"
 NOT_AN_OBJECT = "document is not an object"
 
 
@@ -116,7 +116,7 @@ def typed_read(docs: DataFrame, spec: IndexSpec) -> DataFrame:
                 raws[i].present & value(f"v{i}").isNull(),
                 F.concat(
                     F.lit(f"field {spec.fields[i].name}: can not convert "),
-                    F.coalesce(F.left(raws[i].printed, F.lit(200)), F.lit("value")),
+                    F.coalesce(raws[i].printed, F.lit("value")),
                     F.lit(f" to {spec.fields[i].type}"),
                 ),
             )

@@ -4,10 +4,11 @@
     <path>/log/docs/batch=N       the batch's last version of each document
     <path>/log/postings/batch=N   its postings, by token bucket
     <path>/log/summary/batch=N    one row, written last: a batch counts once it is there
-    <path>/snap/gen=G/...         docs, postings, stats, corpus folded up to a batch
+    <path>/snap/gen=G/...         docs, postings, stats, corpus folded up to a batch, and the sources of all batches
 
-Each batch is written to its own folder by overwrite, so running it again after a failure
-gives the same state.  Plain Parquet, any file system Spark can list.
+A batch that did not get as far as its summary does not count and its folder is overwritten by the
+next one of that number.  A finished one is never overwritten: its number is taken, and a caller
+that may run it again names its source.  Plain Parquet, any file system Spark can list.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ DEFAULT_BUCKETS = 16
 POSTINGS = "scope string, token string, docid string, tf int, positions array<int>, dl int"
 STATS = "scope string, token string, df bigint, bucket int"
 CORPUS = "n_docs bigint, avg_dl double"
-SUMMARY = "index string, docs bigint, unreadable bigint, failed bigint, code int, msg string, batch bigint"
+SUMMARY = "index string, docs bigint, unreadable bigint, failed bigint, code int, msg string, source string, batch bigint"
+SOURCES = "source string, batch bigint"
 
 
 class Collection:
@@ -67,6 +69,7 @@ class Collection:
             "stats": STATS,
             "corpus": CORPUS,
             "summary": SUMMARY,
+            "sources": SOURCES,
         }
         return fixed[table]
 
@@ -83,9 +86,9 @@ class Collection:
         """Numbers of the finished batches that no snapshot covers yet."""
         if not self._exists(self._at("log", "summary")):
             return []
-        rows = self.summaries().select("batch").distinct().collect()
+        rows = self.summaries().filter(F.col("batch") > after).select("batch").distinct().collect()
         numbers = (int(r.batch) for r in rows)
-        return sorted(n for n in numbers if n > after and (before is None or n < before))
+        return sorted(n for n in numbers if before is None or n < before)
 
     def _log(self, table: str, batches: list[int]) -> DataFrame:
         paths = [self._at("log", table, f"batch={b}") for b in batches]
@@ -108,27 +111,49 @@ class Collection:
 
     # -- writes -----------------------------------------------------------------------
 
-    def _folded(self, batch: int) -> bool:
-        """Whether a snapshot already holds this batch: then running it again is a no-op.
+    def _sources(self, snap: tuple[int, int] | None) -> DataFrame:
+        """Source and number of every finished batch."""
+        folded = self._snap_table(snap[0], "sources") if snap else self.spark.createDataFrame([], SOURCES)
+        if not self._exists(self._at("log", "summary")):
+            return folded
+        later = self.summaries().filter(F.col("batch") > (snap[1] if snap else -1))
+        return folded.unionByName(later.select("source", "batch"))
+
+    def _admit(self, batch: int | None, source: str | None) -> int | None:
+        """The number a batch gets, or None if its source is already in the collection.
 
-        Batch numbers therefore have to rise.
+        Without a number it is the next one.  A number that is not above all finished ones is an
+        error: the batch there is another one, or a caller that runs one again gave no source.
         """
         snap = self._snapshot()
-        return snap is not None and batch <= snap[1]
-
-    def append(self, docs: DataFrame, batch: int) -> None:
-        """Add documents from a reader; an id that exists is replaced."""
-        if self._folded(batch):
-            return
+        if source is not None and not self._sources(snap).filter(F.col("source") == source).isEmpty():
+            return None
+        last = max([snap[1] if snap else -1, *self._committed(snap[1] if snap else -1)])
+        if batch is None:
+            return last + 1
+        if batch <= last:
+            raise ValueError(f"batch {batch} can not be written: the collection already has batch {last}, and numbers have to rise")
+        return batch
+
+    def append(self, docs: DataFrame, batch: int | None = None, source: str | None = None) -> int | None:
+        """Add documents from a reader; an id that exists is replaced.
+
+        Returns the batch's number.  ``source`` names what is added: adding it again, with whatever
+        number, changes nothing and returns None.
+        """
+        batch = self._admit(batch, source)
+        if batch is None:
+            return None
         typed = typed_read(docs, self.spec).withColumn("op", F.lit(mutate.UPSERT))
         rows = self._write_rows(typed, batch)
         winners = mutate.latest(accepted(rows).select("docid", "seq", "op", "doc"))
-        self._write_batch(winners.select("docid", "op", "doc"), rows, batch)
+        return self._write_batch(winners.select("docid", "op", "doc"), rows, batch, source)
 
-    def update(self, docs: DataFrame, batch: int) -> None:
+    def update(self, docs: DataFrame, batch: int | None = None, source: str | None = None) -> int | None:
         """Overlay the given fields on existing documents; unknown ids become error rows."""
-        if self._folded(batch):
-            return
+        batch = self._admit(batch, source)
+        if batch is None:
+            return None
         stored = self.docs(before=batch)
         typed = typed_read(docs, self.spec).withColumn("op", F.lit(mutate.UPSERT))
         known = stored.select("docid", F.lit(True).alias("known"))
@@ -144,35 +169,37 @@ class Collection:
         )
         rows = self._write_rows(typed, batch)
         changed = mutate.partial_update(accepted(rows), stored, self.spec)
-        self._write_batch(changed.select("docid", F.lit(mutate.UPSERT).alias("op"), "doc"), rows, batch)
+        return self._write_batch(changed.select("docid", F.lit(mutate.UPSERT).alias("op"), "doc"), rows, batch, source)
 
-    def delete(self, ids: DataFrame, batch: int) -> None:
+    def delete(self, ids: DataFrame, batch: int | None = None, source: str | None = None) -> int | None:
         """Drop documents by id (first column of ``ids``); unknown ids are ignored."""
-        if self._folded(batch):
-            return
+        batch = self._admit(batch, source)
+        if batch is None:
+            return None
         gone = mutate.delete_rows(ids, self.spec)
         no_seq = F.lit(None).cast("struct<at:bigint,source:string,block:bigint,pos:bigint>")
         none = F.lit(None).cast("string")
         rows = self._write_rows(
             gone.select(no_seq.alias("seq"), "docid", "doc", none.alias("error"), none.alias("stage"), "op"), batch
         )
-        self._write_batch(rows.select("docid", "op", "doc"), rows, batch)
+        return self._write_batch(rows.select("docid", "op", "doc"), rows, batch, source)
 
     def _write_rows(self, rows: DataFrame, batch: int) -> DataFrame:
         path = self._at("log", "rows", f"batch={batch}")
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def _write_batch(self, versions: DataFrame, rows: DataFrame, batch: int) -> None:
+    def _write_batch(self, versions: DataFrame, rows: DataFrame, batch: int, source: str | None) -> int:
         path = self._at("log", "docs", f"batch={batch}")
         self._with_length(versions).write.mode("overwrite").parquet(path)
         docs = self.spark.read.schema(self._schema("docs")).parquet(path).filter(F.col("op") == mutate.UPSERT)
         self._write_by_bucket(
             postings(docs.select("docid", "doc"), self.spec), self._at("log", "postings", f"batch={batch}")
         )
-        batch_summary(rows, self.spec.name).write.mode("overwrite").parquet(
+        batch_summary(rows, self.spec.name).withColumn("source", F.lit(source).cast("string")).write.mode("overwrite").parquet(
             self._at("log", "summary", f"batch={batch}")
         )
+        return batch
 
     def _with_length(self, docs: DataFrame) -> DataFrame:
         lengths = doc_lengths(docs.select("*", F.col("doc").alias("kept")), self.spec)
@@ -274,7 +301,7 @@ class Collection:
         tables = self.tables()
         tables.docs.write.mode("overwrite").parquet(self._at("snap", f"gen={gen}", "docs"))
         self._write_by_bucket(tables.postings.drop("bucket"), self._at("snap", f"gen={gen}", "postings"))
-        self._finish(gen, upto)
+        self._finish(gen, upto, self._sources(snap).filter(F.col("batch") <= upto))
 
     def build(self, docs: DataFrame, unique: bool = False) -> None:
         """Load a first snapshot straight from a reader, without a log.
@@ -293,11 +320,12 @@ class Collection:
         self._write_by_bucket(
             postings(stored.select("docid", "doc"), self.spec), self._at("snap", "gen=0", "postings")
         )
-        self._finish(0, -1)
+        self._finish(0, -1, self._sources(None))
 
-    def _finish(self, gen: int, upto: int) -> None:
+    def _finish(self, gen: int, upto: int, sources: DataFrame) -> None:
         posted, docs = self._snap_table(gen, "postings"), self._snap_table(gen, "docs")
         # By bucket like the postings, so that a search reads the buckets it needs.
         self._write_by_bucket(token_stats(posted), self._at("snap", f"gen={gen}", "stats"))
+        sources.write.mode("overwrite").parquet(self._at("snap", f"gen={gen}", "sources"))
         corpus_stats(docs).write.mode("overwrite").parquet(self._at("snap", f"gen={gen}", "corpus"))
         self._one_row(self._at("snap", "done"), "append", gen=gen, upto=F.lit(upto).cast("bigint"))

@@ -56,7 +56,7 @@ def parse_json_lines(lines: DataFrame, pos: Column) -> DataFrame:
     ).select(
         "seq",
         "payload",
-        F.when(F.col("payload").isNull(), F.concat(F.lit("not JSON: "), F.left("value", F.lit(200)))).alias("error"),
+        F.when(F.col("payload").isNull(), F.concat(F.lit("not JSON: "), F.col("value"))).alias("error"),
     )
 
 
@@ -72,14 +72,18 @@ def read_json_array(spark: SparkSession, path, on_bad_file: str = "fail") -> Dat
 
     An array is all or nothing: a file that is not an array of objects ends the job, or
     gives a single error row with ``on_bad_file="report"``.  A file is one row and thus
-    one task; cut big inputs into JSON Lines.
+    one task; cut big inputs into JSON Lines.  Its elements are parsed one by one, so Spark's limit
+    on a VARIANT (128 MiB) holds for a document, not for the file; a file may have up to 2 GiB, the
+    limit of a string, beyond which the read itself fails.
     """
     if on_bad_file not in ("fail", "report"):
         raise ValueError(f"on_bad_file must be fail or report, not {on_bad_file}")
     files = (
         spark.read.text(path, wholetext=True)
-        .select(F.col("_metadata").alias("meta"), F.try_parse_json("value").alias("v"))
-        .select("meta", F.try_variant_get("v", "$", "array<variant>").alias("docs"))
+        .select(
+            F.col("_metadata").alias("meta"),
+            F.when(F.endswith(F.rtrim("value", F.lit(" \t\r\n")), F.lit("]")), F.from_json("value", "array<variant>")).alias("docs"),
+        )
         .withColumn(
             "bad",
             F.col("docs").isNull()
@@ -124,7 +128,7 @@ def read_csv(spark: SparkSession, path, multiline: bool = True) -> DataFrame:
     return rows.select(
         _file_seq(F.col("_metadata"), F.monotonically_increasing_id()),
         F.when(~bad, cells).alias("payload"),
-        F.when(bad, F.concat(F.lit("wrong number of cells: "), F.left(F.col(_CORRUPT), F.lit(200)))).alias("error"),
+        F.when(bad, F.concat(F.lit("wrong number of cells: "), F.col(_CORRUPT))).alias("error"),
     )
 
 

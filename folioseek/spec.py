@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 
@@ -38,6 +39,31 @@ COLUMN_TYPES = {**STRINGS, **SIGNED, **UNSIGNED, **FLOATS, **BOOLS, **TIMES, **J
 # Default patterns of the time types, default zone (UTC+8).
 TIME_FORMATS = {"date": "yyyy-MM-dd", "time": "HH:mm:ss", "datetime": "yyyy-MM-dd HH:mm:ss"}
 DEFAULT_ZONE = "+08:00"
+# The words of a layout, which spells out one moment, and their patterns.
+LAYOUT_WORDS = {
+    "January": "MMMM", "Jan": "MMM", "Monday": "EEEE", "Mon": "EEE", "2006": "yyyy", "-07:00": "xxx", "-0700": "xx", "Z07:00": "XXX",
+    "MST": "z", "PM": "a", "06": "yy", "01": "MM", "02": "dd", "15": "HH", "03": "hh", "04": "mm", "05": "ss", "1": "M", "2": "d",
+    "3": "h", "4": "m", "5": "s",
+}
+_LAYOUT = re.compile("|".join(map(re.escape, LAYOUT_WORDS)) + r"|(?<=05)[.,][09]+|[A-Za-z']+|.", re.S)
+
+
+def layout_pattern(layout: str) -> str:
+    """A time layout such as ``2006-01-02 15:04:05`` as a date pattern; a text without digits is a pattern already."""
+    if not re.search("[0-9]", layout):
+        return layout
+
+    def word(m: re.Match) -> str:
+        w = m.group()
+        if w in LAYOUT_WORDS:
+            return LAYOUT_WORDS[w]
+        if len(w) > 1 and w[0] in ".,":
+            return w[0] + "S" * (len(w) - 1)
+        if w[0].isdigit():
+            raise ValueError(f"time layout {layout}: {w} is no part of the reference moment")
+        return "'" + w.replace("'", "''") + "'" if w[0].isalpha() or w[0] == "'" else w
+
+    return _LAYOUT.sub(word, layout)
 
 
 @dataclass(frozen=True)
@@ -90,7 +116,10 @@ class IndexSpec:
 
     @classmethod
     def from_dict(cls, name: str, conf: Mapping, zone: str = DEFAULT_ZONE) -> IndexSpec:
-        """From the JSON form ``{"fields": [{"name": ..., "type": ..., "pk": ...}]}``."""
+        """From the JSON form ``{"fields": [{"name": ..., "type": ..., "pk": ...}]}``.
+
+        ``time-fmt`` may be a layout (``2006-01-02``) or a pattern (``yyyy-MM-dd``).
+        """
         return cls.of(
             name,
             (
@@ -100,7 +129,7 @@ class IndexSpec:
                     pk=bool(f.get("pk", False)),
                     tokenizer=f.get("tokenizer") or text.SPACE,
                     sorting=f.get("sorting"),
-                    time_fmt=f.get("time-fmt"),
+                    time_fmt=layout_pattern(f["time-fmt"]) if f.get("time-fmt") else None,
                 )
                 for f in conf.get("fields") or ()
             ),

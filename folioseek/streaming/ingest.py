@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,32 +28,39 @@ def table_stream(spark: SparkSession, path: str, schema: T.StructType, files_per
     return reader.parquet(path)
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gave the stream when it made the checkpoint."""
+    return json.loads(spark.read.text(os.path.join(checkpoint, "metadata")).first().value)["id"]
+
+
 def ingest(
     stream: DataFrame,
     collection: Collection,
     checkpoint: str,
     seq: str | None = None,
-    first_batch: int = 0,
     on_batch=None,
     available_now: bool = False,
+    name: str | None = None,
 ) -> StreamingQuery:
     """Upsert a stream into a collection, last write wins.
 
     A stream with ``value`` and ``meta`` is read as JSON Lines, any other as rows whose
-    versions ``seq`` orders.  Micro-batches keep their number over restarts and overwrite
-    their own folder, so a batch repeated after a failure changes nothing.  Once a batch is
-    complete, ``on_batch`` gets its summary row as a frame.
+    versions ``seq`` orders.  A micro-batch takes the collection's next number; its source is the
+    stream's own id, which its checkpoint keeps over restarts, and the micro-batch's number.  So a
+    batch repeated after a failure changes nothing, and other streams, new checkpoints and batches added
+    by hand never collide with it.  ``name`` stands in for the stream's id where a lost checkpoint is to be
+    replayed: the same name and number are then the same batch.  Once a batch is complete, ``on_batch`` gets its summary row as a frame.
     """
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        batch = first_batch + batch_id
+        source = f"{name or _stream_id(rows.sparkSession, checkpoint)}/{batch_id}"
         if set(rows.columns) == {"value", "meta"}:
             docs = parse_json_lines(rows, F.monotonically_increasing_id())
         else:
             docs = from_table(rows, seq)
-        collection.append(docs, batch)
+        collection.append(docs, source=source)
         if on_batch is not None:
-            on_batch(collection.summaries().filter(F.col("batch") == batch))
+            on_batch(collection.summaries().filter(F.col("source") == source))
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:

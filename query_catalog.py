@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioseek import Field, IndexSpec
-from folioseek.functions import text
+from folioseek.functions import query_strings, text
 from folioseek.functions.coerce import render
 from folioseek.operators import mutate, paging, postings, project, proximity, report, retrieve
 from folioseek.operators.filters import Filter, predicate
@@ -283,6 +283,38 @@ def pagination_summary(spark, sf):
     return s.summary
 
 
+def search_query_strings(spark, sf):
+    """Strings as users type them, one per benchmark text, with an in-field part."""
+    w = F.split("text", " ")
+    typed = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("qid"),
+        F.concat(F.lit("+"), w[0], F.lit(" -"), w[1], F.lit('  "'), w[2], F.lit('" "'), w[3], F.lit(" "), w[4], F.lit('" + '), w[5]).alias("q"),
+        F.concat(F.lit("text:"), w[6], F.lit(" -"), w[7], F.lit(",nothing;:x;lang:en")).alias("fq"),
+    )
+    queries = typed.select("qid", query_strings.clauses(F.col("q"), F.col("fq")).alias("clauses"))
+    s = index_of(spark, sf, "documents", DOCUMENTS).search(
+        queries, filters=query_strings.filters("lang:en,fr;n_chars:300~"), sort=query_strings.sorts("_score,doc_id:asc"), page=Page.of(1, 20)
+    )
+    return s.page_ids.select("qid", "rank", "docid", shown_score())
+
+
+_HAN_DOCUMENTS = IndexSpec.of("han", [Field("doc_id", "i64", pk=True), Field("text", tokenizer="zh")])
+
+
+def search_han(spark, sf):
+    """Han text, one token per character: vowels of documents and queries become Han characters."""
+    han = lambda c: F.translate(c, "aeiou", "这是测试中")
+    docs = table(spark, sf, "documents").select("doc_id", han("text").alias("text"))
+    index = Collection(spark, scratch_path(spark, "han"), _HAN_DOCUMENTS)
+    index.build(readers.from_table(docs), unique=True)
+    queries = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("qid"),
+        F.array(retrieve.clause(F.slice(F.split(han("text"), " "), 1, 3).cast("string"), "should")).alias("clauses"),
+    )
+    s = index.search(queries, sort=[Sort(RELEVANCE)], page=Page.of(1, 5))
+    return s.page_ids.select("qid", "rank", "docid", shown_score())
+
+
 def proximity_spread(spark, sf):
     """How far apart the words of a clause stand in each document that holds them."""
     clauses = [(1, [(None, "of the", "must")]), (2, [(None, "la le", "must")]), (3, [(None, "in the and", "must")])]
@@ -406,6 +438,33 @@ def sort_by_text(spark, sf):
     )
 
 
+def sort_bool_json_missing(spark, sf):
+    """A bool key, a JSON number and a field that some rows lack, which come last in both directions."""
+    spec = IndexSpec.of(
+        "keys", [Field("event_id", "i64", pk=True), Field("click", "bool"), Field("amount", "json"), Field("third", "i32")]
+    )
+    raw = table(spark, sf, "events").select(
+        "event_id",
+        (F.col("event_type") == "click").alias("click"),
+        F.when(F.col("event_id") % 4 != 0, F.floor("value")).cast("variant").alias("amount"),
+        F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 7).alias("third"),
+    )
+    index = Collection(spark, scratch_path(spark, "keys"), spec, buckets=1)
+    index.build(readers.from_table(raw), unique=True)
+    out = None
+    for name, keys in {
+        "bool": [Sort("click"), Sort("event_id", "asc")],
+        "json": [Sort("amount", "asc"), Sort("event_id")],
+        "json last": [Sort("amount"), Sort("event_id", "asc")],
+        "missing": [Sort("third"), Sort("click", "asc"), Sort("event_id", "asc")],
+    }.items():
+        for page in (Page.of(1, 60), Page.of(90, 100)):
+            s = index.search(query_frame(spark, [(1, [])]), sort=keys, page=page)
+            rows = s.page_ids.select(F.lit(name).alias("kind"), "rank", "docid")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def sort_default(spark, sf):
     """Declared order (newest first), then the id."""
     return _page(spark, sf, "orders", ORDERS, ["o_orderdate", "docid"], page=Page.of(2, -5))
@@ -582,6 +641,28 @@ def read_csv(spark, sf):
     return _orders_read(typed_read(readers.read(spark, _written(spark, sf, "csv"), "text/csv", multiline=False), ORDERS))
 
 
+def read_csv_bad_rows(spark, sf):
+    """Rows with a cell too few or too many become error rows that keep their text."""
+    path = scratch_path(spark, "uneven")
+    key = F.col("o_orderkey")
+    line = (
+        F.when(key % 50 == 1, F.concat_ws(",", key, "o_custkey"))
+        .when(key % 50 == 2, F.concat_ws(",", key, "o_custkey", F.lit("P"), F.lit("1"), F.repeat(F.lit("long "), 100)))
+        .otherwise(F.concat_ws(",", key, "o_custkey", "o_orderstatus", F.lit("2.5")))
+    )
+    lines = table(spark, sf, "orders").select(line.alias("value"))
+    header = spark.range(0, 1, 1, 1).select(F.lit("o_orderkey,o_custkey,o_orderstatus,o_totalprice").alias("value"))
+    (
+        lines.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(3)))
+        .unionByName(header.withColumn("part", F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(3))))))
+        .repartition(3, "part").sortWithinPartitions("part", F.col("value").startswith("o_").desc())
+        .write.partitionBy("part").text(path)
+    )
+    spec = IndexSpec.of("uneven", [Field("o_orderkey", "i64", pk=True), Field("o_custkey", "i64"), Field("o_orderstatus"), Field("o_totalprice", "f64")])
+    rows = typed_read(readers.read(spark, path, "csv", multiline=False), spec)
+    return rows.select("docid", F.col("doc.o_custkey").alias("o_custkey"), F.col("doc.o_totalprice").alias("o_totalprice"), "error", "stage")
+
+
 def read_json_lines(spark, sf):
     return _orders_read(typed_read(readers.read(spark, _written(spark, sf, "jsonl"), "jsonl"), ORDERS))
 
@@ -673,6 +754,20 @@ def stream_upsert(spark, sf):
     return index.docs().select("docid", "doc.event_id", "doc.event_type", "doc.value")
 
 
+def batch_numbers(spark, sf):
+    """Two streams with checkpoints of their own, a snapshot between them, and a batch by hand: nothing is lost."""
+    orders = table(spark, sf, "orders")
+    index = Collection(spark, scratch_path(spark, "numbers"), ORDERS, buckets=2)
+    for part in (0, 1):
+        files = scratch_path(spark, "order-files")
+        orders.filter(F.col("o_orderkey") % 3 == part).repartition(2).write.parquet(files)
+        stream = table_stream(spark, files, orders.schema, files_per_batch=1)
+        ingest(stream, index, scratch_path(spark, "stream-state"), seq="o_orderkey", available_now=True).awaitTermination()
+        index.compact()
+    index.append(readers.from_table(orders.filter(F.col("o_orderkey") % 3 == 2)))
+    return index.docs().select("docid", "doc.o_custkey", "doc.o_orderstatus", "doc.o_totalprice")
+
+
 def stream_summary(spark, sf):
     """Totals of the per-batch completion summaries of a JSON Lines stream."""
     path = _written(spark, sf, "jsonl")
@@ -726,6 +821,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sort_string_by_relevance, page_window, deep_page_per_query, coerce_types, ingest_report,
         ingest_summary, coerce_table, docid_compound, read_csv, read_json_lines, read_json_array,
         upsert_latest, partial_update, update_unmatched, delete_many, lookup_by_key, docid_collisions,
+        search_query_strings, search_han, sort_bool_json_missing, read_csv_bad_rows, batch_numbers,
         collection_cycle, stream_upsert, stream_summary, time_format, json_output, output_fields,
     )
 }

@@ -55,6 +55,30 @@ _HITS = """
     gone AS (SELECT ev.qid, docid FROM ev JOIN qn USING (qid) WHERE n_pos = 0 AND hx > 0)"""
 
 
+_HAN_DOCS = _corpus(
+    "(SELECT doc_id, translate(text, 'aeiou', '这是测试中') AS text FROM documents)", "doc_id", [("text", "zh")]
+)
+# The strings of the benchmark texts, taken apart by hand.
+_TYPED = "qt AS (SELECT DISTINCT qid, scope, token, occur FROM (" + " UNION ALL ".join(
+    f"SELECT item_id AS qid, '{scope}' AS scope, unnest({_list(piece, not scope)}) AS token, '{occur}' AS occur "
+    "FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)"
+    for piece, scope, occur in (
+        ("w[1]", "", "must"), ("w[2]", "", "must_not"), ("'\"' || w[3] || '\"'", "", "should"), ("'\"' || w[4] || ' ' || w[5] || '\"'", "", "should"),
+        ("w[6]", "", "should"), ("w[7]", "text", "should"), ("w[8]", "text", "must_not"),
+    )
+) + "))"
+_KEYS = """keys AS (SELECT CAST(event_id AS VARCHAR) AS docid, event_id, event_type = 'click' AS click,
+    CASE WHEN event_id % 4 <> 0 THEN floor(value) END AS amount, CASE WHEN event_id % 3 <> 0 THEN event_id % 7 END AS third FROM events)"""
+
+
+def _sorted_keys(**orders: str) -> str:
+    return f"WITH {_KEYS} " + " UNION ALL ".join(
+        f"SELECT '{kind.replace('_', ' ')}' AS kind, rank, docid FROM (SELECT docid, row_number() OVER (ORDER BY {order}) AS rank FROM keys) "
+        "WHERE rank <= 60 OR rank BETWEEN 8901 AND 9000"
+        for kind, order in orders.items()
+    )
+
+
 def _fixed(*tokens: tuple[str, str]) -> str:
     rows = ", ".join(f"(1::BIGINT, '', '{t}', '{o}')" for t, o in tokens)
     return f"qt AS (SELECT * FROM (VALUES {rows}) v(qid, scope, token, occur))"
@@ -106,7 +130,7 @@ _RAW = """
                              WHEN unsigned_v IS NULL THEN 'field unsigned: can not convert ' || unsigned_ || ' to u16'
                              WHEN real_v IS NULL THEN 'field real: can not convert ' || real_ || ' to f64'
                              WHEN at_ = 'no date' THEN 'field at: can not convert no date to datetime'
-                             WHEN NOT has_key THEN 'pk field must be specified' END AS error FROM conv)"""
+                             WHEN NOT has_key THEN 'a key field has no value' END AS error FROM conv)"""
 
 _ORDERS_READ = """SELECT CAST(o_orderkey AS VARCHAR) AS docid, o_custkey, o_orderstatus, o_totalprice,
     strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, {priority} AS o_orderpriority, CAST(NULL AS VARCHAR) AS error FROM orders"""
@@ -142,6 +166,27 @@ ORACLES: dict[str, str] = {
     "bm25_topk_batch": f"""WITH {_DOCS}, {_benchmark('should')}, {_HITS}
     SELECT qid, rank, docid, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM hit)
     WHERE rank <= 10""",
+    "search_query_strings": f"""WITH {_DOCS}, {_TYPED}, {_HITS}
+    SELECT qid, rank, docid, round(score, 5) AS score FROM (
+      SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
+      FROM hit JOIN documents ON docid = CAST(doc_id AS VARCHAR) WHERE lang IN ('en', 'fr') AND n_chars >= 300)
+    WHERE rank <= 20""",
+    "search_han": f"""WITH {_HAN_DOCS},
+    qt AS (SELECT DISTINCT item_id AS qid, '' AS scope,
+             unnest({_list("'[' || array_to_string(string_split(translate(text, 'aeiou', '这是测试中'), ' ')[1:3], ', ') || ']'", True)}) AS token,
+             'should' AS occur FROM benchmark), {_HITS}
+    SELECT qid, rank, docid, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM hit)
+    WHERE rank <= 5""",
+    "sort_bool_json_missing": _sorted_keys(
+        bool="click DESC NULLS LAST, event_id", json="amount ASC NULLS LAST, event_id DESC", json_last="amount DESC NULLS LAST, event_id",
+        missing="third DESC NULLS LAST, click, event_id",
+    ),
+    "read_csv_bad_rows": """SELECT CASE WHEN o_orderkey % 50 NOT IN (1, 2) THEN CAST(o_orderkey AS VARCHAR) END AS docid,
+    CASE WHEN o_orderkey % 50 NOT IN (1, 2) THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 50 NOT IN (1, 2) THEN 2.5::DOUBLE END AS o_totalprice,
+    CASE o_orderkey % 50 WHEN 1 THEN 'wrong number of cells: ' || o_orderkey || ',' || o_custkey
+         WHEN 2 THEN 'wrong number of cells: ' || o_orderkey || ',' || o_custkey || ',P,1,' || repeat('long ', 100) END AS error,
+    CASE WHEN o_orderkey % 50 IN (1, 2) THEN 'read' END AS stage FROM orders""",
+    "batch_numbers": "SELECT CAST(o_orderkey AS VARCHAR) AS docid, o_custkey, o_orderstatus, o_totalprice FROM orders",
     "search_filtered_topk": f"""WITH {_DOCS}, {_fixed(('the', 'must'), ('thre', 'should'))}, {_HITS}
     SELECT rank, doc_id, lang, source, n_chars, round(score, 5) AS score FROM
       (SELECT *, row_number() OVER (ORDER BY score DESC, docid) AS rank FROM hit JOIN documents ON docid = CAST(doc_id AS VARCHAR)
@@ -201,7 +246,7 @@ ORACLES: dict[str, str] = {
     "ingest_report": f"WITH {_RAW} SELECT event_id AS pos, CASE WHEN error IS NULL THEN CAST(event_id AS VARCHAR) END AS docid, error FROM judged",
     "ingest_summary": f"WITH {_RAW} SELECT 'coerced' AS index, count(*) FILTER (error IS NULL) AS docs, 0::BIGINT AS unreadable, "
     "count(error) AS failed, CASE WHEN count(error) > 0 THEN 500 ELSE 200 END AS code, "
-    "CASE WHEN count(error) > 0 THEN 'failed to index docs' ELSE 'OK' END AS msg FROM judged",
+    "CASE WHEN count(error) > 0 THEN 'some documents were rejected' ELSE 'OK' END AS msg FROM judged",
     "coerce_table": """SELECT true AS has_seq, CASE WHEN error IS NULL THEN CAST(c_custkey AS VARCHAR) END AS docid,
     CASE WHEN error IS NULL THEN c_name END AS c_name, CASE WHEN error IS NULL THEN c_nationkey <> 0 END AS c_nationkey,
     CASE WHEN error IS NULL THEN CAST(trunc(c_acctbal) AS INTEGER) END AS c_acctbal, CASE WHEN error IS NULL THEN 0.25::DOUBLE END AS c_mktsegment, error

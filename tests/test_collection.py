@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from folioseek import Field, IndexSpec
 from folioseek.operators import mutate
 from folioseek.operators.sorting import RELEVANCE, Sort
-from folioseek.operators.typed import accepted, typed_read
+from folioseek.operators.typed import KEY_MISSING, accepted, typed_read
 from folioseek.plans.collection import Collection
 from folioseek.plans.search import query_frame
 from folioseek.sources import readers
@@ -44,7 +44,7 @@ def fresh(spark, tmp_path, name, *builds):
 def test_life_of_a_collection(spark, tmp_path):
     c = Collection(spark, str(tmp_path / "c"), SPEC, buckets=4)
     assert state(c) == {}
-    c.append(rows(spark, [{"id": 1, "text": "old one"}, {"id": 2, "text": "two words", "age": 5, "extra": None}, {"id": "x"}, {"id": 1, "text": "new one"}]), 0)
+    c.append(rows(spark, [{"id": 1, "text": "old one"}, {"id": 2, "text": "two words", "age": 5, "extra": None}, {"id": "x"}, {"id": 1, "text": "new one"}]), 0, source="first")
     want = {"1": ("new one", None, None), "2": ("two words", 5, "null")}
     assert state(c) == want
     assert found(spark, c, "old") == {} and set(found(spark, c, "new words")) == {"1", "2"}
@@ -54,7 +54,7 @@ def test_life_of_a_collection(spark, tmp_path):
     assert (s.docs, s.failed, s.code) == (3, 1, 500)
 
     # The same batch again changes nothing.
-    c.append(rows(spark, [{"id": 1, "text": "old one"}, {"id": 2, "text": "two words", "age": 5, "extra": None}, {"id": "x"}, {"id": 1, "text": "new one"}]), 0)
+    c.append(rows(spark, [{"id": 1, "text": "old one"}, {"id": 2, "text": "two words", "age": 5, "extra": None}, {"id": "x"}, {"id": 1, "text": "new one"}]), 0, source="first")
     assert state(c) == want
 
     before = found(spark, c, "new two")
@@ -62,17 +62,19 @@ def test_life_of_a_collection(spark, tmp_path):
     assert state(c) == want and found(spark, c, "new two") == before
     c.compact()  # nothing to fold
 
-    # A batch a snapshot has folded in is not applied again.
-    c.append(rows(spark, [{"id": 9, "text": "late"}]), 0)
+    # A batch a snapshot has folded in is not applied again, and no other batch takes its number.
+    assert c.append(rows(spark, [{"id": 9, "text": "late"}]), 0, source="first") is None
+    with pytest.raises(ValueError, match="rise"):
+        c.append(rows(spark, [{"id": 9, "text": "late"}]), 0)
     assert state(c) == want
 
-    c.update(rows(spark, [{"id": 2, "age": 6}, {"id": 2, "text": "two things"}, {"id": 7, "age": 1}, {"id": 2, "age": 7}, {"age": 3}]), 1)
+    c.update(rows(spark, [{"id": 2, "age": 6}, {"id": 2, "text": "two things"}, {"id": 7, "age": 1}, {"id": 2, "age": 7}, {"age": 3}]), 1, source="second")
     want["2"] = ("two things", 7, "null")
     assert state(c) == want
     errors = [r.error for r in c.report(1).orderBy("seq").collect()]
-    assert errors == [None, None, mutate.NOT_FOUND, None, "pk field must be specified"]
+    assert errors == [None, None, mutate.NOT_FOUND, None, KEY_MISSING]
     assert found(spark, c, "words") == {} and set(found(spark, c, "things")) == {"2"}
-    c.update(rows(spark, [{"id": 2, "age": 6}, {"id": 2, "text": "two things"}, {"id": 2, "age": 7}]), 1)
+    c.update(rows(spark, [{"id": 2, "age": 6}, {"id": 2, "text": "two things"}, {"id": 2, "age": 7}]), source="second")
     assert state(c) == want
 
     c.append(rows(spark, [{"id": 3, "text": "three new"}, {"id": 1, "text": "one new new"}]), 2)
@@ -87,6 +89,40 @@ def test_life_of_a_collection(spark, tmp_path):
     assert [r.docid for r in excluding.page_ids.collect()] == ["1"]
 
 
+def test_no_batch_is_lost(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "c"), SPEC, buckets=4)
+    c.append(rows(spark, [{"id": 1, "text": "a"}]), 0)
+    c.compact()
+    for batch in (0, -1):
+        with pytest.raises(ValueError, match="rise"):
+            c.append(rows(spark, [{"id": 2, "text": "b"}]), batch)
+    assert c.append(rows(spark, [{"id": 2, "text": "b"}])) == 1
+    assert c.append(rows(spark, [{"id": 3, "text": "c"}]), source="s") == 2
+    with pytest.raises(ValueError, match="rise"):
+        c.append(rows(spark, [{"id": 4, "text": "d"}]), 2, source="t")
+    with pytest.raises(ValueError, match="rise"):
+        c.delete(spark.createDataFrame([(1,)], "docid int"), 1)
+    assert c.append(rows(spark, [{"id": 4, "text": "d"}]), 7) == 7
+    assert c.append(rows(spark, [{"id": 3, "text": "again"}]), source="s") is None
+    assert set(state(c)) == {"1", "2", "3", "4"} and state(c)["3"][0] == "c"
+    c.compact()
+    assert c.append(rows(spark, [{"id": 3, "text": "again"}]), source="s") is None
+    assert c.delete(spark.createDataFrame([(1,)], "docid int")) == 8
+    assert set(state(c)) == {"2", "3", "4"}
+
+
+def test_streams_with_checkpoints_of_their_own(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "c"), SPEC, buckets=4)
+    c.append(rows(spark, [{"id": 1, "text": "by hand"}]))
+    for k in (2, 3):
+        (tmp_path / f"in{k}").mkdir()
+        (tmp_path / f"in{k}" / "a.jsonl").write_text('{"id": %d, "text": "stream"}\n' % k)
+        ingest(json_lines_stream(spark, str(tmp_path / f"in{k}")), c, str(tmp_path / f"state{k}"), available_now=True).awaitTermination()
+        c.compact()
+    ingest(json_lines_stream(spark, str(tmp_path / "in2")), c, str(tmp_path / "state2"), available_now=True).awaitTermination()
+    assert set(state(c)) == {"1", "2", "3"} and c.summaries().count() == 3
+
+
 def test_unfinished_batches_are_not_seen(spark, tmp_path):
     c = Collection(spark, str(tmp_path / "c"), SPEC, buckets=4)
     c.append(rows(spark, [{"id": 1, "text": "a"}]), 0)
@@ -164,6 +200,6 @@ def test_repeated_micro_batch_is_harmless(spark, tmp_path):
     df.write.parquet(files)
     c = Collection(spark, str(tmp_path / "c"), spec, buckets=2)
     for attempt in ("s1", "s2"):  # a lost stream state replays batch 0
-        ingest(table_stream(spark, files, df.schema), c, str(tmp_path / attempt), seq="ver", available_now=True).awaitTermination()
+        ingest(table_stream(spark, files, df.schema), c, str(tmp_path / attempt), seq="ver", available_now=True, name="s").awaitTermination()
     assert [(r.docid, r.text) for r in c.docs().select("docid", "doc.text").collect()] == [("1", "b")]
     assert c.summaries().count() == 1

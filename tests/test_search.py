@@ -226,7 +226,7 @@ def test_page_arguments():
 
 
 def test_unknown_output_field_fails_before_any_job(spark, tables):
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="no field nope"):
         Search(tables, SPEC, query_frame(spark, QUERIES), fields=["nope"])
 
 

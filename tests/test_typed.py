@@ -11,6 +11,7 @@ from folioseek.operators import mutate, report
 from folioseek.operators.project import json_document, output_columns
 from folioseek.operators.typed import KEY_MISSING, NOT_AN_OBJECT, accepted, rejected, typed_read
 from folioseek.sources import readers
+from folioseek.spec import layout_pattern
 
 MISSING = object()
 
@@ -173,6 +174,37 @@ def test_json_array_is_all_or_nothing(spark, people, tmp_path):
     assert len(told) == 1 and told[0].stage == "read"
 
 
+def test_large_json_array(spark, people, tmp_path):
+    """A file above the limit of one VARIANT (128 MiB) is read like any other."""
+    p, filler = tmp_path / "large.json", "x" * 1_000_000
+    with p.open("w") as out:
+        out.write("[" + ",".join(json.dumps({"id": i, "name": filler}) for i in range(140)) + "]\n")
+    assert p.stat().st_size > 128 << 20
+    got = typed_read(readers.read(spark, str(p)), people).select("docid", F.length("doc.name").alias("n"), "error").collect()
+    assert len(got) == 140 and all(r.error is None and r.n == 1_000_000 for r in got)
+
+
+def test_rejected_values_are_kept_whole(spark, people, tmp_path):
+    long = "y" * 1_000
+    (tmp_path / "a.jsonl").write_text(json.dumps({"id": 1, "age": long}) + "\n{" + long)
+    errors = {r.error for r in typed_read(readers.read(spark, str(tmp_path / "a.jsonl")), people).collect()}
+    assert errors == {f"field age: can not convert {long} to u16", "not JSON: {" + long}
+
+
+def test_time_layouts(spark):
+    for layout, pattern in {
+        "2006-01-02": "yyyy-MM-dd", "02/Jan/06 03:04:05.000 PM": "dd/MMM/yy hh:mm:ss.SSS a", "2006-01-02T15:04:05": "yyyy-MM-dd'T'HH:mm:ss",
+        "yyyy/MM/dd": "yyyy/MM/dd", "15h04": "HH'h'mm", "1/2/2006": "M/d/yyyy",
+    }.items():
+        assert layout_pattern(layout) == pattern
+    with pytest.raises(ValueError, match="reference moment"):
+        layout_pattern("2019-10-14")
+    spec = IndexSpec.from_dict("t", {"fields": [{"name": "id", "type": "i32", "pk": True}, {"name": "d", "type": "date", "time-fmt": "02.01.2006"}]})
+    raw = spark.createDataFrame([(1, "14.10.2019"), (2, "2019-10-14")], "id int, d string")
+    got = typed_read(readers.from_table(raw), spec).orderBy("seq").collect()
+    assert got[0].error is None and "can not convert" in got[1].error
+
+
 def test_csv(spark, people, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text('id,name,age,tags\n1,"a ""q"" b",10,x y\n2,short\n3,,,"multi\nline"\n4,a,b,c,d\n5,a,old,c\n')
@@ -206,5 +238,5 @@ def test_table_source_types(spark):
 
 
 def test_unknown_output_field_fails(people):
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="no field nope"):
         output_columns(["id", "nope"], people)
