@@ -73,6 +73,14 @@ def tokens(text: Column, tokenizer: str = SPACE) -> Column:
     return F.coalesce(F.when(text.rlike(_ANY_QUOTE), unquoted).otherwise(found), no_tokens())
 
 
+def token_count(text: Column, tokenizer: str = SPACE) -> Column:
+    """``size(tokens(text, tokenizer))``; only texts with a quote build their tokens for it."""
+    if tokenizer == NONE:
+        return F.lit(0)
+    plain = F.coalesce(F.regexp_count(text, F.lit(PATTERNS[tokenizer])), F.lit(0))
+    return F.when(text.rlike(_ANY_QUOTE), F.size(tokens(text, tokenizer))).otherwise(plain)
+
+
 def has_token(text: Column, token: Column, tokenizer: str = SPACE) -> Column:
     """Whether one of the tokens of ``text`` equals ``token``.
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.coerce import let
 from ..spec import JSON, Field, IndexSpec
+from .typed import once
 
 GLOBAL = ""
 # Fixed value: the gap in positions between two fields.
@@ -77,17 +78,19 @@ def _runs(entries: Column, by_field: bool, names: list[str]) -> Column:
 
 
 def analysed(docs: DataFrame, spec: IndexSpec) -> DataFrame:
-    """Rows of ``doc`` plus token arrays ``t0``, ``t1``, ... and their total ``dl``."""
+    """Rows of ``doc`` plus token arrays ``t0``, ``t1``, ... and their total ``dl``; texts are read once."""
     fields = [f for f in spec.fields if f.has_text]
     kept = [c for c in docs.columns if c != "doc"]
-    rows = docs.select(*kept, *[field_tokens(F.col("doc"), f).alias(f"t{i}") for i, f in enumerate(fields)])
+    arrays = [field_tokens(F.col("doc"), f).alias(f"t{i}") for i, f in enumerate(fields)]
+    rows = once(docs, kept, arrays) if arrays else docs.select(*kept)
     total = sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0))
     return rows.withColumn("dl", total)
 
 
 def doc_lengths(docs: DataFrame, spec: IndexSpec) -> DataFrame:
-    rows = analysed(docs, spec)
-    return rows.drop(*[c for c in rows.columns if c[0] == "t" and c[1:].isdigit()])
+    """Rows without ``doc`` and with ``dl``, the number of tokens; they are counted, not built."""
+    counts = [text.token_count(field_text(F.col("doc")[f.name], f), f.tokenizer) for f in spec.fields if f.has_text]
+    return docs.select(*(c for c in docs.columns if c != "doc"), sum(counts, F.lit(0)).cast("int").alias("dl"))
 
 
 def postings(docs: DataFrame, spec: IndexSpec, scopes: str = "both") -> DataFrame:

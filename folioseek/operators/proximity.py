@@ -2,46 +2,45 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed value: the largest proximity that is kept.
 MAX_PROXIMITY = 2
 
 
-def _least_spread(chain) -> float:
-    """min over one position per list of sum |p[i+1] - p[i] - 1|, in one sweep per list."""
-    prev = np.sort(np.asarray(chain[0], dtype=np.int64))
-    cost = np.zeros(len(prev))
-    for nxt in chain[1:]:
-        cur = np.sort(np.asarray(nxt, dtype=np.int64))
-        # Predecessors at p <= cur-1 cost (cur-1) - p, later ones p - (cur-1).
-        below = np.concatenate(([np.inf], np.minimum.accumulate(cost - prev)))
-        above = np.concatenate((np.minimum.accumulate((cost + prev)[::-1])[::-1], [np.inf]))
-        cut = np.searchsorted(prev, cur - 1, side="right")
-        cost = np.minimum(below[cut] + (cur - 1), above[cut] - (cur - 1))
-        prev = cur
-    return cost.min()
+def _least_spread(chain: Column) -> Column:
+    """min over one position per list of sum |p[i+1] - p[i] - 1|, carried from list to list."""
 
+    def reached(at: Column, so_far: Column) -> Column:
+        return F.array_min(F.transform(so_far, lambda s: s["cost"] + F.abs(at - s["at"] - 1)))
 
-@F.pandas_udf(T.DoubleType())
-def _spread(chains: pd.Series) -> pd.Series:
-    return chains.map(_least_spread).astype("float64")
+    def places(positions: Column, cost) -> Column:
+        return F.transform(positions, lambda p: F.struct(p.cast("bigint").alias("at"), cost(p).cast("bigint").alias("cost")))
+
+    return F.aggregate(
+        F.slice(chain, 2, F.size(chain)),
+        places(chain[0], lambda p: F.lit(0)),
+        lambda so_far, positions: places(positions, lambda p: reached(p, so_far)),
+        lambda last: F.array_min(last["cost"]),
+    )
 
 
-def proximity(ordered: DataFrame, posted: DataFrame) -> DataFrame:
+def proximity(ordered: DataFrame, posted: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """``(qid, docid, cno, proximity)`` for clauses all of whose tokens a document holds.
 
     ``ordered`` is (qid, cno, tno, scope, token) in clause order.  A clause of one token
-    has proximity 0 and is left out.
+    has proximity 0 and is left out.  With ``found`` (qid, docid) only these pairs are measured; pairs
+    of query and document also keep the postings of a frequent token from meeting in one task.
     """
     sized = ordered.join(
         ordered.groupBy("qid", "cno").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), ["qid", "cno"]
     )
-    met = sized.join(posted.select("scope", "token", "docid", "positions"), ["scope", "token"])
+    posted = posted.select("scope", "token", "docid", "positions")
+    if found is None:
+        met = sized.join(posted, ["scope", "token"])
+    else:
+        met = sized.join(found.select("qid", "docid"), "qid").join(posted, ["scope", "token", "docid"])
     chains = (
         met.groupBy("qid", "cno", "docid")
         .agg(
@@ -50,7 +49,7 @@ def proximity(ordered: DataFrame, posted: DataFrame) -> DataFrame:
         )
         .filter(F.size("chain") == F.col("n"))
     )
-    return chains.select("qid", "docid", "cno", _spread("chain").cast("bigint").alias("proximity"))
+    return chains.select("qid", "docid", "cno", _least_spread(F.col("chain")).alias("proximity"))
 
 
 def too_far(measured: DataFrame, limit: int = MAX_PROXIMITY) -> DataFrame:

@@ -20,7 +20,6 @@ CLAUSES = "array<struct<field:string,text:string,occur:string>>"
 
 # Tokens held by more documents than this are split over several tasks in shuffle joins.
 HOT_DF = 1_000_000
-MAX_HOT_TOKENS = 1_000
 
 
 def clause(text_: Column, occur: str, field: str | None = None) -> Column:
@@ -157,13 +156,16 @@ def token_hits(tokens: DataFrame, posted: DataFrame, hot: DataFrame | None = Non
     return left.drop("splits").join(right.drop("splits"), ["scope", "token", "part"]).drop("part")
 
 
-def led_hits(tokens: DataFrame, posted: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def led_hits(tokens: DataFrame, posted: DataFrame, hot: DataFrame | None = None, few: int = 0) -> DataFrame:
     """Hits of queries with must tokens, found from each query's rarest must token.
 
     Only documents that hold the rarest one can match, so the other tokens are looked up
     for those documents alone, by (token, document).  Hits then number the rarest token's
     documents times the query's tokens, however frequent the other tokens are, and the
     lookup key is never hot.  Queries with a must token the corpus lacks match nothing.
+
+    Without ``hot`` the queries are few and broadcast.  If the frequencies show that there are at most
+    ``few`` such lookups, those are broadcast too, and no posting of a frequent word is shuffled.
     """
     entry = F.struct("scope", "token", "is_should", "is_must", "is_not", "weight")
     asked = (
@@ -174,29 +176,24 @@ def led_hits(tokens: DataFrame, posted: DataFrame, hot: DataFrame | None = None)
             F.collect_list(entry).alias("asked"),
             F.first("n_must").alias("n_must"),
             F.first("n_positive").alias("n_positive"),
+            F.min(F.when(F.col("is_must"), F.col("df"))).alias("docs"),
         )
         .filter(~F.col("hopeless"))
-        .select("qid", "lead.scope", "lead.token", "asked", "n_must", "n_positive")
     )
-    candidates = token_hits(asked, posted.select("scope", "token", "docid"), hot)
+    lookups = asked.agg(F.sum(F.col("docs") * F.size("asked"))).first()[0] or 0 if hot is None else None
+    asked = asked.select("qid", "lead.scope", "lead.token", "asked", "n_must", "n_positive")
+    candidates = token_hits(asked if hot is not None else F.broadcast(asked), posted.select("scope", "token", "docid"), hot)
     wanted = candidates.select("qid", "docid", "n_must", "n_positive", F.explode("asked").alias("t")).select(
         "qid", "docid", "n_must", "n_positive", "t.*"
     )
-    return wanted.join(posted, ["scope", "token", "docid"])
-
+    if lookups is not None and lookups <= few:
+        wanted = F.broadcast(wanted)
+    return posted.join(wanted, ["scope", "token", "docid"])
 
-def hot_tokens(stats: DataFrame, hot_df: int = HOT_DF, limit: int = MAX_HOT_TOKENS) -> DataFrame:
-    """The most frequent tokens above ``hot_df``, at most ``limit`` of them.
 
-    The limit bounds what is broadcast; it decides only which tokens are split, never
-    which are matched.
-    """
-    return (
-        stats.filter(F.col("df") > hot_df)
-        .orderBy(F.desc("df"), "scope", "token")
-        .limit(limit)
-        .select("scope", "token", F.ceil(F.col("df") / hot_df).cast("int").alias("splits"))
-    )
+def hot_tokens(stats: DataFrame, hot_df: int = HOT_DF) -> DataFrame:
+    """All tokens above ``hot_df``: one row per so many postings at most, so short enough to broadcast."""
+    return stats.filter(F.col("df") > hot_df).select("scope", "token", F.ceil(F.col("df") / hot_df).cast("int").alias("splits"))
 
 
 def evaluate(hits: DataFrame, avg_dl: Column) -> DataFrame:

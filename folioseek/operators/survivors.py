@@ -41,16 +41,24 @@ def positions(docs: DataFrame, order: Sequence[Column]) -> DataFrame:
     return fixed.join(before, "pid").select("docid", (F.col("before") + F.col("row")).alias("pos"))
 
 
-def surviving_page(excluded: DataFrame, placed: DataFrame, page: Page) -> DataFrame:
-    """``(qid, docid, rank)`` of the page for each query in ``excluded (qid, docid)``."""
-    ex = excluded.join(placed, "docid").select(
-        "qid", "pos", F.floor(F.col("pos") / BLOCK).cast("bigint").alias("block")
-    )
+def _block() -> Column:
+    return F.floor(F.col("pos") / BLOCK).cast("bigint")
+
+
+def block_counts(excluded: DataFrame) -> DataFrame:
+    """``(qid, block, n)`` of excluded ``(qid, docid, pos)``; combined before the shuffle."""
+    return excluded.groupBy("qid", _block().alias("block")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def surviving_page(counts: DataFrame, excluded: DataFrame, placed: DataFrame, page: Page) -> DataFrame:
+    """``(qid, docid, rank)`` of the page for each query with ``counts`` of what it excludes.
+
+    ``excluded`` is asked again for the blocks on the page alone.
+    """
+    ex = excluded.select("qid", "pos", _block().alias("block"))
     in_order = Window.partitionBy("qid").orderBy("block")
     blocks = (
-        ex.groupBy("qid", "block")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
+        counts.select(
             "qid",
             "block",
             F.sum("n").over(in_order).alias("gone"),

@@ -55,7 +55,7 @@ def _raw_columns(docs: DataFrame, spec: IndexSpec) -> tuple[DataFrame, dict[str,
     return rows, types
 
 
-def _once(df: DataFrame, kept: list[str], columns: list[Column]) -> DataFrame:
+def once(df: DataFrame, kept: list[str], columns: list[Column]) -> DataFrame:
     """Add ``columns``, computed once per row.
 
     A plain select would be merged with what follows, and each later use, such as the
@@ -82,7 +82,7 @@ def typed_read(docs: DataFrame, spec: IndexSpec) -> DataFrame:
     raw_names = [f"r{i}" for i in at]
     variants = [i for i, f in enumerate(spec.fields) if isinstance(types[f.name], T.VariantType)]
     if variants:
-        rows = _once(
+        rows = once(
             rows,
             [*kept, "error", "stage", *[f"r{i}" for i in at if i not in variants]],
             [c for i in variants for c in (F.col(f"r{i}"), F.schema_of_variant(f"r{i}").alias(f"kind{i}"))],
@@ -134,7 +134,7 @@ def typed_read(docs: DataFrame, spec: IndexSpec) -> DataFrame:
         )
 
     if fallible and not variants:
-        values = _once(rows, [*kept, "error", "stage", *raw_names], converted(raws))
+        values = once(rows, [*kept, "error", "stage", *raw_names], converted(raws))
         values = values.withColumn("why", why(raws, F.col))
     elif fallible:
         # In lambdas, so that many fields do not make one method too long to compile.

@@ -15,9 +15,12 @@ from ..operators.postings import token_stats
 from ..session import staged
 from ..spec import IndexSpec
 
-# A query batch with at most this many token rows is broadcast and prunes the scan; it is
-# counted, not guessed.  Larger batches take shuffle joins.
+# A query batch with at most this many token rows and bytes is broadcast and prunes the scan; it
+# is counted, not guessed.  Larger batches take shuffle joins; results are the same.
 SMALL_BATCH = 10_000
+SMALL_BYTES = 8 << 20
+# Rows of candidates, and of pages, up to which they are broadcast to look up postings and documents.
+FEW_ROWS = 200_000
 # Tokens listed in a scan predicate at most.
 LISTED_TOKENS = 1_000
 
@@ -79,24 +82,31 @@ class Search:
 
     # -- what the batch looks like ----------------------------------------------------
 
+    @cached_property
+    def _figures(self):
+        """Token rows, their bytes and the kinds of query (at most three), of a batch of any size."""
+        return self.tokens.agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes"),
+            F.collect_set(retrieve.kind()).alias("kinds"),
+            F.coalesce(F.bool_or("is_must"), F.lit(False)).alias("musts"),
+            F.coalesce(F.bool_or("is_not"), F.lit(False)).alias("nots"),
+        ).first()
+
     @cached_property
     def _sample(self) -> list | None:
         """All token rows of a small batch, None for a large one."""
-        bucket = token_bucket(self.tables.buckets or 1).alias("bucket")
-        rows = (
-            self.tokens.select("scope", "token", bucket, "is_must", "is_not", retrieve.kind().alias("kind"))
-            .limit(SMALL_BATCH + 1)
-            .collect()
-        )
-        return rows if len(rows) <= SMALL_BATCH else None
+        if self._figures.rows > SMALL_BATCH or self._figures.bytes > SMALL_BYTES:
+            return None
+        return self.tokens.select("scope", "token", token_bucket(self.tables.buckets or 1).alias("bucket")).collect()
 
     def _may_hold(self, kind: str) -> bool:
-        return self._sample is None or any(r.kind == kind for r in self._sample)
+        return kind in self._figures.kinds
 
     def _prune(self, rows: DataFrame) -> DataFrame:
-        """Cut postings or statistics to the buckets and tokens of a small batch."""
+        """Cut postings or statistics to the tokens that are asked, in a small batch by the scan itself."""
         if self._sample is None:
-            return rows
+            return rows.join(self._wanted, ["scope", "token"], "left_semi")
         asked = [r for r in self._sample if r.token is not None]
         if not asked:
             return rows.filter(F.lit(False))
@@ -106,7 +116,15 @@ class Search:
         return rows.filter(F.col("token").isin(*tokens)) if len(tokens) <= LISTED_TOKENS else rows
 
     @cached_property
-    def _postings(self) -> DataFrame:
+    def _wanted(self) -> DataFrame:
+        """The distinct tokens of a large batch; broadcast if counted to be few bytes."""
+        wanted = staged(self.tokens.filter(F.col("token").isNotNull()).select("scope", "token").distinct(), "wanted")
+        size = wanted.agg(F.coalesce(F.sum(F.octet_length("token") + F.octet_length("scope") + 32), F.lit(0))).first()[0]
+        return F.broadcast(wanted) if size <= SMALL_BYTES else wanted
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """The postings of the tokens that are asked."""
         return self._prune(self.tables.postings)
 
     @cached_property
@@ -121,7 +139,7 @@ class Search:
 
     @cached_property
     def _only_should(self) -> bool:
-        return self._sample is not None and not any(r.is_must or r.is_not for r in self._sample)
+        return not self._figures.musts and not self._figures.nots
 
     @cached_property
     def _corpus(self) -> tuple[Column, Column]:
@@ -129,24 +147,35 @@ class Search:
         row = self.tables.corpus.first()
         return F.lit(row.n_docs), F.lit(float(row.avg_dl))
 
+    @cached_property
+    def _stats(self) -> DataFrame:
+        if self.tables.stats is not None:
+            return self._prune(self.tables.stats)
+        return token_stats(self.postings)
+
+    @cached_property
+    def _weighted(self) -> DataFrame:
+        return staged(retrieve.weighted(self.tokens, self._stats, self._corpus[0]), "weighted")
+
     @cached_property
     def _hits(self) -> DataFrame:
+        """Hits of the queries with positive tokens; those with must words start from their rarest."""
+        posted = self.postings.select("scope", "token", "docid", "tf", "dl")
         small = self._sample is not None
-        posted = self._postings.select("scope", "token", "docid", "tf", "dl")
-        asked = self.tokens
-        if self.tables.stats is not None:
-            stats = self._prune(self.tables.stats)
-        else:
-            wanted = asked.filter(F.col("token").isNotNull()).select("scope", "token").distinct()
-            stats = token_stats(posted.join(F.broadcast(wanted) if small else wanted, ["scope", "token"], "left_semi"))
-        weighted = retrieve.weighted(asked, stats, self._corpus[0])
-        if small:
-            return retrieve.token_hits(F.broadcast(weighted), posted)
-        hot = retrieve.hot_tokens(stats)
-        led = retrieve.led_hits(weighted.filter(F.col("n_must") > 0), posted, hot)
-        loose = retrieve.token_hits(weighted.filter(F.col("n_must") == 0), posted, hot)
+        weighted = self._weighted.filter(F.col("n_positive") > 0)
         columns = ["qid", "docid", *retrieve.ROLES, "n_must", "n_positive", "weight", "tf", "dl"]
-        return led.select(columns).unionByName(loose.select(columns))
+        hot = None if small else retrieve.hot_tokens(self._stats)
+        parts = []
+        if self._figures.musts:
+            musts = weighted.filter(F.col("n_must") > 0)
+            parts.append(retrieve.led_hits(musts, posted, hot, FEW_ROWS).select(columns))
+        loose = weighted.filter(F.col("n_must") == 0)
+        if small:
+            # By document first: a posting is shuffled once, however many queries ask for its token.
+            parts.append(retrieve.token_hits(F.broadcast(loose), posted.repartition("docid")).select(columns))
+        else:
+            parts.append(retrieve.token_hits(loose, posted, hot).select(columns))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     @cached_property
     def _evaluated(self) -> DataFrame:
@@ -163,7 +192,7 @@ class Search:
             ordered = retrieve.clause_tokens(self.queries, self.spec).filter(
                 F.col("occur") != retrieve.MUST_NOT
             )
-            far = proximity.too_far(proximity.proximity(ordered, self._postings), self.max_proximity)
+            far = proximity.too_far(proximity.proximity(ordered, self.postings, found), self.max_proximity)
             found = found.join(far, ["qid", "docid"], "left_anti")
         if self.predicate is None and not sorting.uses_fields(self.keys):
             return found
@@ -173,13 +202,22 @@ class Search:
     def _order(self):
         return sorting.orderings(self.keys, self.spec, F.col("score"))
 
+    @cached_property
+    def _placed(self) -> DataFrame:
+        return survivors.positions(self._unscored, self._order)
+
     @cached_property
     def _excluded(self) -> DataFrame:
-        """What the excluding queries rule out, written once: pages and totals share it."""
-        barred = self._hits.filter((F.col("n_positive") == 0) & F.col("is_not")).select("qid", "docid").distinct()
-        if self.predicate is not None:
-            barred = barred.join(self._docs.select("docid"), "docid").select("qid", "docid")
-        return staged(barred, "excluded")
+        """``(qid, docid, pos)`` ruled out by excluding queries; never written, only counted by block."""
+        barring = self._weighted.filter(F.col("n_positive") == 0).select("qid", "scope", "token")
+        at = self.postings.select("scope", "token", "docid").join(self._placed, "docid")
+        barring = F.broadcast(barring) if self._sample is not None else barring
+        return at.join(barring, ["scope", "token"]).select("qid", "docid", "pos").distinct()
+
+    @cached_property
+    def _blocks(self) -> DataFrame:
+        """How many positions of each block a query excludes."""
+        return staged(survivors.block_counts(self._excluded), "blocks")
 
     @cached_property
     def _kinds(self) -> DataFrame:
@@ -219,8 +257,7 @@ class Search:
         if self._may_hold("all"):
             plain.append(self._kinds.filter(F.col("kind") == "all").select("qid"))
         if self._may_hold("not_only"):
-            placed = survivors.positions(self._unscored, self._order)
-            rest = survivors.surviving_page(self._excluded, placed, self.page_args)
+            rest = survivors.surviving_page(self._blocks, self._excluded, self._placed, self.page_args)
             parts.append(
                 rest.select("qid", "docid", "rank", F.lit(0.0).alias("score"))
             )
@@ -228,7 +265,7 @@ class Search:
             plain.append(
                 self._kinds.filter(F.col("kind") == "not_only")
                 .select("qid")
-                .join(self._excluded.select("qid").distinct(), "qid", "left_anti")
+                .join(self._blocks.select("qid").distinct(), "qid", "left_anti")
             )
         if plain:
             qids = plain[0] if len(plain) == 1 else plain[0].unionByName(plain[1])
@@ -238,13 +275,19 @@ class Search:
             out = out.unionByName(part)
         return out
 
+    @cached_property
+    def _few_ids(self) -> DataFrame:
+        """The page's rows, broadcast unless they may be many: then no document is shuffled to show them."""
+        few = self._figures.rows * self.page_args.size <= FEW_ROWS
+        return F.broadcast(self.page_ids) if few else self.page_ids
+
     @cached_property
     def page(self) -> DataFrame:
         """The page with the chosen fields: ``(qid, rank, docid, score, <fields>)``."""
         shown = self.tables.docs.select(
             "docid", F.struct(*project.output_columns(self.fields, self.spec)).alias("shown")
         )
-        return self.page_ids.join(shown, "docid").select("qid", "rank", "docid", "score", "shown.*")
+        return shown.join(self._few_ids, "docid").select("qid", "rank", "docid", "score", "shown.*")
 
     @cached_property
     def json_page(self) -> DataFrame:
@@ -252,7 +295,7 @@ class Search:
         shown = self.tables.docs.select(
             "docid", project.json_document(self.fields, self.spec).alias("json")
         )
-        return self.page_ids.join(shown, "docid").select("qid", "rank", "docid", "json")
+        return shown.join(self._few_ids, "docid").select("qid", "rank", "docid", "json")
 
     # -- figures ----------------------------------------------------------------------
 
@@ -268,7 +311,7 @@ class Search:
             found = F.coalesce("n_match", F.lit(0))
         gone = F.lit(0)
         if self._may_hold("not_only"):
-            n = self._excluded.groupBy("qid").agg(F.count(F.lit(1)).alias("n_gone"))
+            n = self._blocks.groupBy("qid").agg(F.sum("n").alias("n_gone"))
             counts = counts.join(n, "qid", "left")
             gone = F.coalesce("n_gone", F.lit(0))
         total = found

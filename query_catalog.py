@@ -321,7 +321,7 @@ def proximity_spread(spark, sf):
     index = index_of(spark, sf, "documents", DOCUMENTS)
     s = index.search(query_frame(spark, clauses), max_proximity=proximity.MAX_PROXIMITY)
     ordered = retrieve.clause_tokens(s.queries, DOCUMENTS)
-    return proximity.proximity(ordered, s._postings).select("qid", "docid", "proximity")
+    return proximity.proximity(ordered, s.postings).select("qid", "docid", "proximity")
 
 
 def search_proximity(spark, sf):

@@ -141,7 +141,7 @@ def mode(request, monkeypatch):
     if request.param == "large-hot":
         # Every token counts as hot and is split.
         original = retrieve.hot_tokens
-        monkeypatch.setattr(retrieve, "hot_tokens", lambda stats, *a: original(stats, 3, 1000))
+        monkeypatch.setattr(retrieve, "hot_tokens", lambda stats, *a: original(stats, 3))
     monkeypatch.setattr(survivors, "BLOCK", 4)
     return request.param
 
@@ -339,3 +339,39 @@ def test_json_sort_key(spark, filter_docs):
     assert [r.docid for r in rows] == ["1", "0", "2", "3"]
     hits = Search(t, FILTER_SPEC, query_frame(spark, [(1, [("j", "red", "must")])]), sort=[Sort(RELEVANCE)]).matches.collect()
     assert [r.docid for r in hits] == ["0"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_show_pages_without_shuffling_documents(spark, tables):
+    s = Search(tables, SPEC, query_frame(spark, QUERIES), sort=[Sort(RELEVANCE)], page=Page.of(1, 3))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        shown = s.tables.docs.select("docid", F.col("doc").alias("whole"))
+        plan = plan_of(shown.join(s._few_ids, "docid"))
+        assert "BroadcastHashJoin" in plan
+        documents = [line for line in plan.split("\n") if "whole" in line and "Exchange hashpartitioning" in line]
+        assert not documents
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_plans_measure_proximity_without_python(spark, tables):
+    s = Search(tables, SPEC, query_frame(spark, QUERIES), max_proximity=2)
+    assert "Python" not in plan_of(s.matches) and "Pandas" not in plan_of(s.matches)
+
+
+def test_must_queries_stage_no_positions(spark, tables, monkeypatch):
+    written = []
+    original = search_plan.staged
+    monkeypatch.setattr(search_plan, "staged", lambda df, label: written.append(label) or original(df, label))
+    monkeypatch.setattr(search_plan.survivors, "staged", lambda df, label: written.append(label) or original(df, label))
+    for small in (True, False):
+        if not small:
+            monkeypatch.setattr(search_plan, "SMALL_BATCH", 0)
+        s = Search(tables, SPEC, query_frame(spark, [(1, [(None, "the", "must")]), (2, [(None, "a", "must")])]))
+        s.page_ids.collect(), s.totals.collect()
+    assert set(written) <= {"weighted", "wanted"}

@@ -58,7 +58,8 @@ def test_token_properties(spark):
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
     for mode in (text.SPACE, text.HAN):
-        for r in df.select("s", text.tokens(F.col("s"), mode).alias("t")).collect():
+        for r in df.select("s", text.tokens(F.col("s"), mode).alias("t"), text.token_count(F.col("s"), mode).alias("n")).collect():
+            assert r.n == len(r.t)
             assert all(t and t in r.s for t in r.t)
             assert all(t[0] not in ".-:" and t[-1] not in ".-:" for t in r.t)
             # tokens come in text order and do not overlap
