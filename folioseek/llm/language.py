@@ -132,9 +132,9 @@ def fit_languages(
     rows = rows.filter(~held_out("doc_id") & F.col("lang").isNotNull())
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(counts)
-    code = codewords(len(languages))
     if len(languages) < 2:
-        return LanguageModel(languages, code, None, None)
+        return LanguageModel(languages, np.zeros((len(languages), 0)), None, None)
+    code = codewords(len(languages))
     shares = F.create_map(*(F.lit(v) for lang in languages for v in (lang, min(1.0, per_language / counts[lang]))))
     sample = rows.filter(uniform("doc_id", ROW, seed=seed) < F.element_at(shares, F.col("lang")))
 

@@ -5,12 +5,13 @@
 2. Classes that share a band key are candidates.  Each is compared with the first and the last
    class of each of its bands, which is linear in the size of a band and joins most of a group.
 3. Where a band still holds several components, its other pairs across components matter too.
-   Let L be the first class of a band and x, y two others of it.  What x and y have in common lies in L, and
-   is at most what the lesser of them shares with L, or outside L.  So x and y are alike only if both
-   share enough with L, which is a test of two numbers, or have a shingle outside L in common,
-   which is a join on such shingles; and of these only a prefix in hash order is needed (a set of n
-   has at least percent of n in common with what it is like).  Nothing that is alike is passed over,
-   and a group of many near copies is not compared pair by pair.
+   Let M be any set, and x, y two classes that follow one first class.  What x and y have in common
+   lies in M, and is at most what the lesser of them shares with M, or outside M.  So x and y are alike
+   only if both share enough with M, which is a test of two numbers, or have a shingle outside M in
+   common, which is a join on such shingles; and of these only a prefix in hash order is needed (a
+   set of n has at least percent of n in common with what it is like).  M is the first class's set, or
+   for many followers what a third of some of them share: then only their differences are left
+   outside, and a group of many near copies is not compared pair by pair.  Nothing alike is passed over.
    Pairs inside a component need no test: the answer is the component.
 4. Every link is confirmed on the full sets of shingles, as words, never on hashes.
 
@@ -24,15 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioseek.llm.common import FILE, ROW, numbered
+from folioseek.llm.common import FILE, ROW, numbered, small_batches
 from folioseek.llm.components import components
 from folioseek.llm.shingles import Circulant, Shingler, shingle_set
 from folioseek.session import staged
 
 BANDS, ROWS, PERCENT = 52, 7, 80
+#: From so many followers on, the base is what a third of some of them share.
+MANY, SOME = 16, 25
 
 
 def _prints(size: int, bands: int, rows: int, seed: int):
@@ -56,42 +59,60 @@ def _prints(size: int, bands: int, rows: int, seed: int):
 
 
 def _compared(size: int, percent: int):
-    """Rows (u, v, a, b) of ids and texts to (u, v, common shingles, linked)."""
+    """Rows (u, v, a, b) of ids and texts to the linked (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = None, set()
         for batch in batches:
-            common, linked = [], []
+            linked = []
             a, b = batch.column(2), batch.column(3)
             for i, node in enumerate(batch.column(0).to_pylist()):
                 if node != last:
                     last, first = node, shingle_set(a[i].as_py(), size)
                 second = shingle_set(b[i].as_py(), size)
-                common.append(len(first & second))
-                linked.append(100 * common[-1] >= percent * (len(first) + len(second) - common[-1]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], names=["u", "v", "common", "linked"]
-            )
+                common = len(first & second)
+                linked.append(100 * common >= percent * (len(first) + len(second) - common))
+            both = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"])
+            yield both.filter(pa.array(linked, pa.bool_()))
+
+    return run
+
+
+def _hashed(size: int):
+    """Rows (low, text) to (low, hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size)
+        for batch in batches:
+            found = [shingler.hashes(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["low", "hashes"])
 
     return run
 
 
 def _outside(size: int, percent: int):
-    """Rows (low, node, n, common, text of low, text of node) to (low, node, prefix of the hashes outside low)."""
+    """Rows (low, node, n, base, text of low, text of node) to (low, node, common, rest).
+
+    ``common`` counts what the node shares with the base, or without one with low; ``rest`` is the
+    prefix of its other hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, last, inside = Shingler(size), None, None
         for batch in batches:
-            prefixes = []
-            a, b = batch.column(4), batch.column(5)
-            for i, (low, n, common) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)))):
+            counts, prefixes = [], []
+            base, a, b = batch.column(3), batch.column(4), batch.column(5)
+            for i, (low, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 if low != last:
-                    last, inside = low, shingler.hashes(a[i].as_py())
+                    last, given = low, base[i].as_py()
+                    inside = shingler.hashes(a[i].as_py()) if given is None else np.array(given, np.int64).view(np.uint64)
                 rest = np.setdiff1d(shingler.hashes(b[i].as_py()), inside, assume_unique=True)
-                least = max(1, -(-percent * n // 100) - common)
+                counts.append(n - len(rest))
+                least = max(1, -(-percent * n // 100) - counts[-1])
                 prefixes.append(rest[: max(0, len(rest) - least + 1)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(prefixes, pa.list_(pa.int64()))], names=["low", "node", "rest"]
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["low", "node", "common", "rest"],
             )
 
     return run
@@ -120,7 +141,9 @@ def near_duplicates(
     texts = numbered(docs, doc_id=F.col(id_col), text=F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     id_type = dict(texts.dtypes)["doc_id"]
     schema = f"{FILE} long, {ROW} long, doc_id {id_type}, n long, h1 long, h2 long, bands array<long>"
-    prints = staged(texts.mapInArrow(_prints(size, bands, rows, seed), schema), "prints")
+    spark = docs.sparkSession
+    with small_batches(spark):
+        prints = staged(texts.mapInArrow(_prints(size, bands, rows, seed), schema), "prints")
     own = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", FILE, ROW)
     classes = (
         prints.filter("n > 0").groupBy("n", "h1", "h2")
@@ -148,25 +171,34 @@ def near_duplicates(
 
     def compared(pairs: DataFrame) -> DataFrame:
         both = with_texts(pairs, "u", "v").select("u", "v", "a", "b")
-        return both.mapInArrow(_compared(size, percent), "u long, v long, common long, linked boolean")
+        return both.mapInArrow(_compared(size, percent), "u long, v long")
 
-    tested = staged(compared(pairs), "tested")
-    links = tested.filter("linked").select("u", "v")
+    with small_batches(spark):
+        links = staged(compared(pairs), "links")
     found = staged(components(links), "components")
 
     # First classes whose followers are in more than one component.
     rooted = shared.select("low", "node").filter("low <> node").distinct().join(found, "node", "left")
     rooted = staged(rooted.withColumn("root", F.coalesce("root", "node")), "followers")
     several = staged(rooted.groupBy("low").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p < q").select("low"), "several")
-    members = rooted.join(several, "low").join(
-        tested.select(F.col("u").alias("low"), F.col("v").alias("node"), "common"), ["low", "node"]
-    ).join(classes.select("node", "n"), "node")
-    members = staged(members.select("low", "node", "root", "n", "common"), "members")
+    members = staged(rooted.join(several, "low").join(classes.select("node", "n"), "node").select("low", "node", "root", "n"), "members")
     lows = staged(members.groupBy("node").agg(F.collect_set("low").alias("lows")), "lows")  # at most one per band
-    outside = with_texts(members, "low", "node").select("low", "node", "n", "common", "a", "b")
-    outside = outside.mapInArrow(_outside(size, percent), "low long, node long, rest array<long>")
-    members = staged(members.join(lows, "node"), "placed-members")
-    outside = staged(outside.join(members, ["low", "node"]).select("low", "node", "root", "n", "lows", F.explode("rest").alias("h")), "outside")
+
+    # What many followers share, from a bounded number of them.
+    many = staged(members.groupBy("low").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= MANY), "many")
+    drawn = Window.partitionBy("low").orderBy(F.xxhash64("node"))
+    some = members.join(many, "low").withColumn("draw", F.row_number().over(drawn)).filter(F.col("draw") <= SOME).select("low", "node")
+    some = staged(some.join(spelled, "node").select("low", "text").mapInArrow(_hashed(size), "low long, hashes array<long>"), "some")
+    often = some.select("low", F.explode("hashes").alias("h")).groupBy("low", "h").agg(F.count(F.lit(1)).alias("c"))
+    often = often.join(some.groupBy("low").agg(F.count(F.lit(1)).alias("of")), "low").filter("3 * c >= of")
+    bases = staged(often.groupBy("low").agg(F.collect_list("h").alias("base")), "bases")
+
+    outside = with_texts(members, "low", "node").join(bases, "low", "left").select("low", "node", "n", "base", "a", "b")
+    with small_batches(spark):
+        outside = staged(outside.mapInArrow(_outside(size, percent), "low long, node long, common long, rest array<long>"), "outside")
+    placed = staged(members.join(lows, "node").join(outside, ["low", "node"]), "placed")
+    members = placed.drop("rest")
+    outside = placed.select("low", "node", "root", "n", "lows", F.explode("rest").alias("h"))
 
     def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         return tuple(rows.select([F.col(c).alias(side + c) for c in rows.columns]) for side in ("l_", "r_"))
@@ -183,7 +215,8 @@ def near_duplicates(
     across = left.join(right, (F.col("l_h") == F.col("r_h")) & apart & once)
     rest = [p.select(F.col("l_node").alias("u"), F.col("r_node").alias("v")).distinct() for p in (near_first, across)]
     rest = staged(rest[0].unionByName(rest[1]).distinct().join(pairs, ["u", "v"], "left_anti"), "rest")
-    more = staged(compared(rest).filter("linked").select("u", "v"), "more-links")
+    with small_batches(spark):
+        more = staged(compared(rest), "more-links")
     if not more.isEmpty():
         found = staged(components(links.unionByName(more)), "components")
 

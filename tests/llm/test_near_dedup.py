@@ -43,6 +43,16 @@ def corpus():
                     words[rng.randrange(length)] = rng.choice(vocabulary)
                 rows.append((n, rng.choice([" ", "\n", "\t "]).join(w.upper() if rng.random() < 0.2 else w for w in words)))
                 n += 1
+    # Many near copies of one text, some too far from all others, some alike only among themselves.
+    base = [rng.choice(vocabulary) for _ in range(90)]
+    for k in range(70):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 4, 7, 9, 11])):
+            words[rng.randrange(90)] = rng.choice(vocabulary[:60])
+        for _ in range(1 + (k % 9 == 0)):
+            rows.append((n, " ".join(words)))
+            words[rng.randrange(90)] = f"own{k}"
+            n += 1
     # A chain: neighbours are alike, the ends are not.
     words = [f"c{i}" for i in range(200)]
     for k in range(12):
