@@ -79,7 +79,7 @@ class WordFeatures:
                     for i in range(order):
                         h = mixed(h * np.uint64(0xC4CEB9FE1A85EC53) + part[i : len(part) - order + 1 + i])
                     found.append((h >> np.uint64(64 - BITS)).astype(np.int64))
-            before = line[-2:]
+            before = np.stack([line[-2:, 0], forms[-2:]], axis=1)
             new, times = np.unique(np.concatenate(found), return_counts=True)
             if len(index):
                 new, back = np.unique(np.concatenate([index, new]), return_inverse=True)
