@@ -285,6 +285,12 @@ class Collection:
     def report(self, batch: int) -> DataFrame:
         return report(self._log("rows", [batch]))
 
+    def collisions(self, batch: int) -> DataFrame:
+        """Ids of a batch that different keys share, inside it or with documents stored before it."""
+        new = self._log("rows", [batch]).filter(F.col("error").isNull() & F.col("doc").isNotNull()).select("docid", "doc")
+        old = self.docs(before=batch).join(new.select("docid").distinct(), "docid", "left_semi").select("docid", "doc")
+        return mutate.docid_collisions(new.unionByName(old), self.spec)
+
     def summaries(self) -> DataFrame:
         """One row per finished batch."""
         return self.spark.read.schema(SUMMARY).parquet(self._at("log", "summary"))

@@ -156,6 +156,15 @@ def test_lookup_and_collisions(spark):
     assert [r.docid for r in mutate.docid_collisions(typed_read(readers.from_table(raw), clash), clash).collect()] == ["a_b_c"]
 
 
+def test_collisions_of_a_batch(spark, tmp_path):
+    spec = IndexSpec.of("k", [Field("a", pk=True), Field("b", pk=True)])
+    c = Collection(spark, str(tmp_path / "c"), spec, buckets=2)
+    c.append(readers.from_table(spark.createDataFrame([("a_b", "c"), ("p", "q")], "a string, b string")))
+    c.append(readers.from_table(spark.createDataFrame([("a", "b_c"), ("p", "q"), ("x_y", "z"), ("x", "y_z")], "a string, b string")))
+    assert c.collisions(0).count() == 0
+    assert sorted(r.docid for r in c.collisions(1).collect()) == ["a_b_c", "x_y_z"]
+
+
 def test_latest_with_one_hot_key(spark):
     df = spark.range(20000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("docid"), F.col("id").alias("seq"), F.lit("U").alias("op"))
     got = mutate.live(df)
