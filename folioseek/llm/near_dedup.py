@@ -193,7 +193,10 @@ def near_duplicates(
     often = often.join(some.groupBy("low").agg(F.count(F.lit(1)).alias("of")), "low").filter("3 * c >= of")
     bases = staged(often.groupBy("low").agg(F.collect_list("h").alias("base")), "bases")
 
-    outside = with_texts(members, "low", "node").join(bases, "low", "left").select("low", "node", "n", "base", "a", "b")
+    # One row per first class, so that its followers meet it in a join that can be split.
+    firsts = several.join(spelled.select(F.col("node").alias("low"), F.col("text").alias("a")), "low").join(bases, "low", "left")
+    firsts = staged(firsts.select("low", "base", F.when(F.col("base").isNull(), F.col("a")).alias("a")), "firsts")
+    outside = members.join(spelled.select("node", F.col("text").alias("b")), "node").join(firsts, "low").select("low", "node", "n", "base", "a", "b")
     with small_batches(spark):
         outside = staged(outside.mapInArrow(_outside(size, percent), "low long, node long, common long, rest array<long>"), "outside")
     placed = staged(members.join(lows, "node").join(outside, ["low", "node"]), "placed")
