@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 import re
 from bisect import bisect_right
+from collections import deque
+from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 
@@ -23,8 +26,11 @@ _LABEL = "[A-Za-z0-9-]{1,64}"
 _WIDE_EMAIL = re.compile(
     rf"(?<![A-Za-z0-9_%+.-])[A-Za-z0-9_%+-]{{1,64}}(?:\.[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(?:@{_LABEL}(?:{_DOT}{_LABEL}){{0,5}}|{_AT}{_LABEL}(?:{_DOT}{_LABEL}){{1,5}})", re.I
 )
-_WIDE_IP = re.compile(r"(?<![0-9])[0-9]{1,4}(?:\x20?[\[(]?\.[\])]?\x20?[0-9]{1,4}){3}(?![0-9])")
-_DIGITS = re.compile(r"(?:\+|\()?[0-9](?:[\x20().,/‐-―-]{0,3}[0-9]){6,30}")
+_WIDE_IP = re.compile(r"(?<![0-9])(?=([0-9]{1,4}(?:\x20?[\[(]?\.[\])]?\x20?[0-9]{1,4}){3})(?![0-9]))")
+_BETWEEN = r"[\x20().,/‐-―-]"
+_GROUP, _GAP = re.compile("[0-9]+"), re.compile(_BETWEEN + "{1,3}")
+_BEFORE, _AFTER = re.compile(f"([0-9]+){_BETWEEN}{{0,3}}$"), re.compile(f"{_BETWEEN}{{0,3}}([0-9]+)")
+_FEWEST, _MOST = 7, 19
 _NEAR = (
     frozenset("mail email courriel correo contact kontakt".split()),
     frozenset("ip host server address adresse addr client".split()),
@@ -92,17 +98,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def candidates(text: str) -> list[tuple[int, int, int]]:
-    """High-recall spans, kinds overlapping: whatever has the outline of an address or a number."""
-    out = [(0, m.start(), m.end()) for m in _WIDE_EMAIL.finditer(text)]
-    out += [(1, m.start(), m.end()) for m in _WIDE_IP.finditer(text)]
-    for m in _DIGITS.finditer(text):
-        n = len(_only_digits(m.group()))
-        if 13 <= n <= 19:
-            out.append((2, m.start(), m.end()))
-        if 7 <= n <= 15:
-            out.append((3, m.start(), m.end()))
-    return out
+def _numbers(text: str) -> Iterator[tuple[int, int, int]]:
+    """Every row of whole digit groups, at most three separators apart, that has the digits of a card or a phone.
+
+    A group ends at most as many rows as the digits allow, so work is linear in the text.
+    """
+    run: deque[tuple[int, int]] = deque(maxlen=_MOST)
+    for m in _GROUP.finditer(text):
+        if run and not _GAP.fullmatch(text, run[-1][1], m.start()):
+            run.clear()
+        run.append(m.span())
+        n = 0
+        for first, last in reversed(run):
+            n += last - first
+            if n > _MOST:
+                break
+            start = first - (text[first - 1 : first] in ("+", "("))
+            if n >= 13:
+                yield 2, start, m.end()
+            if _FEWEST <= n <= 15:
+                yield 3, start, m.end()
+
+
+def candidates(text: str) -> Iterator[tuple[int, int, int]]:
+    """High-recall spans that overlap, also inside a kind: whatever has the outline of an address or a number."""
+    yield from ((0, m.start(), m.end()) for m in _WIDE_EMAIL.finditer(text))
+    yield from ((1, *m.span(1)) for m in _WIDE_IP.finditer(text))
+    yield from _numbers(text)
 
 
 def _char(c: str) -> int:
@@ -118,19 +140,21 @@ def features(text: str, span: tuple[int, int, int]) -> list[float]:
     parts = [int(g[:6]) for g in re.findall("[0-9]+", s)] if kind == 1 else [0]
     left = _WORDS.findall(text[max(0, start - 40) : start].lower())[-4:]
     right = _WORDS.findall(text[end : end + 24].lower())[:2]
+    before, after = _BEFORE.search(text[max(0, start - 24) : start]), _AFTER.match(text[end : end + 24])
     row = [
         kind, end - start, len(digits), len(groups), max(groups, default=0), min(groups, default=0), groups[0] if groups else 0, groups[-1] if groups else 0,
         s.count("+"), s.count("("), s.count("."), s.count("-"), s.count(" "), s.count("/") + s.count(","), len(set(re.sub(r"[0-9A-Za-z]", "", s))),
         s.count("@"), len(re.findall("[aA][tT]", s)), len(re.findall("[dD][oO][tT]", s)), sum(c.isalpha() for c in s),
         float(13 <= len(digits) <= 19 and luhn(digits)), max(parts, default=0), len(set(digits)),
         _char(text[start - 1 : start]), _char(text[end : end + 1]), _char(text[max(0, start - 2) : start - 1] if start > 1 else ""),
+        len(before[1]) if before else 0, len(after[1]) if after else 0,
     ]
     for words in _NEAR:
         row += [float(any(w in words for w in left)), float(any(w in words for w in right))]
     return [float(x) for x in row]
 
 
-FEATURES = 25 + 2 * len(_NEAR)
+FEATURES = 27 + 2 * len(_NEAR)
 
 
 def _rewritten(kind: int, s: str, rng: random.Random) -> list[tuple[str, int]]:
@@ -156,28 +180,60 @@ def _rewritten(kind: int, s: str, rng: random.Random) -> list[tuple[str, int]]:
     return [(good, 1), (bad, 0)]
 
 
+def _beside(kind: int, new: str, rng: random.Random) -> tuple[str, bool]:
+    """What may stand next to a number, and whether it is of the same kind and format."""
+    twin = new if kind == 2 else re.sub("[0-9]", lambda m: str(rng.randint(2, 9)), new)
+    zip_code, date = str(rng.randint(10000, 99999)), f"{rng.randint(1900, 2099)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}"
+    return rng.choice([(twin, True), (twin, True), (zip_code, False), (date, False)])
+
+
+def _judged(line: str, kind: int, label: int, wholes: list[tuple[int, int]], rng: random.Random) -> Iterator[tuple[list[float], int]]:
+    """Examples from one line: the spans ``wholes`` with their label, and a few that cut or join them, which are wrong."""
+    taken, parts = Taken(base_spans(line)), []
+    low, high = min(w[0] for w in wholes), max(w[1] for w in wholes)
+    for c in candidates(line):
+        if taken.meets(c[1], c[2]):
+            continue
+        if c[1:] in wholes:
+            yield features(line, c), label if c[0] == kind else 0
+        elif c[1] < high and low < c[2]:
+            parts.append(c)
+    for c in rng.sample(parts, min(len(parts), 4)):
+        yield features(line, c), 0
+
+
 def training_rows(text: str, most: int, seed: int) -> tuple[list[list[float]], list[int]]:
-    """Features and labels from one text: base matches (1), other candidates (0), and rewritten base matches in their place."""
+    """Features and labels from one text: base matches (1), other candidates (0), and rewritten base matches in their place.
+
+    Rewritten numbers also stand next to others, so that the trees learn where one ends.
+    """
     rng, x, y = random.Random(seed), [], []
     base = base_spans(text)
     taken, others = set(base), Taken(base)
-    found = candidates(text)
-    for c in rng.sample(found, most) if len(found) > most else found:
-        if c in taken:
-            x.append(features(text, c))
-            y.append(1)
-        elif not others.meets(c[1], c[2]):
-            x.append(features(text, c))
-            y.append(0)
+    found: list[tuple[int, int, int]] = []
+    for i, c in enumerate(c for c in candidates(text) if c in taken or not others.meets(c[1], c[2])):
+        if i < most:
+            found.append(c)
+        elif (k := rng.randrange(i + 1)) < most:
+            found[k] = c
+    for c in found:
+        x.append(features(text, c))
+        y.append(int(c in taken))
     for kind, start, end in rng.sample(base, most) if len(base) > most else base:
+        before, after = text[max(0, start - 60) : start], text[end : end + 40]
         for new, label in _rewritten(kind, text[start:end], rng):
-            before, after = text[max(0, start - 60) : start], text[end : end + 40]
-            line = before + new + after
-            for c in candidates(line):
-                whole = (len(before), len(before) + len(new))
-                if c[1:] == whole and c not in base_spans(line):
-                    x.append(features(line, c))
-                    y.append(label if c[0] == kind else 0)
+            lines = [(before + new + after, [(len(before), len(before) + len(new))])]
+            for _ in range(2 if kind > 1 and label else 0):
+                other, same = _beside(kind, new, rng)
+                gap = rng.choice([", ", " / ", " ", "/", ", "])
+                first, second = (new, other) if rng.random() < 0.4 else (other, new)
+                at, then = len(before), len(before) + len(first) + len(gap)
+                both = [(at, at + len(first)), (then, then + len(second))]
+                lines.append((before + first + gap + second + after, both if same else [both[first is other]]))
+            for line, wholes in lines:
+                for row, right in _judged(line, kind, label, wholes, rng):
+                    x.append(row)
+                    y.append(right)
     return x, y
 
 
@@ -260,14 +316,13 @@ class SpanModel:
     def extra(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Candidates that overlap no base match and reach their threshold; of overlapping ones the likelier."""
         taken = Taken(base)
-        free = [c for c in candidates(text) if not taken.meets(c[1], c[2])]
-        if not free:
-            return []
-        p = self.trees.probability(np.array([features(text, c) for c in free]))
+        likely: list[tuple[float, tuple[int, int, int]]] = []
+        for free in batched((c for c in candidates(text) if not taken.meets(c[1], c[2])), 4096):
+            p = self.trees.probability(np.array([features(text, c) for c in free]))
+            likely += [(float(v), c) for v, c in zip(p, free) if v >= self.threshold[c[0]]]
         chosen: list[tuple[int, int, int]] = []
-        for i in np.argsort(-p, kind="stable"):
-            c = free[i]
-            if p[i] >= self.threshold[c[0]] and not taken.meets(c[1], c[2]):
+        for _, c in sorted(likely, key=lambda v: -v[0]):
+            if not taken.meets(c[1], c[2]):
                 taken.add(c[1], c[2])
                 chosen.append(c)
         return chosen

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from folioseek.llm.pii import find_personal_data, fit_spans
-from folioseek.llm.pii_spans import KINDS, Taken, base_spans, luhn
+from folioseek.llm.pii_spans import KINDS, Taken, base_spans, candidates, luhn
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -72,3 +72,35 @@ def test_documents(spark):
     assert {r.doc_id: r.spans for r in got}[4] == "phone:11:25" and {r.doc_id: r.n_added for r in got}[5] == 0
     assert find_personal_data(new, None).agg(F.sum("n_added")).first()[0] == 0
     assert fit_spans(new.limit(1)) is None and find_personal_data(new.limit(0), model).count() == 0
+
+
+def test_candidates_inside_runs_of_numbers():
+    for left, gap, right in [
+        ("(212) 555-0199", ", ", "(213) 555-0188"), ("212-555-0199", " / ", "213-555-0188"), ("10001", " ", "(212) 555-0199"),
+        ("2024-01-02", ", ", "212-555-0199"), ("4539.5787.6362.1486", " ", "4539.5787.6362.1486"), ("10.0.0.1", ", ", "212-555-0199"),
+    ]:
+        found = {c[1:] for c in candidates(left + gap + right)}
+        ends = len(left), len(left) + len(gap)
+        assert (ends[1], ends[1] + len(right)) in found and (len(left) < 7 or (0, ends[0]) in found)
+    assert {(1, 3, 17)} <= set(candidates("5. 10[.]0[.]0[.]1"))
+    rng = random.Random(5)
+    for _ in range(2_000):
+        t = "".join(rng.choice(["1", "22", "333", "55555", ", ", " (", ") ", "-", "x", "    "]) for _ in range(rng.randint(1, 16)))
+        want = set()
+        for a in (m.start() for m in re.finditer("(?<![0-9])[0-9]", t)):
+            for b in (m.end() for m in re.finditer("[0-9](?![0-9])", t)):
+                n = len(re.sub("[^0-9]", "", t[a:b]))
+                if b > a and re.fullmatch(r"[0-9]+([ (),-]{1,3}[0-9]+)*", t[a:b]) and 7 <= n <= 19:
+                    want |= {(k, a - (t[:a].endswith("(")), b) for k in (2, 3) if (13 <= n if k == 2 else n <= 15)}
+        assert {c for c in candidates(t) if c[0] > 1} == want
+
+
+def test_neighbouring_numbers(spark):
+    model = fit_spans(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    found = lambda t: sorted(t[s:e] for _, s, e in model.extra(t, base_spans(t)))
+    one, two, card = "(212) 555-0199", "(213) 555-0188", "4539.5787.6362.1486"
+    assert found(f"call {one}, {two} today") == [one, two]
+    assert found("call 212-555-0199 / 213-555-0188 today") == ["212-555-0199", "213-555-0188"]
+    assert found(f"New York, NY 10001 {one} today") == [one]
+    assert found("on 2024-01-02, 212-555-0199 today") == ["212-555-0199"]
+    assert found(f"pay {card} {card} today") == [card, card]
