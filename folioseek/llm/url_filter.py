@@ -2,7 +2,7 @@
 
 Labelled pages are transactions of URL tokens and their class.  FP-growth finds the frequent token
 combinations; those that occur with the blocked class often enough, and mostly with it, are
-rules.  A rule is indexed under its rarest token, so a page is tested only against rules one of
+rules, whatever their length.  A rule is indexed under its rarest token, so a page is tested only against rules one of
 whose tokens it has.
 """
 
@@ -76,6 +76,8 @@ def mine_rules(
 
     A rule's tokens occur with the blocked class in at least ``min_count`` pages and that share of
     all labelled pages, and at least ``min_confidence`` of the pages with the tokens are blocked.
+    Rules of up to ``max_tokens`` tokens are all listed; a longer one only if no rule is part of it,
+    for the pages it blocks are blocked by that part already.
     Without labelled pages there are no rules.
     """
     spark = labelled.sparkSession
@@ -88,18 +90,25 @@ def mine_rules(
         return spark.range(0).selectExpr("array(string(id)) AS tokens", "string(id) AS lead", "id AS n", "id AS blocked")
     needed = max(min_count, math.ceil(min_support * total))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, (needed - 0.5) / total), minConfidence=1.0).fit(items)
-    frequent = model.freqItemsets.filter(F.size("items") <= max_tokens + 1).select(F.array_sort("items").alias("items"), "freq")
+    frequent = model.freqItemsets.select(F.array_sort("items").alias("items"), "freq")
     frequent = staged(frequent, "itemsets")
     blocked = frequent.filter(F.array_contains("items", BLOCKED) & (F.size("items") > 1)).select(
         F.array_remove("items", BLOCKED).alias("items"), F.col("freq").alias("blocked")
     )
-    rules = blocked.join(frequent, "items").filter((F.col("blocked") / F.col("freq") >= min_confidence) & (F.size("items") <= max_tokens))
+    rules = blocked.join(frequent, "items").filter((F.col("blocked") / F.col("freq") >= min_confidence))
     single = frequent.filter(F.size("items") == 1).select(F.col("items")[0].alias("lead"), F.col("freq").alias("of_lead"))
     leads = (
         rules.withColumn("lead", F.explode("items")).join(single, "lead")
         .groupBy("items", "freq", "blocked").agg(F.min(F.struct("of_lead", "lead")).alias("rarest"))
     )
-    return leads.select(F.col("items").alias("tokens"), F.col("rarest.lead").alias("lead"), F.col("freq").alias("n"), "blocked")
+    rules = staged(leads.select(F.col("items").alias("tokens"), F.col("rarest.lead").alias("lead"), F.col("freq").alias("n"), "blocked"), "all-rules")
+    long = rules.filter(F.size("tokens") > max_tokens)
+    parts = rules.select("lead", F.col("tokens").alias("part"))
+    covered = (
+        long.select("tokens", F.explode("tokens").alias("lead")).join(parts, "lead")
+        .filter((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0)).select("tokens")
+    )
+    return rules.filter(F.size("tokens") <= max_tokens).unionByName(long.join(covered, "tokens", "left_anti").select(*rules.columns))
 
 
 def filter_urls(

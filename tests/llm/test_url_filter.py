@@ -70,3 +70,35 @@ def test_sql_twin(spark):
     want = con.sql(ORACLES["op3_url_filter"]).fetchall()
     got = filter_urls(pages, labels).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_rules_of_any_length(spark):
+    import random
+
+    # Only all of a to d together are mostly bad; e and f are bad on their own.
+    rows = [(list("abcd"), True)] * 8 + [([t for t in "abcd" if t != out], False) for out in "abcd" for _ in range(8)]
+    rows += [(list("efgh") + ["i"], True)] * 8 + [(list("klmnop"), True)] * 6 + [([t for t in "klmnop" if t != out], False) for out in "klmnop" for _ in range(6)]
+    rng = random.Random(9)
+    rows += [(sorted(rng.sample("qrstuv", rng.randint(3, 6))), rng.random() < 0.5) for _ in range(120)]
+    got = {tuple(r.tokens): (r.n, r.blocked) for r in mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()}
+    every = {}
+    for letters in ("abcd", "efghi", "klmnop", "qrstuv"):
+        for size in range(1, len(letters) + 1):
+            for c in combinations(letters, size):
+                has = [b for t, b in rows if set(c) <= set(t)]
+                if sum(has) >= 5 and sum(has) / len(has) >= 0.6:
+                    every[c] = (len(has), sum(has))
+    want = {c: n for c, n in every.items() if len(c) <= 3 or not any(set(o) < set(c) for o in every)}
+    assert got == want and ("a", "b", "c", "d") in got and tuple("klmnop") in got
+    blocks = lambda rules, t: any(set(c) <= set(t) for c in rules)
+    assert all(blocks(got, t) == blocks(every, t) for t, _ in rows)
+
+
+def test_long_rule_blocks_pages(spark):
+    urls = ["x://bad.net/ads/banner", "x://bad.net/ads", "x://bad.net/banner", "x://good.net/ads/banner", "x://bad.org2/ads/banner"]
+    pages = [(i, urls[0] if i % 5 == 0 else urls[i % 5]) for i in range(60)]
+    labels = [(i, int(i % 5 != 0), 0) for i in range(40)]
+    got = filter_urls(
+        spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    ).collect()
+    assert all(r.verdict == ("block" if r.page_id % 5 == 0 else "allow") for r in got)
