@@ -76,4 +76,44 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, n AS n_shingles, m AS component_id, doc_id = m AS kept
         FROM sizes JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id
     """,
+    "op11_chat_format": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        escaped AS (
+            SELECT *, regexp_replace(regexp_replace(text, '\[(\\*)(INST\]|/INST\])', '[\\\1\2', 'g'), '<(\\*)(/s>|\|endoftext\|>)', '<\\\1\2', 'g') AS e,
+                   regexp_replace(regexp_replace(role, '\[(\\*)(INST\]|/INST\])', '[\\\1\2', 'g'), '<(\\*)(/s>|\|endoftext\|>)', '<\\\1\2', 'g') AS r
+            FROM turns)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(17 + length(r) + length(e))::BIGINT AS formatted_chars
+        FROM escaped GROUP BY conv_id
+    """,
+    "op12_periodic_runs": r"""
+        WITH texts AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        hashed AS (
+            SELECT *, len(w) AS n, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                lambda h, c: list_reduce([xor(h, c)] || range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) AS h FROM texts),
+        starts AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM hashed),
+        docs AS (
+            SELECT id, doc_id, n, w[:a] || list_transform(range(a, n), lambda i: w[1 + a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8))]) AS w FROM starts),
+        stretches AS (SELECT id, unnest(range(0, n - 15)) AS p, unnest(list_transform(range(0, n - 15), lambda i: list_aggregate(w[i + 1:i + 16], 'string_agg', ' '))) AS s FROM docs WHERE n >= 24),
+        pairs AS (SELECT x.id, x.p, y.p - x.p AS q FROM stretches x JOIN stretches y ON x.id = y.id AND x.s = y.s AND x.p < y.p),
+        grouped AS (SELECT *, p - row_number() OVER (PARTITION BY id, q ORDER BY p) AS g FROM pairs),
+        stretched AS (SELECT id, q, min(p) AS s, count(*) + 15 + q AS m FROM grouped GROUP BY id, q, g HAVING count(*) + 15 + q >= greatest(24, 3 * q)),
+        runs AS (
+            SELECT * FROM stretched r WHERE NOT EXISTS (FROM stretched o WHERE o.id = r.id AND o.q < r.q AND o.s <= r.s AND o.s + o.m >= r.s + r.m)),
+        figures AS (
+            SELECT id, count(*) AS n_runs, string_agg(concat(s, ',', m, ',', q, chr(10)), '' ORDER BY s, q) AS lines,
+                   first({'s': s, 'm': m, 'q': q} ORDER BY m::DOUBLE / q DESC, s, q) AS best FROM runs GROUP BY id),
+        gone AS (SELECT DISTINCT id, unnest(range(s + q, s + m)) AS i FROM runs),
+        words AS (SELECT id, unnest(range(0, n)) AS i, unnest(w) AS word FROM docs WHERE id IN (SELECT id FROM runs)),
+        kept AS (SELECT id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (id, i) GROUP BY id)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.m AS length, best.q AS period, 1000 * best.m // best.q AS exponent_milli,
+               sha256(coalesce(lines, '')) AS runs_sha256,
+               sha256(CASE WHEN n_runs IS NULL THEN coalesce(array_to_string(w, ' '), '') ELSE coalesce(t, '') END) AS collapsed_sha256
+        FROM docs LEFT JOIN figures USING (id) LEFT JOIN kept USING (id)
+    """,
 }
