@@ -8,6 +8,7 @@ meet the tokens' character spans, sorted too, by binary search: that is the loss
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -15,10 +16,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 OPEN, BODY, END = "[INST]", "[/INST]", "</s>"
 LOSS_ROLE = "assistant"
@@ -98,12 +99,49 @@ def parse(text: str, escapes: Escapes) -> list[tuple[str, str]]:
     return turns
 
 
-def encoder(tokenizer_json: str) -> tuple[Tokenizer, tuple[str, ...]]:
-    """The tokenizer with this template's control tokens, and all control strings it knows."""
-    tok = Tokenizer.from_str(tokenizer_json)
-    tok.add_special_tokens([OPEN, BODY, END])
-    tok.encode_special_tokens = False
-    return tok, tuple(sorted(t.content for t in tok.get_added_tokens_decoder().values()))
+#: The split pattern that belongs to the vocabulary, and Unicode's White_Space characters.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+class Encoder:
+    """A byte-level vocabulary of ranks with the control tokens after it; gives ids and code point offsets.
+
+    ``vocabulary`` is the text of a rank file.  The split pattern can not look over very long white space; such a
+    stretch is a piece of its own by that pattern, so it is cut out and merged as one.
+    """
+
+    def __init__(self, vocabulary: bytes, specials: tuple[str, ...] = ("<|endoftext|>",), split: str = SPLIT, long_space: int = 5_000):
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
+        self.controls = (*specials, OPEN, BODY, END)
+        ids = {c: max(ranks.values()) + 1 + i for i, c in enumerate(self.controls)}
+        self._known = set(self.controls)
+        self._text = tiktoken.Encoding("text", pat_str=split, mergeable_ranks=ranks, special_tokens=ids)
+        self._piece = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self._widths = np.zeros(max(ids.values()) + 1, dtype=np.int64)
+        for token, i in [*ranks.items(), *((c.encode(), i) for c, i in ids.items())]:
+            self._widths[i] = len(token)
+        after = "|".join(map(re.escape, self.controls))
+        self._long = re.compile(f"{_SPACE}{{{long_space},}}(?:(?={after}|\\Z)|(?={_SPACE}))")
+
+    def ids(self, text: str) -> list[int]:
+        out, at = [], 0
+        for m in self._long.finditer(text):
+            out += self._text.encode(text[at : m.start()], allowed_special=self._known, disallowed_special=())
+            out += self._piece.encode_ordinary(m.group())
+            at = m.end()
+        return out + self._text.encode(text[at:], allowed_special=self._known, disallowed_special=())
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids and the code points each token touches, from and to."""
+        ids = np.array(self.ids(text), dtype=np.int32)
+        ends = np.cumsum(self._widths[ids])
+        starts = ends - self._widths[ids]
+        if not text.isascii():
+            lead = (np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80
+            place = np.cumsum(lead) - 1
+            starts, ends = place[starts], place[ends - 1] + 1
+        return ids, starts.astype(np.int32), ends.astype(np.int32)
 
 
 PIECE = pa.schema([
@@ -114,7 +152,7 @@ _PIECE_DDL = "piece_task int, piece long, formatted string, token_ids array<int>
 
 
 def format_conversations(
-    turns: DataFrame, tokenizer_json: str, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece_chars: int = 1 << 18
+    turns: DataFrame, vocabulary: bytes, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece_chars: int = 1 << 18
 ) -> DataFrame:
     """Rendered, encoded and masked conversations: conv_id, piece_task, piece, formatted, token_ids, token_starts, token_ends, loss_mask.
 
@@ -134,17 +172,16 @@ def format_conversations(
     ordered = rows.repartitionByRange(tasks, "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, controls = encoder(tokenizer_json)
-        escapes, task = Escapes(controls), TaskContext.get().partitionId()
+        encoder = Encoder(vocabulary)
+        escapes, task = Escapes(encoder.controls), TaskContext.get().partitionId()
         key_kind = None
 
         def close(keys: list, groups: list[list[tuple[str, str]]], first: int) -> pa.RecordBatch:
             done = [render(g, escapes) for g in groups]
             columns: list[list] = [[], [], [], []]
-            for r, code in zip(done, tok.encode_batch([r.text for r in done], add_special_tokens=False)):
-                at = np.array(code.offsets, dtype=np.int32).reshape(-1, 2)
-                starts, ends = at[:, 0], at[:, 1]
-                for c, v in zip(columns, (code.ids, starts, ends, loss_mask(r.loss_spans, starts, ends))):
+            for r in done:
+                ids, starts, ends = encoder.encode(r.text)
+                for c, v in zip(columns, (ids, starts, ends, loss_mask(r.loss_spans, starts, ends))):
                     c.append(v)
             values = [[task] * len(done), list(range(first, first + len(done))), [r.text for r in done], *columns]
             return pa.RecordBatch.from_arrays([pa.array(keys, key_kind), *(pa.array(v, f.type) for v, f in zip(values, PIECE))], names=["conv_id", *PIECE.names])
@@ -157,7 +194,7 @@ def format_conversations(
             for key, role, text in zip(b.column("conv_id").to_pylist(), b.column("role").to_pylist(), b.column("text").to_pylist()):
                 length = len(role) + len(text)
                 if not count or key != keys[-1] or size + length > piece_chars:
-                    if held > 4 * piece_chars:
+                    if held > piece_chars:
                         yield close(keys, groups, given)
                         given, keys, groups, held = given + len(keys), [], [], 0
                     keys.append(key)
@@ -199,7 +236,7 @@ _FIGURES_DDL = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256
 _PASSED_ON = [("task", pa.int32()), ("seq", pa.int64()), ("turns", pa.binary()), ("loss", pa.binary())]
 
 
-def read_back(formatted: DataFrame, tokenizer_json: str, *, held_bytes: int = 1 << 23) -> DataFrame:
+def read_back(formatted: DataFrame, vocabulary: bytes, *, held_bytes: int = 1 << 23) -> DataFrame:
     """Per conversation, from its formatted rows alone: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     ``turns_sha256`` is over role, line feed, text, line feed of every turn; the loss figures are over the text under the mask, unescaped.
@@ -208,7 +245,7 @@ def read_back(formatted: DataFrame, tokenizer_json: str, *, held_bytes: int = 1
     digests them in order without holding them (a digest has no parts that could be made apart).
     """
     key_type = formatted.schema["conv_id"].dataType.simpleString()
-    _, controls = encoder(tokenizer_json)
+    controls = Encoder(vocabulary).controls
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         escapes, task = Escapes(controls), TaskContext.get().partitionId()
