@@ -284,11 +284,11 @@ def pagination_summary(spark, sf):
 
 
 def search_query_strings(spark, sf):
-    """Strings as users type them, one per benchmark text, with an in-field part."""
+    """Strings as users type them, one per whole benchmark text, with an in-field part."""
     w = F.split("text", " ")
     typed = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("qid"),
-        F.concat(F.lit("+"), w[0], F.lit(" -"), w[1], F.lit('  "'), w[2], F.lit('" "'), w[3], F.lit(" "), w[4], F.lit('" + '), w[5]).alias("q"),
+        F.concat(F.lit("+"), w[0], F.lit(" -"), w[1], F.lit('  "'), w[2], F.lit('" "'), w[3], F.lit(" "), w[4], F.lit('" + '), w[5], F.lit(" "), F.array_join(F.slice(w, 9, F.greatest(F.size(w), F.lit(1))), " ")).alias("q"),
         F.concat(F.lit("text:"), w[6], F.lit(" -"), w[7], F.lit(",nothing;:x;lang:en")).alias("fq"),
     )
     queries = typed.select("qid", query_strings.clauses(F.col("q"), F.col("fq")).alias("clauses"))
@@ -309,7 +309,7 @@ def search_han(spark, sf):
     index.build(readers.from_table(docs), unique=True)
     queries = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("qid"),
-        F.array(retrieve.clause(F.slice(F.split(han("text"), " "), 1, 3).cast("string"), "should")).alias("clauses"),
+        F.array(retrieve.clause(han("text"), "should")).alias("clauses"),
     )
     s = index.search(queries, sort=[Sort(RELEVANCE)], page=Page.of(1, 5))
     return s.page_ids.select("qid", "rank", "docid", shown_score())

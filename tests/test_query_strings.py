@@ -14,7 +14,7 @@ def asked(spark, q, fq=None):
 @pytest.mark.parametrize(
     ("q", "want"),
     [
-        ("+rosbit", [("rosbit", "must")]),
+        ("+spark", [("spark", "must")]),
         ('a  +b\t-c　"two words"', [("a", "should"), ("b", "must"), ("c", "must_not"), ('"two words"', "should")]),
         ("+'x y' -`p q`z", [("'x y'", "must"), ("`p q`z", "must_not")]),
         ('say"it now', [('say"it now', "should")]),
