@@ -131,7 +131,7 @@ def weighted(tokens: DataFrame, stats: DataFrame, n_docs: Column) -> DataFrame:
     """Query tokens with their idf; tokens the corpus lacks stay, with no weight."""
     return (
         tokens.filter(F.col("token").isNotNull())
-        .join(stats.select("scope", "token", "df"), ["scope", "token"], "left")
+        .join(stats.select("scope", "token", "df", *(c for c in stats.columns if c == "top")), ["scope", "token"], "left")
         .withColumn("weight", F.when(F.col("df") > 0, scoring.idf(n_docs, F.col("df"))))
     )
 

@@ -4,7 +4,7 @@
     <path>/log/docs/batch=N       the batch's last version of each document
     <path>/log/postings/batch=N   its postings, by token bucket
     <path>/log/summary/batch=N    one row, written last: a batch counts once it is there
-    <path>/snap/gen=G/...         docs, postings, stats, corpus folded up to a batch, and the sources of all batches
+    <path>/snap/gen=G/...         docs, postings, stats, block maxima, corpus folded up to a batch, and the sources of all batches
 
 A batch that did not get as far as its summary does not count and its folder is overwritten by the
 next one of that number.  A finished one is never overwritten: its number is taken, and a caller
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import mutate
-from ..operators.postings import corpus_stats, doc_lengths, postings, token_stats
+from ..operators.block_maxima import block_tops, token_tops
+from ..operators.postings import corpus_stats, doc_lengths, postings
 from ..operators.report import batch_summary, report
 from ..operators.typed import accepted, typed_read
 from ..session import spread
@@ -30,7 +31,8 @@ from .search import Search, Tables, token_bucket
 # One bucket should hold some hundred megabytes of postings; large corpora take thousands.
 DEFAULT_BUCKETS = 16
 POSTINGS = "scope string, token string, docid string, tf int, positions array<int>, dl int"
-STATS = "scope string, token string, df bigint, bucket int"
+STATS = "scope string, token string, df bigint, top double, bucket int"
+BLOCKS = "scope string, token string, block bigint, top double, bucket int"
 CORPUS = "n_docs bigint, avg_dl double"
 SUMMARY = "index string, docs bigint, unreadable bigint, failed bigint, code int, msg string, source string, batch bigint"
 SOURCES = "source string, batch bigint"
@@ -67,6 +69,7 @@ class Collection:
             "postings": f"{POSTINGS}, bucket int",
             "log postings": f"{POSTINGS}, batch bigint, bucket int",
             "stats": STATS,
+            "blocks": BLOCKS,
             "corpus": CORPUS,
             "summary": SUMMARY,
             "sources": SOURCES,
@@ -264,6 +267,7 @@ class Collection:
                 self._snap_table(snap[0], "stats"),
                 self._snap_table(snap[0], "corpus"),
                 self.buckets,
+                self._snap_table(snap[0], "blocks") if self._exists(self._at("snap", f"gen={snap[0]}", "blocks")) else None,
             )
         if not batches:
             return Tables(docs, postings(docs.select("docid", "doc"), self.spec), None, corpus_stats(docs), None)
@@ -330,8 +334,11 @@ class Collection:
 
     def _finish(self, gen: int, upto: int, sources: DataFrame) -> None:
         posted, docs = self._snap_table(gen, "postings"), self._snap_table(gen, "docs")
+        corpus_stats(docs).write.mode("overwrite").parquet(self._at("snap", f"gen={gen}", "corpus"))
+        corpus = self._snap_table(gen, "corpus").first()
+        mean = F.lit(float(corpus.avg_dl))
         # By bucket like the postings, so that a search reads the buckets it needs.
-        self._write_by_bucket(token_stats(posted), self._at("snap", f"gen={gen}", "stats"))
+        self._write_by_bucket(token_tops(posted, mean), self._at("snap", f"gen={gen}", "stats"))
+        self._write_by_bucket(block_tops(posted, corpus.n_docs, mean), self._at("snap", f"gen={gen}", "blocks"))
         sources.write.mode("overwrite").parquet(self._at("snap", f"gen={gen}", "sources"))
-        corpus_stats(docs).write.mode("overwrite").parquet(self._at("snap", f"gen={gen}", "corpus"))
         self._one_row(self._at("snap", "done"), "append", gen=gen, upto=F.lit(upto).cast("bigint"))

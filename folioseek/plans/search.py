@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import block_maxima
 from ..operators import filters as flt
 from ..operators import paging, project, proximity, retrieve, sorting, survivors
 from ..operators.postings import token_stats
@@ -21,6 +22,9 @@ SMALL_BATCH = 10_000
 SMALL_BYTES = 8 << 20
 # Rows of candidates, and of pages, up to which they are broadcast to look up postings and documents.
 FEW_ROWS = 200_000
+# Postings to score above which a page by relevance is found through block maxima: its steps are jobs of
+# their own, which small batches do not pay for.
+MANY_HITS = 50_000_000
 # Tokens listed in a scan predicate at most.
 LISTED_TOKENS = 1_000
 
@@ -31,9 +35,10 @@ class Tables:
 
     ``docs``      (docid, doc, ...), one row per live document
     ``postings``  (scope, token, docid, tf, positions, dl[, bucket])
-    ``stats``     (scope, token, df[, bucket]) or None to count the df of the asked tokens
+    ``stats``     (scope, token, df[, top][, bucket]) or None to count the df of the asked tokens
     ``corpus``    one row (n_docs, avg_dl)
     ``buckets``   number of token buckets the postings are partitioned by, or None
+    ``blocks``    (scope, token, block, top[, bucket]), the largest term shares by block of documents, or None
     """
 
     docs: DataFrame
@@ -41,6 +46,7 @@ class Tables:
     stats: DataFrame | None
     corpus: DataFrame
     buckets: int | None = None
+    blocks: DataFrame | None = None
 
 
 def query_frame(spark: SparkSession, queries: Sequence[tuple]) -> DataFrame:
@@ -141,11 +147,14 @@ class Search:
     def _only_should(self) -> bool:
         return not self._figures.musts and not self._figures.nots
 
+    @cached_property
+    def _corpus_row(self):
+        return self.tables.corpus.first()
+
     @cached_property
     def _corpus(self) -> tuple[Column, Column]:
         """Document count and mean length: two numbers, read once and put in the plan."""
-        row = self.tables.corpus.first()
-        return F.lit(row.n_docs), F.lit(float(row.avg_dl))
+        return F.lit(self._corpus_row.n_docs), F.lit(float(self._corpus_row.avg_dl))
 
     @cached_property
     def _stats(self) -> DataFrame:
@@ -225,8 +234,24 @@ class Search:
 
     # -- pages ------------------------------------------------------------------------
 
+    @cached_property
+    def leaders(self) -> block_maxima.TopShould | None:
+        """The page's matches without the others, where the page is by relevance and much would be scored."""
+        plain = self.predicate is None and self.max_proximity is None and self._only_should
+        if self.tables.blocks is None or not plain or not block_maxima.first_by_score(self.keys):
+            return None
+        if (self._weighted.agg(F.sum("df")).first()[0] or 0) < MANY_HITS:
+            return None
+        small = self._sample is not None
+        posted, hot = self.postings, None if small else retrieve.hot_tokens(self._stats)
+        blocks = self._prune(self.tables.blocks)
+        return block_maxima.TopShould(
+            self._weighted, posted, blocks, self._corpus_row.n_docs, self._corpus[1], self.page_args.end, small, FEW_ROWS, hot
+        )
+
     def _match_page(self) -> DataFrame:
-        top = paging.top_per_group(self.matches, ["qid"], self._order, self.page_args.end)
+        matches = self.matches if self.leaders is None else self.leaders.found
+        top = paging.top_per_group(matches, ["qid"], self._order, self.page_args.end)
         return top.filter(F.col("rank") > self.page_args.offset).select("qid", "docid", "rank", "score")
 
     @cached_property
