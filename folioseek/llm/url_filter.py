@@ -2,8 +2,9 @@
 
 Labelled pages are transactions of URL tokens and their class.  FP-growth finds the frequent token
 combinations; those that occur with the blocked class often enough, and mostly with it, are
-rules, whatever their length.  A rule is indexed under its rarest token, so a page is tested only against rules one of
-whose tokens it has.
+rules, whatever their length, unless a part of them is one.  Tokens that always stand together are one item, and rules
+of one item are counted and taken out beforehand, so a long path that pages share is not 2^n combinations.
+A rule is indexed under its rarest token, so a page is tested only against rules one of whose tokens it has.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioseek.llm.common import FILE, ROW, maybe_broadcast, numbered
+from folioseek.llm.common import FILE, ROW, numbered
 from folioseek.session import staged
 
 RULES = (
@@ -69,52 +70,95 @@ def listed_rule(rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
-def mine_rules(
-    labelled: DataFrame, *, min_support: float = 0.005, min_count: int = 5, min_confidence: float = 0.6, max_tokens: int = 3
-) -> DataFrame:
-    """Rules ``(tokens, lead, n, blocked)`` from rows ``(tokens, bad)``; lead is the rarest token.
+def token_items(labelled: DataFrame, needed: int) -> DataFrame:
+    """``(token, item, n, blocked)`` of tokens in ``needed`` blocked pages or more; ``labelled`` is ``(page, tokens, bad)``.
+
+    Tokens of the same labelled pages share their item, the smallest of them.  Sums of page hashes tell which
+    tokens may; whether each of their pages holds the item is then counted.
+    """
+    each = labelled.select("page", "tokens", "bad", F.explode("tokens").alias("token"))
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "page")).alias(f"h{seed}")
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("blocked"), mark(1), mark(2))
+    counts = staged(counts.filter(F.col("blocked") >= needed), "tokens")
+    first = counts.groupBy("n", "blocked", "h1", "h2").agg(F.min("token").alias("item"))
+    shared = counts.join(first, ["n", "blocked", "h1", "h2"]).filter(F.col("item") != F.col("token")).select("token", "item")
+    held = each.join(shared, "token").groupBy("token", "item").agg(F.count_if(F.array_contains("tokens", F.col("item"))).alias("both"))
+    same = counts.join(held, "token", "left")
+    return same.select("token", F.when(F.col("both") == F.col("n"), F.col("item")).otherwise(F.col("token")).alias("item"), "n", "blocked")
+
+
+def as_items(rows: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
+    """The keys of ``rows`` and the distinct items of their ``tokens``; rows without any are left out."""
+    each = rows.select(*keys, F.explode("tokens").alias("token")).join(items, "token")
+    return each.groupBy(*keys).agg(F.collect_set("item").alias("items"))
+
+
+def minimal_rules(frequent: DataFrame, min_confidence: float) -> DataFrame:
+    """``(items, n, blocked)`` of the rules among frequent sets, with their class or not, no part of which is a rule.
+
+    All parts of a frequent set are frequent, so a set has a rule inside if one of the sets that lack one of its
+    items is a rule or has one inside: sets are settled by size, each met by its own parts alone.
+    """
+    bare = frequent.filter(~F.array_contains("items", BLOCKED)).select("items", F.col("freq").alias("n"))
+    with_class = frequent.filter(F.array_contains("items", BLOCKED) & (F.size("items") > 1))
+    sets = with_class.select(F.array_remove("items", BLOCKED).alias("items"), F.col("freq").alias("blocked")).join(bare, "items")
+    sets = staged(sets.withColumns({"size": F.size("items"), "rule": F.col("blocked") / F.col("n") >= min_confidence}), "sets")
+    longest = sets.agg(F.max("size")).first()[0] or 0
+    found, settled = sets.filter("false"), None
+    for size in range(1, longest + 1):
+        now = sets.filter(F.col("size") == size).withColumn("inside", F.lit(False))
+        if settled is not None:
+            parts = now.select("items", F.explode("items").alias("less")).select("items", F.array_remove("items", F.col("less")).alias("part"))
+            over = parts.join(settled.select(F.col("items").alias("part")), "part").select("items").distinct()
+            now = now.drop("inside").join(over.withColumn("inside", F.lit(True)), "items", "left")
+        now = staged(now.withColumn("inside", F.coalesce("inside", F.lit(False))), "settled")
+        found = found.unionByName(now.filter("rule AND NOT inside").drop("inside"))
+        settled = now.filter("rule OR inside")
+    return found.select("items", "n", "blocked")
+
+
+def mine_rules(labelled: DataFrame, *, min_support: float = 0.005, min_count: int = 5, min_confidence: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """Rules ``(items, lead, n, blocked)`` from rows ``(tokens, bad)``, and ``(token, item)`` of the tokens they may hold.
 
     A rule's tokens occur with the blocked class in at least ``min_count`` pages and that share of
-    all labelled pages, and at least ``min_confidence`` of the pages with the tokens are blocked.
-    Rules of up to ``max_tokens`` tokens are all listed; a longer one only if no rule is part of it,
-    for the pages it blocks are blocked by that part already.
+    all labelled pages, and at least ``min_confidence`` of the pages with the tokens are blocked, and no part of
+    it is a rule.  Tokens of the same labelled pages are one item.  ``lead`` is the rarest item.
     Without labelled pages there are no rules.
     """
     spark = labelled.sparkSession
-    items = staged(
-        labelled.filter("bad IS NOT NULL AND tokens IS NOT NULL").select(F.when(F.col("bad"), F.array_append("tokens", BLOCKED)).otherwise(F.col("tokens")).alias("items")),
-        "transactions",
-    )
-    total = items.count()
+    known = labelled.filter("bad IS NOT NULL AND tokens IS NOT NULL").select(F.expr("uuid()").alias("page"), "tokens", "bad")
+    known = staged(known, "transactions")
+    total = known.count()
     if not total:
-        return spark.range(0).selectExpr("array(string(id)) AS tokens", "string(id) AS lead", "id AS n", "id AS blocked")
+        return spark.range(0).selectExpr("array(string(id)) AS items", "string(id) AS lead", "id AS n", "id AS blocked"), spark.range(0).selectExpr("string(id) AS token", "string(id) AS item")
     needed = max(min_count, math.ceil(min_support * total))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (needed - 0.5) / total), minConfidence=1.0).fit(items)
-    frequent = model.freqItemsets.select(F.array_sort("items").alias("items"), "freq")
-    frequent = staged(frequent, "itemsets")
-    blocked = frequent.filter(F.array_contains("items", BLOCKED) & (F.size("items") > 1)).select(
-        F.array_remove("items", BLOCKED).alias("items"), F.col("freq").alias("blocked")
-    )
-    rules = blocked.join(frequent, "items").filter((F.col("blocked") / F.col("freq") >= min_confidence))
-    single = frequent.filter(F.size("items") == 1).select(F.col("items")[0].alias("lead"), F.col("freq").alias("of_lead"))
-    leads = (
-        rules.withColumn("lead", F.explode("items")).join(single, "lead")
-        .groupBy("items", "freq", "blocked").agg(F.min(F.struct("of_lead", "lead")).alias("rarest"))
-    )
-    rules = staged(leads.select(F.col("items").alias("tokens"), F.col("rarest.lead").alias("lead"), F.col("freq").alias("n"), "blocked"), "all-rules")
-    long = rules.filter(F.size("tokens") > max_tokens)
-    parts = rules.select("lead", F.col("tokens").alias("part"))
-    covered = (
-        long.select("tokens", F.explode("tokens").alias("lead")).join(parts, "lead")
-        .filter((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0)).select("tokens")
-    )
-    return rules.filter(F.size("tokens") <= max_tokens).unionByName(long.join(covered, "tokens", "left_anti").select(*rules.columns))
+    items = staged(token_items(known, needed), "items")
+    alone = F.col("blocked") / F.col("n") >= min_confidence
+    single = items.filter(alone & (F.col("token") == F.col("item"))).select(F.array("item").alias("items"), F.col("item").alias("lead"), "n", "blocked")
+    rest = as_items(known, items.filter(~alone).select("token", "item"), "page", "bad")
+    baskets = staged(rest.select(F.when(F.col("bad"), F.array_append("items", BLOCKED)).otherwise(F.col("items")).alias("items")), "baskets")
+    left = baskets.count()
+    rules = single
+    if left:
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (needed - 0.5) / left), minConfidence=1.0).fit(baskets)
+        frequent = staged(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+        longer = minimal_rules(frequent, min_confidence)
+        of = items.filter(F.col("token") == F.col("item")).select(F.col("item").alias("lead"), F.col("n").alias("of_lead"))
+        leads = longer.withColumn("lead", F.explode("items")).join(of, "lead").groupBy("items", "n", "blocked")
+        rules = rules.unionByName(leads.agg(F.min(F.struct("of_lead", "lead"))["lead"].alias("lead")).select("items", "lead", "n", "blocked"))
+    return staged(rules, "rules"), items.select("token", "item")
+
+
+def near(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
+    """Broadcast if all values together, measured, are few bytes; else left to the planner."""
+    size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))) * 2)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def filter_urls(
     pages: DataFrame, labels: DataFrame, *, rules=RULES, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", **mining
 ) -> DataFrame:
-    """One row per row of ``pages``: page_id, host, path, rule, verdict, mined (mined rules that fit).
+    """One row per row of ``pages``: page_id, host, path, rule, verdict, mined (mined rules that fit a page no listed one does).
 
     A listed rule decides; else a page is blocked if a mined rule fits and allowed if none does.
     A page's label is the row of ``labels`` with its id: bad if quality is 0 or toxic is 1 (bad if any of
@@ -133,14 +177,14 @@ def filter_urls(
     bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.col("quality") == 0, F.col("toxic") == 1)
     marks = labels.select(F.col(label_id).alias("page_id"), bad.alias("bad")).groupBy("page_id").agg(F.max("bad").alias("bad"))
     marks = staged(marks, "marks")
-    found = staged(mine_rules(judged.join(marks, "page_id").select("tokens", "bad"), **mining), "rules")
-    rules_found = maybe_broadcast(found.select(F.col("tokens").alias("needed"), "lead"), found.count())
+    rules, items = mine_rules(judged.join(marks, "page_id").select("tokens", "bad"), **mining)
+    rules, items = near(rules.select(F.col("items").alias("needed"), "lead")), near(items)
 
-    open_pages = judged.filter("listed IS NULL")
+    open_pages = as_items(judged.filter("listed IS NULL"), items, FILE, ROW)
     hits = (
-        open_pages.select(FILE, ROW, "tokens", F.explode("tokens").alias("lead"))
-        .join(rules_found, "lead")
-        .filter(F.size(F.array_except("needed", "tokens")) == 0)
+        open_pages.select(FILE, ROW, "items", F.explode("items").alias("lead"))
+        .join(rules, "lead")
+        .filter(F.size(F.array_except("needed", "items")) == 0)
         .groupBy(FILE, ROW).agg(F.count(F.lit(1)).alias("mined"))
     )
     mined = F.coalesce("mined", F.lit(0))
