@@ -16,8 +16,8 @@ from folioseek.session import staged
 EXACT_BITS = 13
 
 
-def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
-    """Upper lengths of at most ``buckets`` buckets with the least total padding.
+def boundaries_by_count(histogram: list[tuple[int, int]], buckets: int) -> list[tuple[int, list[int]]]:
+    """For 1, 2, ... ``buckets`` buckets (no more than there are lengths) the least total padding and the upper lengths.
 
     With prefix counts C and prefix tokens S, closing a bucket of lengths i..j costs
     L[j] * (C[j] - C[i]) - (S[j] - S[i]).  For each j that is the least of lines in L[j] with slope
@@ -25,8 +25,7 @@ def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[i
     """
     histogram = sorted(histogram)
     lengths = [x for x, _ in histogram]
-    if len(lengths) <= buckets:
-        return lengths
+    buckets = min(buckets, len(lengths))
     count, tokens = [0], [0]
     for x, n in histogram:
         count.append(count[-1] + n)
@@ -34,6 +33,7 @@ def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[i
     size = len(lengths)
     best: list[int | None] = [0] + [None] * size
     came: list[list[int]] = []
+    least: list[int] = []
     for _ in range(buckets):
         hull: list[tuple[int, int, int]] = []
         at = 0
@@ -60,11 +60,31 @@ def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[i
             now[j] = m * x + c + x * count[j] - tokens[j]
         best = now
         came.append(back)
-    ends, j = [], size
-    for back in reversed(came):
-        ends.append(lengths[j - 1])
-        j = back[j]
-    return ends[::-1]
+        least.append(now[size])
+    out = []
+    for k, padding in enumerate(least, 1):
+        ends, j = [], size
+        for back in reversed(came[:k]):
+            ends.append(lengths[j - 1])
+            j = back[j]
+        out.append((padding, ends[::-1]))
+    return out
+
+
+def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int, budget: int | None = None) -> list[int]:
+    """Upper lengths of at most ``buckets`` buckets with the least total padding.
+
+    No bucket holds lengths on both sides of ``budget``; so there are two buckets at least if both occur.
+    """
+    short = [(x, n) for x, n in histogram if budget is None or x <= budget]
+    long = [(x, n) for x, n in histogram if budget is not None and x > budget]
+    if not short or not long:
+        return boundaries_by_count(short or long, buckets)[-1][1] if histogram else []
+    buckets = max(buckets, 2)
+    low, high = boundaries_by_count(short, buckets - 1), boundaries_by_count(long, buckets - 1)
+    pairs = [(low[a][0] + high[min(buckets - a - 2, len(high) - 1)][0], a) for a in range(len(low))]
+    a = min(pairs)[1]
+    return low[a][1] + high[min(buckets - a - 2, len(high) - 1)][1]
 
 
 def rounded_length(name: str) -> Column:
@@ -89,7 +109,7 @@ def pack_by_length(
     ``length`` counts words (or is the given expression over ``docs``, at least 0); a null text has
     length 0.  ``batch`` counts from 0 inside its bucket, ``place`` from 0 inside its batch, and a
     batch times the bucket's length stays within ``budget``; only documents longer than the budget
-    are batches of their own, whole.  Every batch but the last of a bucket is full.  Ties and
+    are batches of their own, whole, and they share no bucket with others.  Every batch but the last of a bucket is full.  Ties and
     repeated rows each have a place of their own; an empty table gives an empty result.
 
     The driver receives one row per distinct rounded length: at most 2^13 + 2^12 x (64 - 13).
@@ -98,12 +118,12 @@ def pack_by_length(
     rows = numbered(docs, doc_id=F.col(id_col), n=(words if length is None else F.coalesce(length, F.lit(0))).cast("long"))
     rows = staged(
         rows.select(FILE, ROW, "doc_id", F.col("n").alias("length"))
-        .withColumn("rounded", rounded_length("length"))
+        .withColumn("rounded", F.when(F.col("length") <= budget, F.least(rounded_length("length"), F.lit(budget))).otherwise(rounded_length("length")))
         .withColumn("u", uniform("doc_id", "length", ROW, seed=seed)),
         "lengths",
     )
     histogram = [(r.rounded, r.n) for r in rows.groupBy("rounded").agg(F.count(F.lit(1)).alias("n")).collect()]
-    ends = optimal_boundaries(histogram, buckets) or [0]
+    ends = optimal_boundaries(histogram, buckets, budget) or [0]
     upper = F.array(*(F.lit(x).cast("long") for x in ends))
     placed = rows.withColumn("bucket", F.size(F.filter(upper, lambda end: end < F.col("length")))).withColumn(
         "cell", F.floor(F.col("u") * cells).cast("int")

@@ -23,6 +23,33 @@ def test_boundaries_against_all_choices():
             assert len(ends) <= k and ends == sorted(ends) and padding(histogram, ends) == least
 
 
+def test_boundaries_that_part_at_the_budget():
+    rng = random.Random(5)
+    for _ in range(200):
+        lengths = rng.sample(range(60), rng.randint(1, 9))
+        histogram, budget = [(x, rng.randint(1, 50)) for x in lengths], rng.randint(0, 60)
+        short, long = [x for x in lengths if x <= budget], [x for x in lengths if x > budget]
+        for k in (2, 3, 4):
+            ends = optimal_boundaries(histogram, k, budget)
+            forced = {max(x) for x in (short, long) if x}
+            least = min(padding(histogram, (*c, *forced)) for m in range(k - len(forced) + 1) for c in combinations(sorted(set(lengths) - forced), m))
+            assert len(ends) <= k and forced <= set(ends) and ends == sorted(set(ends)) and padding(histogram, ends) == least
+
+
+def test_no_batch_is_over_the_budget(spark):
+    lengths = [500] * 40 + [6_646, 16_383, 16_384, 16_385, 20_020, 30_000] + list(range(1, 9_000, 37))
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long").withColumn("text", F.lit(""))
+    for buckets, budget in ((1, 16_384), (3, 16_384), (16, 16_384), (4, 10_001)):
+        rows = pack_by_length(docs, length=F.col("n"), buckets=buckets, budget=budget).collect()
+        batches = defaultdict(list)
+        for r in rows:
+            batches[r.bucket, r.batch].append(r)
+        assert len(rows) == len(lengths)
+        for held in batches.values():
+            own = held[0].length > budget
+            assert len(held) == 1 if own else len(held) * held[0].bucket_length <= budget
+
+
 def test_batches(spark):
     rng = random.Random(2)
     data = [(i, " ".join(["w"] * rng.randint(0, 80))) for i in range(700)] + [(None, None), (1, ""), (2, "w " * 30_001)] + [(9, "a b")] * 60
