@@ -65,7 +65,7 @@ def mix_sources(
     Null sources are one source.  Documents without words take nothing.  An empty table gives none.
 
     A source is never sorted as a whole: rank cells are summed, and only the cell in which the
-    remainder ends is put in order.
+    remainder ends is put in order; a source due whole copies alone has no such cell.
     """
     weight = F.lit(1.0) if inclusion is None else inclusion.cast("double")
     rows = numbered(docs, doc_id=F.col(id_col), text=F.col(text_col), source=F.col(source_col), include=weight)
@@ -106,7 +106,7 @@ def mix_sources(
     spans = staged(
         summed.withColumn("after", running)
         .withColumn("before", F.col("after") - F.col("words"))
-        .select("key", "cell", "before", (F.col("after") <= F.col("rest")).alias("within"), (F.col("before") > F.col("rest")).alias("beyond")),
+        .select("key", "cell", "before", (F.col("after") <= F.col("rest")).alias("within"), ((F.col("before") > F.col("rest")) | (F.col("rest") <= 0)).alias("beyond")),
         "cells",
     )
     placed = ranked.join(maybe_broadcast(spans, sources * cells), ["key", "cell"])

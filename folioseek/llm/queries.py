@@ -57,7 +57,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mix_sources(table(spark, sf_dir, "documents"))
+    longer = F.sqrt(F.length(F.coalesce("text", F.lit(""))) + 1)  # longer documents are likelier to be drawn
+    found = mix_sources(table(spark, sf_dir, "documents"), inclusion=longer)
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 

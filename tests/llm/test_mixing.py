@@ -63,6 +63,29 @@ def test_inclusion_weights_favour_rows(spark):
     assert sum(r.copies for r in got) == 1000 and high > 650
 
 
+def test_pareto_order_against_the_draws(spark):
+    """Ranks are odds of a draw over odds of inclusion; the remainder is taken in that order."""
+    from folioseek.llm.common import uniform
+
+    data = [(i, "w " * (1 + i % 13), "ab"[i % 3 == 0]) for i in range(900)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    weight = lambda n: (n + 1) ** 0.5
+    got = {r.doc_id: r for r in mix_sources(docs, inclusion=F.sqrt(F.length("text") + 1), cells=8).collect()}
+    draws = {r.doc_id: r.u for r in docs.select("doc_id", uniform("doc_id", F.xxhash64("text"), seed=7).alias("u")).collect()}
+    for source in "ab":
+        rows = [(i, len(t)) for i, t, s in data if s == source]
+        mean = sum(weight(n) for _, n in rows) / len(rows)
+        due = got[rows[0][0]].target / got[rows[0][0]].source_size
+        rest, ranks = (due - int(due)) * got[rows[0][0]].source_size, []
+        for i, n in rows:
+            p, u = min((due - int(due)) * weight(n) / mean, 1 - 1e-9), draws[i]
+            ranks.append(((u / (1 - u)) * ((1 - p) / p), i) if p > 0 else (2.0, i))
+        ahead = 0
+        for _, i in sorted(ranks):
+            assert got[i].copies == int(due) + (rest > 0 and 2 * ahead + got[i].size <= 2 * rest)
+            ahead += got[i].size
+
+
 def test_empty_and_wordless(spark):
     assert rows_of(spark, [(1, None, "a"), (2, " ", None)])[0].taken == 0
     assert rows_of(spark, []) == []
