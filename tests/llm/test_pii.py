@@ -57,12 +57,11 @@ def test_documents(spark):
     new = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash")).withColumn("base", F.lit(1))
     got = find_personal_data(new, model).collect()
     assert len(got) == len(rows)
-    texts = sorted((t or "" for _, t in rows), key=lambda t: plain(t))
-    by = sorted(got, key=lambda r: (r.n_email, r.n_ip, r.n_card, r.n_phone))
-    assert sum(r.n_email for r in by) == 3 and len(texts) == len(by)
+    assert sum(r.n_email for r in got) == 3
+    # The plain patterns take the square of a long text's time; its one span is known.
+    bases = [(i, [(0, 300_001, 300_006)] if len(t or "") > 10_000 else plain(t or "")) for i, t in rows]
     for r in got:
-        for i, t in rows:
-            base = plain(t or "")
+        for i, base in bases:
             line = ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in base)
             if r.doc_id == i and r.base_sha256 == hashlib.sha256(line.encode()).hexdigest():
                 assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
