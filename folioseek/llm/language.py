@@ -21,6 +21,9 @@ from folioseek.llm.common import FILE, ROW, held_out, numbered, uniform
 DIMENSIONS_BITS, ORDERS = 12, 3
 PER_LANGUAGE = 600
 UNKNOWN = "und"
+#: A text further than this from every codeword (bits that say nothing cost log 2 = 0.69 each) is no language,
+#: or several of them; in the latter case bits are sure of contrary things, in the former their outputs are small.
+FAR, UNSURE = 0.6, 3.1
 _PIECE = 1 << 20
 
 
@@ -97,11 +100,11 @@ def train_codes(x: np.ndarray, labels: np.ndarray, code: np.ndarray, rounds: int
     return w, trust / trust.sum(axis=1, keepdims=True)
 
 
-def decode(x: np.ndarray, w: np.ndarray, code: np.ndarray, trust: np.ndarray) -> np.ndarray:
-    """Loss-weighted distance of each row to each codeword."""
+def decode(x: np.ndarray, w: np.ndarray, code: np.ndarray, trust: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Loss-weighted distance of each row to each codeword, and how sure its bits are on average."""
     f = x @ w[:-1] + w[-1]
     losses = np.logaddexp(0, -code[None] * f[:, None, :])
-    return (losses * trust[None]).sum(axis=2)
+    return (losses * trust[None]).sum(axis=2), np.abs(f).mean(axis=1)
 
 
 class LanguageModel:
@@ -110,14 +113,14 @@ class LanguageModel:
     def __init__(self, languages: list[str], code: np.ndarray, w: np.ndarray | None, trust: np.ndarray | None):
         self.languages, self.code, self.w, self.trust = languages, code, w, trust
 
-    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of the language, score and lead over the second."""
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Index of the language, score, lead over the second, distance from the nearest codeword and mean output of the bits."""
         if len(self.languages) < 2:
-            return np.zeros(len(x), int), np.ones(len(x)), np.ones(len(x))
-        cost = decode(x, self.w, self.code, self.trust)
+            return np.zeros(len(x), int), np.ones(len(x)), np.ones(len(x)), np.zeros(len(x)), np.ones(len(x))
+        cost, sure = decode(x, self.w, self.code, self.trust)
         order = np.sort(cost, axis=1)
         share = np.exp(-(cost - order[:, :1]) * self.code.shape[1])
-        return cost.argmin(axis=1), share.max(axis=1) / share.sum(axis=1), order[:, 1] - order[:, 0]
+        return cost.argmin(axis=1), share.max(axis=1) / share.sum(axis=1), order[:, 1] - order[:, 0], order[:, 0], sure
 
 
 def fit_languages(
@@ -168,11 +171,14 @@ def fit_languages(
     return LanguageModel(languages, code, model["w"], model["trust"])
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel, *, lead: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: file and row key, doc_id, held_out, lang_pred, score, ambiguous.
+def predict_languages(docs: DataFrame, model: LanguageModel, *, lead: float = 0.1, far: float = FAR, unsure_below: float = UNSURE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: file and row key, doc_id, held_out, lang_pred, score, ambiguous, distance, rejected.
 
     ``und`` with score 0 stands for texts that are null or have no letter (and for all rows if no
-    language could be learned).  ``score`` is the winner's share of exp(-cost); ``ambiguous`` says that
+    language could be learned).  ``distance`` is the weighted loss against the nearest codeword; ``rejected`` says that a
+    text has no letter, or is further than ``far`` from every codeword by bits whose mean output is below ``unsure_below``:
+    texts that mix languages stay.  If no language could be learned,
+    texts with letters have no distance and are not rejected.  ``score`` is the winner's share of exp(-cost); ``ambiguous`` says that
     its weighted loss leads the second's by less than ``lead``.  Repeated rows and null ids are
     rows like any other (a null id is not held out, but never learned from); an empty table gives none.
     """
@@ -185,16 +191,22 @@ def predict_languages(docs: DataFrame, model: LanguageModel, *, lead: float = 0.
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [ngram_frequencies((t or b"").decode("utf-8", "replace")) if model.languages else None for t in part.column(4).to_pylist()]
+                found = [ngram_frequencies((t or b"").decode("utf-8", "replace")) for t in part.column(4).to_pylist()]
                 pred, score, unsure = [UNKNOWN] * len(found), [0.0] * len(found), [True] * len(found)
-                known = [i for i, x in enumerate(found) if x is not None]
+                distance, rejected = [None] * len(found), [x is None for x in found]
+                known = [i for i, x in enumerate(found) if x is not None and model.languages]
                 if known:
-                    which, share, ahead = model.predict(np.stack([found[i] for i in known]))
-                    for i, k, s, a in zip(known, which, share, ahead):
+                    for i, k, s, a, d, sure in zip(known, *model.predict(np.stack([found[i] for i in known]))):
                         pred[i], score[i], unsure[i] = model.languages[k], float(s), bool(a < lead)
+                        distance[i], rejected[i] = float(d), bool(d > far and sure < unsure_below)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in range(4)), pa.array(pred), pa.array(score, pa.float64()), pa.array(unsure)],
-                    names=[FILE, ROW, "doc_id", "held_out", "lang_pred", "score", "ambiguous"],
-                )
-
-    return rows.mapInArrow(run, f"{FILE} long, {ROW} long, doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
+                    [
+                        *(part.column(c) for c in range(4)), pa.array(pred), pa.array(score, pa.float64()), pa.array(unsure),
+                        pa.array(distance, pa.float64()), pa.array(rejected),
+                    ],
+                    names=[FILE, ROW, "doc_id", "held_out", "lang_pred", "score", "ambiguous", "distance", "rejected"],
+                )
+
+    return rows.mapInArrow(
+        run, f"{FILE} long, {ROW} long, doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean, distance double, rejected boolean"
+    )

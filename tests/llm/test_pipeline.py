@@ -3,6 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from folioseek.llm.language import fit_languages, predict_languages
 from folioseek.llm.shingles import shingle_set
 from folioseek.session import staged
 
@@ -30,7 +31,9 @@ def test_stages_against_brute_force(spark):
     left = staged(stages["language"](spark, docs, SF), "t")
     assert left.columns == columns
     before = {r.doc_id: r.text for r in docs.collect()}
-    assert {r.doc_id for r in left.collect()} == {i for i, t in before.items() if t and re.search(r"[^\W\d_]", t)}
+    lettered = {i for i, t in before.items() if t and re.search(r"[^\W\d_]", t)}
+    far = {r.doc_id for r in predict_languages(docs, fit_languages(docs)).filter("distance > 0.6").collect()}
+    assert lettered - far <= {r.doc_id for r in left.collect()} <= lettered
 
     once = staged(stages["exact dedup"](spark, left, SF), "t")
     last = {}
@@ -51,6 +54,23 @@ def test_stages_against_brute_force(spark):
     assert sorted(r.doc_id for r in plan.collect()) == sorted(r.doc_id for r in mixed.collect())
 
 
+def test_language_stage_decides_by_the_codes(spark):
+    import random
+
+    rng = random.Random(1)
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = known.filter("length(text) > 1500").groupBy("lang").agg(F.collect_list("text").alias("t")).collect()
+    mixed = [(100_000 + i, " ".join(r.t[i][:600] for r in texts if r.lang not in skip)) for i, skip in enumerate([(), ("de",), ("en",), ("fr", "es")])]
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    junk = [(200_000, " ".join(letters(rng.randint(3, 9), "abcdefghijklmnopqrstuvwxyz") for _ in range(500))), (200_001, letters(3_000, "abcdefghijkLMNOPQRSTUvwxyz0123456789"))]
+    docs = known.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(i, t, None) for i, t in mixed + junk], "doc_id long, text string, lang string"))
+    stage = dict(corpus_pipeline.STAGES)["language"]
+    left = {r.doc_id for r in stage(spark, docs, SF).collect()}
+    assert {i for i, _ in mixed} <= left and not {i for i, _ in junk} & left
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert stage(spark, unlabelled, SF).count() == docs.filter(r"text RLIKE '\\p{L}'").count()
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
