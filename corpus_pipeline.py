@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioseek.llm.common import FILE, ROW, as_scan, rows_left, table, with_row_key
 from folioseek.llm.exact_dedup import exact_dedup
-from folioseek.llm.language import UNKNOWN, fit_languages, predict_languages
+from folioseek.llm.language import fit_languages, predict_languages
 from folioseek.llm.mixing import mix_sources
 from folioseek.llm.near_dedup import near_duplicates
 from folioseek.llm.packing import pack_by_length
@@ -20,10 +20,12 @@ from folioseek.session import staged
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without text or letters go."""
+    """Documents in some language: those without letters go, and those whose code no learned language comes near.
+
+    Where no document has a language to learn from, all with letters stay.
+    """
     docs = as_scan(docs)
-    found = predict_languages(docs, fit_languages(docs))
-    return rows_left(docs, found.filter(F.col("lang_pred") == UNKNOWN))
+    return rows_left(docs, predict_languages(docs, fit_languages(docs)).filter("rejected"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
