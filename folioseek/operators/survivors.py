@@ -1,10 +1,10 @@
 """Pages for queries that only exclude.
 
 Such a query returns nearly every document, so its result is never spelled out.  The
-documents are put in result order once; a query's page then follows from the positions it
-excludes: in blocks of positions, the excluded ones are counted, and the survivors before
-each block tell in which blocks the page falls.  Work grows with the excluded hits and the
-page, not with queries times documents.
+documents are put in result order once; what a query excludes is one bitmap for each block of
+positions.  A frequent token's bitmaps are made once and shared by all queries that exclude it; rare
+tokens add single positions.  Bits set tell how many survivors stand before each block and so in which
+blocks the page falls; only those are read bit by bit.
 """
 
 from __future__ import annotations
@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .paging import Page
 
-BLOCK = 4096
+#: Positions of a block; Spark's bitmaps have room for this many.
+BLOCK = 32_768
+#: A token with fewer documents than this in a block, on average, has no bitmaps of its own.
+DENSE = 64
 _ROW_BITS = (1 << 33) - 1
 
 
@@ -41,21 +44,43 @@ def positions(docs: DataFrame, order: Sequence[Column]) -> DataFrame:
     return fixed.join(before, "pid").select("docid", (F.col("before") + F.col("row")).alias("pos"))
 
 
-def _block() -> Column:
-    return F.floor(F.col("pos") / BLOCK).cast("bigint")
+def _bits(df: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, block, bits)`` of rows ``(keys, pos)``; equal positions are one bit."""
+    block = F.floor(F.col("pos") / BLOCK).cast("bigint").alias("block")
+    return df.groupBy(*keys, block).agg(F.bitmap_construct_agg(F.pmod("pos", F.lit(BLOCK)).cast("bigint")).alias("bits"))
 
 
-def block_counts(excluded: DataFrame) -> DataFrame:
-    """``(qid, block, n)`` of excluded ``(qid, docid, pos)``; combined before the shuffle."""
-    return excluded.groupBy("qid", _block().alias("block")).agg(F.count(F.lit(1)).alias("n"))
+def excluded_bits(barring: DataFrame, posted: DataFrame, placed: DataFrame, n_docs: int, few: bool) -> DataFrame:
+    """``(qid, block, bits, n)`` of what queries exclude: ``barring`` is ``(qid, scope, token, df)``, written down.
 
+    A posting is met once, not once per query, if its token is frequent; ``few`` says that ``barring`` can be broadcast.
+    """
+    near = F.broadcast if few else lambda df: df
+    barring = barring.filter("df > 0")
+    frequent = F.col("df") * BLOCK >= DENSE * n_docs
+    posted = posted.select("scope", "token", "docid")
+    dense, sparse = barring.filter(frequent), barring.filter(~frequent)
+    shared = posted.join(near(dense.select("scope", "token").distinct()), ["scope", "token"], "left_semi").join(placed, "docid")
+    by_token = _bits(shared, "scope", "token").join(near(dense.select("qid", "scope", "token")), ["scope", "token"])
+    single = posted.join(near(sparse.select("qid", "scope", "token")), ["scope", "token"]).join(placed, "docid")
+    both = by_token.select("qid", "block", "bits").unionByName(_bits(single, "qid").select("qid", "block", "bits"))
+    return both.groupBy("qid", "block").agg(F.bitmap_or_agg("bits").alias("bits")).withColumn("n", F.bitmap_count("bits"))
 
-def surviving_page(counts: DataFrame, excluded: DataFrame, placed: DataFrame, page: Page) -> DataFrame:
-    """``(qid, docid, rank)`` of the page for each query with ``counts`` of what it excludes.
 
-    ``excluded`` is asked again for the blocks on the page alone.
-    """
-    ex = excluded.select("qid", "pos", _block().alias("block"))
+def _free(bits: Column) -> Column:
+    """Places 0, 1, ... of the bits that are not set, in order."""
+
+    def of_byte(i: Column) -> Column:
+        byte = F.conv(F.hex(F.call_function("substring", bits, i + 1, F.lit(1))), 16, 10).cast("int")
+        unset = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.call_function("shiftright", byte, b) % 2 == 0)
+        return F.transform(unset, lambda b: i * 8 + b)
+
+    places = F.flatten(F.transform(F.sequence(F.lit(0), F.lit((BLOCK - 1) // 8)), of_byte))
+    return places if BLOCK % 8 == 0 else F.filter(places, lambda i: i < BLOCK)
+
+
+def surviving_page(counts: DataFrame, placed: DataFrame, page: Page) -> DataFrame:
+    """``(qid, docid, rank)`` of the page for each query with ``counts`` (qid, block, bits, n) of what it excludes."""
     in_order = Window.partitionBy("qid").orderBy("block")
     blocks = (
         counts.select(
@@ -100,15 +125,9 @@ def surviving_page(counts: DataFrame, excluded: DataFrame, placed: DataFrame, pa
     ).select("qid", "block", "at_block")
     first = F.col("block") * BLOCK
     inside = (
-        touched.join(ex, ["qid", "block"])
-        .groupBy("qid", "block", "at_block")
-        .agg(F.collect_list("pos").alias("gone"))
-        .select(
-            "qid",
-            "at_block",
-            F.posexplode(F.array_except(F.sequence(first, first + (BLOCK - 1)), F.col("gone"))).alias("i", "pos"),
-        )
-        .select("qid", (F.col("at_block") + F.col("i")).alias("k"), "pos")
+        touched.join(counts.select("qid", "block", "bits"), ["qid", "block"])
+        .select("qid", "at_block", first.alias("first"), F.posexplode(_free(F.col("bits"))).alias("i", "place"))
+        .select("qid", (F.col("at_block") + F.col("i")).alias("k"), (F.col("first") + F.col("place")).alias("pos"))
         .filter((F.col("k") >= page.offset) & (F.col("k") < page.end))
     )
     return (

@@ -215,18 +215,11 @@ class Search:
     def _placed(self) -> DataFrame:
         return survivors.positions(self._unscored, self._order)
 
-    @cached_property
-    def _excluded(self) -> DataFrame:
-        """``(qid, docid, pos)`` ruled out by excluding queries; never written, only counted by block."""
-        barring = self._weighted.filter(F.col("n_positive") == 0).select("qid", "scope", "token")
-        at = self.postings.select("scope", "token", "docid").join(self._placed, "docid")
-        barring = F.broadcast(barring) if self._sample is not None else barring
-        return at.join(barring, ["scope", "token"]).select("qid", "docid", "pos").distinct()
-
     @cached_property
     def _blocks(self) -> DataFrame:
-        """How many positions of each block a query excludes."""
-        return staged(survivors.block_counts(self._excluded), "blocks")
+        """Bitmaps of the positions each excluding query rules out, by block; pairs of queries and documents are written nowhere."""
+        barring = self._weighted.filter(F.col("n_positive") == 0).select("qid", "scope", "token", "df")
+        return staged(survivors.excluded_bits(barring, self.postings, self._placed, self._corpus_row.n_docs, self._sample is not None), "blocks")
 
     @cached_property
     def _kinds(self) -> DataFrame:
@@ -282,7 +275,7 @@ class Search:
         if self._may_hold("all"):
             plain.append(self._kinds.filter(F.col("kind") == "all").select("qid"))
         if self._may_hold("not_only"):
-            rest = survivors.surviving_page(self._blocks, self._excluded, self._placed, self.page_args)
+            rest = survivors.surviving_page(self._blocks, self._placed, self.page_args)
             parts.append(
                 rest.select("qid", "docid", "rank", F.lit(0.0).alias("score"))
             )

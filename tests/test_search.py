@@ -143,9 +143,33 @@ def mode(request, monkeypatch):
         original = retrieve.hot_tokens
         monkeypatch.setattr(retrieve, "hot_tokens", lambda stats, *a: original(stats, 3))
     monkeypatch.setattr(survivors, "BLOCK", 4)
+    if request.param in ("small", "large-hot"):
+        monkeypatch.setattr(survivors, "DENSE", 0)  # every token has bitmaps of its own
     return request.param
 
 
+def test_excluded_positions_over_several_bitmaps(spark):
+    n = 100_000
+    placed = spark.range(n).selectExpr("string(id) AS docid", "id AS pos")
+    held = {"all": lambda i: True, "most": lambda i: i % 3 > 0, "half": lambda i: i >= 40_000, "few": lambda i: i in (0, 32_767, 32_768, 99_999)}
+    when = {"all": "true", "most": "id % 3 > 0", "half": "id >= 40000", "few": "id IN (0, 32767, 32768, 99999)"}
+    posted = None
+    for t, c in when.items():
+        rows = spark.range(n).filter(c).selectExpr("'' AS scope", f"'{t}' AS token", "string(id) AS docid")
+        posted = rows if posted is None else posted.unionByName(rows)
+    asked = {1: ["most"], 2: ["half"], 3: ["few"], 4: ["most", "few"], 5: ["half", "most", "few"], 6: ["all"]}
+    df = {t: sum(map(has, range(n))) for t, has in held.items()}
+    barring = spark.createDataFrame([(q, "", t, df[t]) for q, ts in asked.items() for t in ts] + [(3, "", "none", None)], "qid long, scope string, token string, df long")
+    for page in (Page(1, 20), Page(1100, 10), Page(2001, 20)):
+        bits = survivors.excluded_bits(barring, posted, placed, n, True)
+        got = {}
+        for r in survivors.surviving_page(bits, placed, page).collect():
+            got.setdefault(r.qid, {})[r.rank] = int(r.docid)
+        for q, ts in asked.items():
+            want = [i for i in range(n) if not any(held[t](i) for t in ts)][page.offset : page.end]
+            assert got.get(q, {}) == {page.offset + 1 + i: d for i, d in enumerate(want)}
+
+
 def test_search_against_brute_force(spark, tables, mode):
     used = Tables(tables.docs, tables.postings, None, tables.corpus) if mode == "no-stats" else tables
     page = Page(2, 7)
