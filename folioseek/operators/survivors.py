@@ -19,6 +19,8 @@ from .paging import Page
 
 #: Positions of a block; Spark's bitmaps have room for this many.
 BLOCK = 32_768
+#: Positions read bit by bit at once: a block's bitmap is counted in such pieces first.
+PIECE = 512
 #: A token with fewer documents than this in a block, on average, has no bitmaps of its own.
 DENSE = 64
 _ROW_BITS = (1 << 33) - 1
@@ -67,16 +69,16 @@ def excluded_bits(barring: DataFrame, posted: DataFrame, placed: DataFrame, n_do
     return both.groupBy("qid", "block").agg(F.bitmap_or_agg("bits").alias("bits")).withColumn("n", F.bitmap_count("bits"))
 
 
-def _free(bits: Column) -> Column:
-    """Places 0, 1, ... of the bits that are not set, in order."""
+def _free(bits: Column, size: int) -> Column:
+    """Places 0, 1, ... of the first ``size`` bits that are not set, in order."""
 
     def of_byte(i: Column) -> Column:
         byte = F.conv(F.hex(F.call_function("substring", bits, i + 1, F.lit(1))), 16, 10).cast("int")
         unset = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.call_function("shiftright", byte, b) % 2 == 0)
         return F.transform(unset, lambda b: i * 8 + b)
 
-    places = F.flatten(F.transform(F.sequence(F.lit(0), F.lit((BLOCK - 1) // 8)), of_byte))
-    return places if BLOCK % 8 == 0 else F.filter(places, lambda i: i < BLOCK)
+    places = F.flatten(F.transform(F.sequence(F.lit(0), F.lit((size - 1) // 8)), of_byte))
+    return places if size % 8 == 0 else F.filter(places, lambda i: i < size)
 
 
 def surviving_page(counts: DataFrame, placed: DataFrame, page: Page) -> DataFrame:
@@ -124,10 +126,20 @@ def surviving_page(counts: DataFrame, placed: DataFrame, page: Page) -> DataFram
         (F.col("at_block") < page.end) & (F.col("at_gap") > page.offset) & (F.col("at_gap") > F.col("at_block"))
     ).select("qid", "block", "at_block")
     first = F.col("block") * BLOCK
-    inside = (
+    size = min(PIECE, BLOCK)
+    piece = lambda i: F.call_function("substring", F.col("bits"), i * (size // 8) + 1, F.lit(-(-size // 8)))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(BLOCK // size - 1)), piece)
+    ahead = Window.partitionBy("qid", "block").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (
         touched.join(counts.select("qid", "block", "bits"), ["qid", "block"])
-        .select("qid", "at_block", first.alias("first"), F.posexplode(_free(F.col("bits"))).alias("i", "place"))
-        .select("qid", (F.col("at_block") + F.col("i")).alias("k"), (F.col("first") + F.col("place")).alias("pos"))
+        .select("qid", "block", "at_block", first.alias("first"), F.posexplode(cut).alias("no", "part"))
+        .withColumn("free", size - F.bitmap_count("part"))
+        .withColumn("at", F.col("at_block") + F.coalesce(F.sum("free").over(ahead), F.lit(0)))
+        .filter((F.col("at") < page.end) & (F.col("at") + F.col("free") > page.offset))
+    )
+    inside = (
+        pieces.select("qid", "at", (F.col("first") + F.col("no") * size).alias("first"), F.posexplode(_free(F.col("part"), size)).alias("i", "place"))
+        .select("qid", (F.col("at") + F.col("i")).alias("k"), (F.col("first") + F.col("place")).alias("pos"))
         .filter((F.col("k") >= page.offset) & (F.col("k") < page.end))
     )
     return (
