@@ -41,10 +41,11 @@ def _signed(column: Column, field: Column) -> Column:
     return F.filter(F.transform(_pieces(column, WHITE), clause), lambda c: c["text"] != "")
 
 
-def clauses(q: Column, fq: Column | None = None) -> Column:
+def clauses(q: Column, fq: Column | None = None, strict: bool = False) -> Column:
     """Clauses of ``q`` (``+must -not "one token" should``) and ``fq`` (``field:q,field:q``; ``;`` separates too).
 
-    A piece of ``fq`` without a field name or without words says nothing.
+    A piece of ``fq`` without a field name says nothing; nor does one without words, but with ``strict`` that is an
+    error which ends the job.
     """
     whole = _signed(q, F.lit(None))
     if fq is None:
@@ -52,7 +53,11 @@ def clauses(q: Column, fq: Column | None = None) -> Column:
 
     def in_field(piece: Column) -> Column:
         at = F.instr(piece, ":")
-        return _signed(piece.substr(at + 1, F.length(piece)), piece.substr(F.lit(1), at - 1))
+        found = _signed(piece.substr(at + 1, F.length(piece)), piece.substr(F.lit(1), at - 1))
+        if not strict:
+            return found
+        empty = F.raise_error(F.concat(F.lit("no words in the field query "), piece)).cast(CLAUSES)
+        return F.when(F.size(found) > 0, found.cast(CLAUSES)).otherwise(empty)
 
     named = F.filter(_pieces(fq, ",;"), lambda p: F.instr(p, ":") > 1)
     return F.concat(whole, F.flatten(F.transform(named, in_field))).cast(CLAUSES)

@@ -24,9 +24,9 @@ from ..operators.block_maxima import block_tops, token_tops
 from ..operators.postings import corpus_stats, doc_lengths, postings
 from ..operators.report import batch_summary, report
 from ..operators.typed import accepted, typed_read
-from ..session import spread
+from ..session import spread, staged
 from ..spec import IndexSpec
-from .search import Search, Tables, token_bucket
+from .search import SMALL_BYTES, Search, Tables, token_bucket
 
 # One bucket should hold some hundred megabytes of postings; large corpora take thousands.
 DEFAULT_BUCKETS = 16
@@ -157,10 +157,9 @@ class Collection:
         batch = self._admit(batch, source)
         if batch is None:
             return None
-        stored = self.docs(before=batch)
-        typed = typed_read(docs, self.spec).withColumn("op", F.lit(mutate.UPSERT))
-        known = stored.select("docid", F.lit(True).alias("known"))
-        typed = typed.join(known, "docid", "left")
+        typed = staged(typed_read(docs, self.spec).withColumn("op", F.lit(mutate.UPSERT)), "updates")
+        stored = staged(self._touched(typed, batch), "touched")
+        typed = typed.join(stored.select("docid", F.lit(True).alias("known")), "docid", "left")
         absent = F.col("error").isNull() & F.col("known").isNull()
         typed = typed.select(
             "seq",
@@ -174,6 +173,13 @@ class Collection:
         changed = mutate.partial_update(accepted(rows), stored, self.spec)
         return self._write_batch(changed.select("docid", F.lit(mutate.UPSERT).alias("op"), "doc"), rows, batch, source)
 
+    def _touched(self, typed: DataFrame, batch: int) -> DataFrame:
+        """The stored documents a batch names: the one pass over all documents, which stay where they are if the ids are few bytes."""
+        ids = typed.filter("error IS NULL").select("docid").distinct()
+        size = ids.agg(F.coalesce(F.sum(F.octet_length("docid") + 16), F.lit(0))).first()[0]
+        ids = F.broadcast(ids) if size <= SMALL_BYTES else ids
+        return self.docs(before=batch).select("docid", "doc").join(ids, "docid", "left_semi")
+
     def delete(self, ids: DataFrame, batch: int | None = None, source: str | None = None) -> int | None:
         """Drop documents by id (first column of ``ids``); unknown ids are ignored."""
         batch = self._admit(batch, source)

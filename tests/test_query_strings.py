@@ -36,6 +36,15 @@ def test_fq(spark):
     assert asked(spark, None, None) == [] and asked(spark, None, "f:-w") == [("f", "w", "must_not")]
 
 
+def test_strict_in_field_queries(spark):
+    strict = lambda fq: spark.createDataFrame([("x", fq)], "q string, fq string").select(qs.clauses(F.col("q"), F.col("fq"), strict=True).alias("c")).first().c
+    assert [tuple(c) for c in strict("tags:a -b;bare;:no")] == [(None, "x", "should"), ("tags", "a", "should"), ("tags", "b", "must_not")]
+    assert len(strict(None)) == 1
+    for fq in ("age:", "tags:a;age: ", "age:+ -"):
+        with pytest.raises(Exception, match="no words in the field query age"):
+            strict(fq)
+
+
 def test_arguments_in_place():
     assert qs.filters('age:10,12~15,20~;tags:"学生;x,y";bad;:1;none:;a:~,') == [
         Filter("age", ["10"], [("12", "15"), ("20", "")]), Filter("tags", ['"学生;x,y"'], []), Filter("a", [], [("", "")]),
