@@ -641,6 +641,17 @@ def read_csv(spark, sf):
     return _orders_read(typed_read(readers.read(spark, _written(spark, sf, "csv"), "text/csv", multiline=False), ORDERS))
 
 
+def read_csv_headers(spark, sf):
+    """Whole texts with line breaks and quotes; half the files have another column order, and one column more."""
+    path = scratch_path(spark, "headers")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text", "source")
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.filter("doc_id % 2 = 0").select("doc_id", "lang", "text").write.options(**options).csv(f"{path}/even")
+    docs.filter("doc_id % 2 <> 0").select("text", "source", "doc_id", "lang").write.options(**options).csv(f"{path}/odd")
+    rows = readers.read(spark, [f"{path}/even", f"{path}/odd"], "csv")
+    return rows.select(F.col("payload.doc_id").cast("bigint").alias("doc_id"), "payload.lang", "payload.text", "payload.source", "error")
+
+
 def read_csv_bad_rows(spark, sf):
     """Rows with a cell too few or too many become error rows that keep their text."""
     path = scratch_path(spark, "uneven")
@@ -819,7 +830,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         filter_values_and_ranges, filter_string_by_tokenizer, filter_text_token, filter_time_range,
         filter_bool_and_json, sort_multi, sort_negative_ascending, sort_by_text, sort_default,
         sort_string_by_relevance, page_window, deep_page_per_query, coerce_types, ingest_report,
-        ingest_summary, coerce_table, docid_compound, read_csv, read_json_lines, read_json_array,
+        ingest_summary, coerce_table, docid_compound, read_csv, read_csv_headers, read_json_lines, read_json_array,
         upsert_latest, partial_update, update_unmatched, delete_many, lookup_by_key, docid_collisions,
         search_query_strings, search_han, sort_bool_json_missing, read_csv_bad_rows, batch_numbers,
         collection_cycle, stream_upsert, stream_summary, time_format, json_output, output_fields,

@@ -256,6 +256,8 @@ ORACLES: dict[str, str] = {
             CASE WHEN c_acctbal = trunc(c_acctbal) THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) ELSE CAST(c_acctbal AS VARCHAR) END || ' to u16'
           WHEN c_custkey % 4 = 0 THEN 'field c_mktsegment: can not convert ' || c_mktsegment || ' to f32' END AS error FROM customer)""",
     "docid_compound": "SELECT l_orderkey || '_' || l_linenumber AS docid, l_orderkey, l_linenumber FROM lineitem",
+    "read_csv_headers": """SELECT doc_id::BIGINT AS doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text,
+      CASE WHEN doc_id % 2 <> 0 THEN coalesce(source, '') END AS source, NULL::VARCHAR AS error FROM documents""",
     "read_csv": _ORDERS_READ.format(priority="CASE WHEN o_orderkey % 10 <> 0 THEN o_orderpriority ELSE '' END"),
     "read_json_array": _ORDERS_READ.format(priority="CASE WHEN o_orderkey % 10 <> 0 THEN o_orderpriority END"),
     "read_json_lines": _ORDERS_READ.format(priority="CASE WHEN o_orderkey % 10 <> 0 THEN o_orderpriority END")
