@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import Raw, convert, key_text
 from ..spec import IndexSpec
 
-UPSERT, DELETE = "U", "D"
+UPSERT, DELETE, UPDATE = "U", "D", "P"
 NOT_FOUND = "document to update not found"
 
 
@@ -64,6 +64,44 @@ def unmatched_updates(updates: DataFrame, docs: DataFrame) -> DataFrame:
     return updates.join(docs.select("docid"), "docid", "left_anti").withColumn("error", F.lit(NOT_FOUND))
 
 
+def fold_operations(ops: DataFrame, docs: DataFrame, spec: IndexSpec) -> DataFrame:
+    """What a mix of operations makes of the stored documents, applied in the order of ``seq``: ``(docid, op, doc)``.
+
+    ``ops`` is (seq, docid, op, doc) with upserts, deletes and partial updates.  An upsert or a delete settles every
+    field, an update those it gives, so a field's value is that of the last row that settles it, and the last
+    row that is no update tells whether there is a document.  One aggregate with map-side combine does both.
+    The result has a row per named document that was written or deleted; an id with none but updates that met no document has none.
+    """
+    settles = F.col("op") != UPDATE
+    by = [F.max_by("op", F.when(settles, F.col("seq"))).alias("last")]
+    for i, f in enumerate(spec.fields):
+        given = settles | F.col("doc")[f.name].isNotNull()
+        by += [F.max_by(F.col("doc")[f.name], F.when(given, F.col("seq"))).alias(f"v{i}"), F.max(given).alias(f"set{i}")]
+    folded = ops.groupBy("docid").agg(*by)
+    stored = docs.select("docid", F.col("doc").alias("old"), F.lit(True).alias("known"))
+    fields = [F.when(F.col(f"set{i}"), F.col(f"v{i}")).otherwise(F.col("old")[f.name]).alias(f.name) for i, f in enumerate(spec.fields)]
+    op = F.coalesce("last", F.when(F.col("known"), F.lit(UPSERT)))
+    return (
+        folded.join(stored, "docid", "left")
+        .select("docid", op.alias("op"), F.struct(*fields).alias("new"))
+        .filter(F.col("op").isNotNull())
+        .select("docid", "op", F.when(F.col("op") == UPSERT, F.col("new")).alias("doc"))
+    )
+
+
+def unmatched_operations(ops: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(seq, docid)`` of the updates in a mix that meet no document: none is stored, or it was deleted before and not written again.
+
+    The operations of one id are sorted in one task, without their documents.
+    """
+    earlier = Window.partitionBy("docid").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("op") != UPDATE, F.col("op")), ignorenulls=True).over(earlier)
+    placed = ops.select("seq", "docid", "op").withColumn("last", last).filter(F.col("op") == UPDATE)
+    stored = docs.select("docid", F.lit(UPSERT).alias("known"))
+    met = F.coalesce("last", "known", F.lit(DELETE))
+    return placed.join(stored, "docid", "left").filter(met == DELETE).select("seq", "docid")
+
+
 def docid_of(keys: DataFrame, spec: IndexSpec) -> Column:
     """The document id built from key columns of ``keys``."""
     types = {s.name: s.dataType for s in keys.schema.fields}

@@ -173,6 +173,32 @@ class Collection:
         changed = mutate.partial_update(accepted(rows), stored, self.spec)
         return self._write_batch(changed.select("docid", F.lit(mutate.UPSERT).alias("op"), "doc"), rows, batch, source)
 
+    def apply(self, ops: DataFrame, batch: int | None = None, source: str | None = None) -> int | None:
+        """Upserts, partial updates and deletes mixed in one batch, as if applied row by row in the order of ``seq``.
+
+        ``ops`` are rows of a reader with a column ``op`` (``mutate.UPSERT``, ``UPDATE`` or ``DELETE``); a delete needs the key fields
+        only.  Updates that meet no document at their place become error rows, other values of ``op`` too.  ``seq`` is
+        unique.  Stored documents are passed over once.
+        """
+        batch = self._admit(batch, source)
+        if batch is None:
+            return None
+        known_op = F.coalesce(F.col("op").isin(mutate.UPSERT, mutate.UPDATE, mutate.DELETE), F.lit(False))
+        error = F.when(~known_op, F.concat(F.lit("unknown operation: "), F.coalesce("op", F.lit("null"))))
+        typed = staged(typed_read(ops.withColumn("error", F.coalesce("error", error)), self.spec), "operations")
+        stored = staged(self._touched(typed, batch), "touched")
+        lost = mutate.unmatched_operations(accepted(typed), stored).select("seq", F.lit(True).alias("lost"))
+        typed = typed.join(lost, "seq", "left").select(
+            "seq",
+            "docid",
+            F.when(F.col("op") != mutate.DELETE, F.col("doc")).alias("doc"),
+            F.when(F.col("lost"), F.lit(mutate.NOT_FOUND)).otherwise(F.col("error")).alias("error"),
+            F.when(F.col("lost"), F.lit("convert")).otherwise(F.col("stage")).alias("stage"),
+            "op",
+        )
+        rows = self._write_rows(typed, batch)
+        return self._write_batch(mutate.fold_operations(accepted(rows), stored, self.spec), rows, batch, source)
+
     def _touched(self, typed: DataFrame, batch: int) -> DataFrame:
         """The stored documents a batch names: the one pass over all documents, which stay where they are if the ids are few bytes."""
         ids = typed.filter("error IS NULL").select("docid").distinct()

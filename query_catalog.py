@@ -717,6 +717,26 @@ def delete_many(spark, sf):
     return mutate.live(docs.unionByName(gone), order="batch").select("docid", "doc.lang")
 
 
+def mixed_operations(spark, sf):
+    """The events as one mixed batch on the even documents: purchases write, views and clicks update, others delete."""
+    spec = IndexSpec.of("mixed", [Field("doc_id", "i64", pk=True), Field("lang"), Field("n_chars", "i64"), Field("kind")])
+    index = Collection(spark, scratch_path(spark, "mixed"), spec, buckets=16)
+    docs = table(spark, sf, "documents")
+    index.append(readers.from_table(docs.filter("doc_id % 2 = 0").select("doc_id", "lang", "n_chars")))
+    n = docs.count()
+    key, kind = F.pmod(F.col("user_id"), F.lit(n)), F.pmod(F.col("event_id") * 7 + F.floor(F.col("event_id") / 5), F.lit(10))
+    events = table(spark, sf, "events").select(
+        "event_id", key.alias("doc_id"), F.when(kind % 2 == 1, F.col("event_id")).alias("n_chars"),
+        F.when(kind % 3 != 1, F.col("event_type")).alias("kind"),
+        F.when(kind < 2, mutate.DELETE).when(kind < 4, mutate.UPSERT).otherwise(mutate.UPDATE).alias("op"),
+    )
+    ops = readers.from_table(events.drop("op"), seq="event_id").withColumn("op", F.lit(None).cast("string"))
+    op = events.select(F.col("event_id").alias("pos"), F.col("op").alias("does"))
+    ops = ops.join(op, F.col("seq.pos") == op["pos"]).select("seq", "payload", "error", F.col("does").alias("op"))
+    index.apply(ops)
+    return index.docs().select("docid", "doc.lang", "doc.n_chars", "doc.kind")
+
+
 def lookup_by_key(spark, sf):
     docs = documents_of(spark, sf, "conversations", TURNS)
     keys = table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id"), F.lit("1").alias("turn"))
@@ -826,7 +846,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tokenize_space, tokenize_han, postings_global, postings_by_field, postings_json_field, corpus_stats,
         token_document_frequency, search_should, search_must, search_mixed, search_not_only,
         search_not_only_batch, search_match_all, search_field, bm25_topk_batch, search_filtered_topk,
-        pagination_summary, proximity_spread, search_proximity, filter_numeric_or_range,
+        mixed_operations, pagination_summary, proximity_spread, search_proximity, filter_numeric_or_range,
         filter_values_and_ranges, filter_string_by_tokenizer, filter_text_token, filter_time_range,
         filter_bool_and_json, sort_multi, sort_negative_ascending, sort_by_text, sort_default,
         sort_string_by_relevance, page_window, deep_page_per_query, coerce_types, ingest_report,

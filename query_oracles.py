@@ -268,6 +268,14 @@ ORACLES: dict[str, str] = {
     "update_unmatched": "SELECT CAST(l_partkey * 3 AS VARCHAR) AS docid, 'document to update not found' AS error FROM lineitem "
     "WHERE l_partkey * 3 NOT IN (SELECT p_partkey FROM part)",
     "delete_many": "SELECT CAST(doc_id AS VARCHAR) AS docid, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "mixed_operations": """WITH e AS (SELECT event_id AS seq, user_id % (SELECT count(*) FROM documents) AS doc_id, event_type,
+      (event_id * 7 + event_id // 5) % 10 AS k FROM events),
+    ops AS (SELECT -1::BIGINT AS seq, doc_id, 'U' AS op, lang, n_chars, NULL AS kind FROM documents WHERE doc_id % 2 = 0
+      UNION ALL SELECT seq, doc_id, CASE WHEN k < 2 THEN 'D' WHEN k < 4 THEN 'U' ELSE 'P' END, NULL, CASE WHEN k % 2 = 1 THEN seq END,
+      CASE WHEN k % 3 <> 1 THEN event_type END FROM e),
+    reset AS (SELECT doc_id, max(seq) AS at, arg_max(op, seq) AS op FROM ops WHERE op <> 'P' GROUP BY doc_id)
+    SELECT CAST(doc_id AS VARCHAR) AS docid, any_value(o.lang) AS lang, arg_max(o.n_chars, seq) AS n_chars, arg_max(o.kind, seq) AS kind
+    FROM ops o JOIN reset r USING (doc_id) WHERE r.op = 'U' AND seq >= r.at GROUP BY doc_id""",
     "lookup_by_key": "SELECT conv_id || '_' || turn AS docid, role FROM conversations JOIN labels ON doc_id = conv_id WHERE turn = 1",
     "docid_collisions": "SELECT p_partkey || '_' || p_size || '_' || p_type AS docid FROM part WHERE p_size < 10",
     "collection_cycle": f"""WITH {_corpus("(SELECT documents.* FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))", "doc_id", [("text", "space")])},

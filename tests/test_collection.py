@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,3 +213,33 @@ def test_repeated_micro_batch_is_harmless(spark, tmp_path):
         ingest(table_stream(spark, files, df.schema), c, str(tmp_path / attempt), seq="ver", available_now=True, name="s").awaitTermination()
     assert [(r.docid, r.text) for r in c.docs().select("docid", "doc.text").collect()] == [("1", "b")]
     assert c.summaries().count() == 1
+
+
+def test_mixed_operations_row_by_row(spark, tmp_path):
+    """One batch of upserts, updates and deletes in any order equals applying its rows one after the other."""
+    rng = random.Random(5)
+    stored = [{"id": i, "text": f"old {i}", "age": i} for i in range(0, 30, 2)]
+    ops = [{"id": rng.randrange(12), "op": rng.choice("UPD")} for _ in range(60)] + [{"id": 40, "op": "P", "age": 1}, {"id": 41, "op": "D"}, {"id": 42, "op": "X"}, {"op": "U"}]
+    for o in ops[:60]:
+        o |= {k: v for k, v in (("text", f"t{rng.randrange(99)}"), ("age", rng.randrange(99)), ("extra", {"n": rng.randrange(9)})) if rng.random() < 0.5}
+    want, lost = {str(d["id"]): (d["text"], d["age"], None) for d in stored}, []
+    for seq, o in enumerate(ops):
+        key, given = str(o.get("id")), [o.get("text"), o.get("age"), json.dumps(o["extra"]).replace(" ", "") if "extra" in o else None]
+        if o["op"] == "D":
+            want.pop(key, None)
+        elif o["op"] == "P" and key not in want:
+            lost.append(seq)
+        elif o["op"] == "P":
+            want[key] = tuple(new if new is not None else old for new, old in zip(given, want[key]))
+        elif o["op"] == "U" and "id" in o:
+            want[key] = tuple(given)
+    c = Collection(spark, str(tmp_path / "mixed"), SPEC, buckets=4)
+    c.append(rows(spark, stored))
+    plain = rows(spark, [{k: v for k, v in o.items() if k != "op"} for o in ops])
+    named = spark.createDataFrame([(i, o["op"]) for i, o in enumerate(ops)], "n long, op string")
+    c.apply(plain.join(named, F.col("seq.pos") == F.col("n")).drop("n"))
+    assert state(c) == want and lost
+    log = spark.read.parquet(str(tmp_path / "mixed" / "log" / "rows" / "batch=1"))
+    told = {r.seq.pos: r.error for r in log.filter("error IS NOT NULL").collect()}
+    assert told == {**dict.fromkeys(lost, mutate.NOT_FOUND), 62: "unknown operation: X", 63: KEY_MISSING}
+    assert found(spark, c, "old") and set(found(spark, c, "old")) == {k for k, v in want.items() if v[0] and v[0].startswith("old")}
