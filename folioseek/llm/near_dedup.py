@@ -13,7 +13,8 @@
    for many followers what a third of some of them share: then only their differences are left
    outside, and a group of many near copies is not compared pair by pair.  Nothing alike is passed over.
    Pairs inside a component need no test: the answer is the component.
-4. Every link is confirmed on the full sets of shingles, as words, never on hashes.
+4. Every link between classes is confirmed on the full sets of shingles, as words, never on hashes.  Rows
+   become one class where size and two 63-bit digests of the set agree.
 
 Banding finds a pair of similarity s with probability 1 - (1 - s^rows)^bands: at 0.8 with the
 defaults it misses 5 in a million, above that far fewer.  There is no cap on bands, candidates or partners.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioseek.llm.common import FILE, ROW, numbered, small_batches
@@ -34,7 +35,7 @@ from folioseek.llm.shingles import Circulant, Shingler, shingle_set
 from folioseek.session import staged
 
 BANDS, ROWS, PERCENT = 52, 7, 80
-#: From so many followers on, the base is what a third of some of them share.
+#: From so many followers on, the base is what a third of about SOME of them share.
 MANY, SOME = 16, 25
 
 
@@ -184,10 +185,9 @@ def near_duplicates(
     members = staged(rooted.join(several, "low").join(classes.select("node", "n"), "node").select("low", "node", "root", "n"), "members")
     lows = staged(members.groupBy("node").agg(F.collect_set("low").alias("lows")), "lows")  # at most one per band
 
-    # What many followers share, from a bounded number of them.
+    # What many followers share, from about SOME of them: which ones decides no link.
     many = staged(members.groupBy("low").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= MANY), "many")
-    drawn = Window.partitionBy("low").orderBy(F.xxhash64("node"))
-    some = members.join(many, "low").withColumn("draw", F.row_number().over(drawn)).filter(F.col("draw") <= SOME).select("low", "node")
+    some = members.join(many, "low").filter(F.pmod(F.xxhash64("low", "node"), F.ceil(F.col("k") / SOME)) == 0).select("low", "node")
     some = staged(some.join(spelled, "node").select("low", "text").mapInArrow(_hashed(size), "low long, hashes array<long>"), "some")
     often = some.select("low", F.explode("hashes").alias("h")).groupBy("low", "h").agg(F.count(F.lit(1)).alias("c"))
     often = often.join(some.groupBy("low").agg(F.count(F.lit(1)).alias("of")), "low").filter("3 * c >= of")
@@ -203,20 +203,30 @@ def near_duplicates(
     members = placed.drop("rest")
     outside = placed.select("low", "node", "root", "n", "lows", F.explode("rest").alias("h"))
 
-    def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return tuple(rows.select([F.col(c).alias(side + c) for c in rows.columns]) for side in ("l_", "r_"))
+    def sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return tuple(rows.select([F.col(c).alias(side + c) for c in rows.columns]) for side, rows in (("l_", left), ("r_", right)))
 
     # Each pair is looked at under the least first class that both follow.
     apart = (
-        (F.col("l_low") == F.col("r_low")) & (F.col("l_node") < F.col("r_node")) & (F.col("l_root") != F.col("r_root"))
+        (F.col("l_low") == F.col("r_low")) & (F.col("l_root") != F.col("r_root"))
         & (100 * F.least("l_n", "r_n") >= percent * F.greatest("l_n", "r_n"))
     )
     once = F.array_min(F.array_intersect("l_lows", "r_lows")) == F.col("l_low")
-    left, right = sides(members)
-    near_first = left.join(right, apart & ((100 + percent) * F.least("l_common", "r_common") >= percent * (F.col("l_n") + F.col("r_n"))) & once)
-    left, right = sides(outside)
-    across = left.join(right, (F.col("l_h") == F.col("r_h")) & apart & once)
-    rest = [p.select(F.col("l_node").alias("u"), F.col("r_node").alias("v")).distinct() for p in (near_first, across)]
+    # Two that pass the test of pairs each pass this one alone.  Of two components one is not the largest
+    # behind the first class, so the others meet all and the largest never meets itself.
+    close = members.filter(100 * F.col("common") >= percent * F.col("n"))
+    most = close.groupBy("low", "root").agg(F.count(F.lit(1)).alias("of"))
+    most = most.groupBy("low").agg(F.max(F.struct("of", "root"))["root"].alias("largest"))
+    close = staged(close.join(most, "low").withColumn("stray", F.col("root") != F.col("largest")).drop("largest"), "close")
+    left, right = sides(close.filter("stray").drop("stray"), close)
+    near_first = left.join(
+        right,
+        apart & (~F.col("r_stray") | (F.col("l_node") < F.col("r_node")))
+        & ((100 + percent) * F.least("l_common", "r_common") >= percent * (F.col("l_n") + F.col("r_n"))) & once,
+    )
+    left, right = sides(outside, outside)
+    across = left.join(right, (F.col("l_h") == F.col("r_h")) & apart & (F.col("l_node") < F.col("r_node")) & once)
+    rest = [p.select(F.least("l_node", "r_node").alias("u"), F.greatest("l_node", "r_node").alias("v")).distinct() for p in (near_first, across)]
     rest = staged(rest[0].unionByName(rest[1]).distinct().join(pairs, ["u", "v"], "left_anti"), "rest")
     with small_batches(spark):
         more = staged(compared(rest), "more-links")

@@ -82,6 +82,34 @@ def test_repeated_rows_keep_one(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_many_near_copies_with_a_stray_component(spark):
+    """Behind one first class: thousands in one component, and texts whose words they only partly share."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(3000):
+        words = list(base)
+        words[rng.randrange(60)] = f"own{k}"
+        rows.append((k, " ".join(words)))
+    for k in range(3000, 3040):  # five words apart: mostly no link to any
+        words = list(base)
+        for at in rng.sample(range(60), 5):
+            words[at] = f"far{k}_{at}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, size=2).collect()}
+    sets = {d: shingle_set(t.encode(), 2) for d, t in rows}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert all(got[k] == 0 for k in range(3000))
+    strays = range(3000, 3040)
+    for k in strays:
+        if any(near(k, j) for j in range(3000)):
+            assert got[k] == 0
+    for a, b in combinations(strays, 2):
+        assert not near(a, b) or got[a] == got[b]
+    assert len({got[k] for k in strays}) > 1
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60) if i % 17] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 150), (150, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
