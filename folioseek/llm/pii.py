@@ -62,7 +62,7 @@ def fit_spans(
         if len(y) < 40 or not 0 < y.sum() < len(y):
             return pd.DataFrame({"model": [b""]})
         x = np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(len(y), -1).astype(float)
-        model, out = SpanModel(x, y, precision, seed), io.BytesIO()
+        model, out = SpanModel(x, y, pdf["key"].to_numpy(), precision, seed), io.BytesIO()
         pickle.dump((model.trees.edges, model.trees.start, model.trees.split, model.trees.leaf, model.threshold), out)
         return pd.DataFrame({"model": [out.getvalue()]})
 

@@ -291,10 +291,16 @@ class Boosted:
 
 
 class SpanModel:
-    """Boosted trees and, per kind, the lowest probability that keeps the wanted precision on rows not learned from."""
+    """Boosted trees and, per kind, the lowest probability that keeps the wanted precision on texts not learned from.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, precision: float, seed: int):
-        check = np.random.default_rng(seed).random(len(y)) < 0.25
+    ``texts`` names the text of each row: rewritten forms of one match are alike, so a text's rows stay together.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, texts: np.ndarray, precision: float, seed: int):
+        names, text = np.unique(texts, return_inverse=True)
+        check = (np.random.default_rng(seed).random(len(names)) < 0.25)[text]
+        if check.all() or len(np.unique(y[~check])) < 2:  # too few texts to keep some back: nothing is proved, nothing added
+            check[:] = False
         self.trees = Boosted().fit(x[~check], y[~check])
         p = self.trees.probability(x[check])
         self.threshold = [2.0] * len(KINDS)

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -6,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioseek.llm import language, quality
-from folioseek.llm.language import codewords, fit_languages, ngram_frequencies, predict_languages
-from folioseek.llm.quality import WordFeatures, fit_quality, score_quality
+from folioseek.llm.language import LanguageModel, codewords, decode, fit_languages, ngram_frequencies, predict_languages
+from folioseek.llm.quality import BITS, WordFeatures, fit_quality, ftrl, score_quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -79,3 +80,64 @@ def test_quality_edge_rows(spark):
     got = score_quality(docs, fit_quality(docs, labels.limit(0))).collect()
     assert {r.score for r in got} == {0.5} and {r.predicted for r in got} == {0}
     assert score_quality(docs.limit(0), np.zeros((1 << 18) + 1, np.float32)).count() == 0
+
+
+def test_ftrl_steps_one_coordinate_at_a_time():
+    rng = np.random.default_rng(9)
+    rows = [(np.sort(rng.choice(1 << BITS, 6, replace=False)) % 50, rng.random(6), int(rng.integers(2))) for _ in range(40)]
+    rows = [(*(lambda i, at: (i, x[at]))(*np.unique(i, return_index=True)), y) for i, x, y in rows]
+    alpha, beta, l1, l2 = 0.7, 1.1, 0.02, 0.3
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    order = np.random.default_rng(2)
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            index, value, y = rows[k]
+            x = {**{int(i): float(v) for i, v in zip(index, value)}, 1 << BITS: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got = ftrl(rows, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    want = np.zeros((1 << BITS) + 1)
+    for i in z:
+        want[i] = weight(i)
+    assert np.allclose(got, want, atol=1e-6) and (want != 0).sum() > 20
+
+
+def test_scores_are_plain_sums(spark):
+    rng = np.random.default_rng(1)
+    w = rng.normal(size=(1 << BITS) + 1).astype(np.float32)
+    texts = ["one two, two THREE 4", "", None, "x " * 3000, "a b\tc\nd é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_quality(docs, w).collect()}
+    for i, t in enumerate(texts):
+        index, value = WordFeatures().of(t or "")
+        total = float(w[-1]) + sum(float(w[k]) * float(v) for k, v in zip(index, value))
+        assert math.isclose(got[i], 1 / (1 + math.exp(-total)), rel_tol=1e-5)
+
+
+def test_decoding_bit_by_bit():
+    rng = np.random.default_rng(6)
+    code = codewords(7)
+    x, w = rng.normal(size=(30, 11)), rng.normal(size=(12, code.shape[1]))
+    trust = rng.random(code.shape)
+    trust /= trust.sum(axis=1, keepdims=True)
+    cost, sure = decode(x, w, code, trust)
+    model = LanguageModel([f"l{i}" for i in range(7)], code, w, trust)
+    best, score, lead, near, _ = model.predict(x)
+    for r in range(30):
+        f = [sum(x[r, j] * w[j, b] for j in range(11)) + w[11, b] for b in range(code.shape[1])]
+        want = [sum(trust[i, b] * math.log1p(math.exp(-code[i, b] * f[b])) for b in range(len(f))) for i in range(7)]
+        assert np.allclose(cost[r], want) and math.isclose(sure[r], sum(map(abs, f)) / len(f))
+        first, second = sorted(want)[:2]
+        assert best[r] == want.index(first) and math.isclose(near[r], first) and math.isclose(lead[r], second - first, abs_tol=1e-9)
+        assert math.isclose(score[r], 1 / sum(math.exp(-(c - first) * len(f)) for c in want))

@@ -2,10 +2,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioseek.llm.pii import find_personal_data, fit_spans
-from folioseek.llm.pii_spans import KINDS, Taken, base_spans, candidates, luhn
+from folioseek.llm.pii_spans import KINDS, SpanModel, Taken, base_spans, candidates, luhn
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -47,9 +49,12 @@ def test_taken():
                 kept.append((s, e))
 
 
-def test_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    model = fit_spans(docs)
+@pytest.fixture(scope="module")
+def model(spark):
+    return fit_spans(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+
+
+def test_documents(spark, model):
     rows = [
         (1, None), (2, ""), (3, "mail a.b@c.de or +49 (30) 123-4567 ü 10.0.0.1 and 4539 5787 6362 1486"),
         (4, "call me on (499) 555-6503 today"), (5, "release 2019-10-14, order 5927243074273351, version 3."), (None, "x" * 300_000 + " q@w.e"), (3, "mail a.b@c.de"),
@@ -94,8 +99,7 @@ def test_candidates_inside_runs_of_numbers():
         assert {c for c in candidates(t) if c[0] > 1} == want
 
 
-def test_neighbouring_numbers(spark):
-    model = fit_spans(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+def test_neighbouring_numbers(model):
     found = lambda t: sorted(t[s:e] for _, s, e in model.extra(t, base_spans(t)))
     one, two, card = "(212) 555-0199", "(213) 555-0188", "4539.5787.6362.1486"
     assert found(f"call {one}, {two} today") == [one, two]
@@ -103,3 +107,33 @@ def test_neighbouring_numbers(spark):
     assert found(f"New York, NY 10001 {one} today") == [one]
     assert found("on 2024-01-02, 212-555-0199 today") == ["212-555-0199"]
     assert found(f"pay {card} {card} today") == [card, card]
+
+
+def test_planted_spans_are_added(model):
+    """Formats beyond the base ones, between words no text of the table has, and numbers that are nothing personal."""
+    rng = random.Random(12)
+    digits = lambda k: "".join(rng.choice("23456789") for _ in range(k))
+    word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3))
+    wide = {
+        "phone": lambda: rng.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"]),
+        "email": lambda: rng.choice([f"{word()} [at] {word()} [dot] com", f"{word()}.{word()} (at) {word()}.org"]),
+    }
+    for kind, make in wide.items():
+        met = 0
+        for _ in range(100):
+            span = make()
+            t = f"{word()} {word()} call or write {span} {word()} {word()}."
+            start = t.index(span)
+            met += (KINDS.index(kind), start, start + len(span)) in model.extra(t, base_spans(t))
+        assert met >= 80, (kind, met)
+    plainly = [f"{word()} {word()} {rng.randint(1, 999)} {word()}, {rng.randint(1900, 2030)} {word()} {rng.random():.3f} {word()}" for _ in range(300)]
+    assert sum(bool(model.extra(t, base_spans(t))) for t in plainly) <= 3
+
+
+def test_a_text_is_learned_or_checked_never_both():
+    """Labels are noise that only a text's own rows share: checked on other texts they hold nowhere, so nothing may be added."""
+    rng = np.random.default_rng(4)
+    texts = np.repeat(np.arange(300), 8)
+    x = np.column_stack([np.zeros(len(texts)), rng.random(300)[texts]])
+    y = rng.integers(0, 2, 300)[texts].astype(float)
+    assert SpanModel(x, y, texts, 0.999, 8).threshold == [2.0] * 4
