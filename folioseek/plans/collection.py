@@ -3,6 +3,8 @@
     <path>/log/rows/batch=N       every input row of a batch, rejected ones with the reason
     <path>/log/docs/batch=N       the batch's last version of each document
     <path>/log/postings/batch=N   its postings, by token bucket
+    <path>/log/counts/batch=N     by how much it changes the document frequency of tokens, by token bucket
+    <path>/log/corpus/batch=N     by how much it changes the number of documents and of their tokens
     <path>/log/summary/batch=N    one row, written last: a batch counts once it is there
     <path>/snap/gen=G/...         docs, postings, stats, block maxima, corpus folded up to a batch, and the sources of all batches
 
@@ -33,7 +35,9 @@ DEFAULT_BUCKETS = 16
 POSTINGS = "scope string, token string, docid string, tf int, positions array<int>, dl int"
 STATS = "scope string, token string, df bigint, top double, bucket int"
 BLOCKS = "scope string, token string, block bigint, top double, bucket int"
+COUNTS = "scope string, token string, df bigint, batch bigint, bucket int"
 CORPUS = "n_docs bigint, avg_dl double"
+CHANGE = "n_docs bigint, tokens bigint, batch bigint"
 SUMMARY = "index string, docs bigint, unreadable bigint, failed bigint, code int, msg string, source string, batch bigint"
 SOURCES = "source string, batch bigint"
 
@@ -70,7 +74,9 @@ class Collection:
             "log postings": f"{POSTINGS}, batch bigint, bucket int",
             "stats": STATS,
             "blocks": BLOCKS,
+            "counts": COUNTS,
             "corpus": CORPUS,
+            "log corpus": CHANGE,
             "summary": SUMMARY,
             "sources": SOURCES,
         }
@@ -97,7 +103,7 @@ class Collection:
         paths = [self._at("log", table, f"batch={b}") for b in batches]
         reader = self.spark.read.option("basePath", self._at("log", table))
         if table != "rows":
-            reader = reader.schema(self._schema("log postings" if table == "postings" else table))
+            reader = reader.schema(self._schema(f"log {table}" if table in ("postings", "corpus") else table))
         return reader.parquet(*paths)
 
     def _snapshot(self) -> tuple[int, int] | None:
@@ -171,7 +177,7 @@ class Collection:
         )
         rows = self._write_rows(typed, batch)
         changed = mutate.partial_update(accepted(rows), stored, self.spec)
-        return self._write_batch(changed.select("docid", F.lit(mutate.UPSERT).alias("op"), "doc"), rows, batch, source)
+        return self._write_batch(changed.select("docid", F.lit(mutate.UPSERT).alias("op"), "doc"), rows, batch, source, stored)
 
     def apply(self, ops: DataFrame, batch: int | None = None, source: str | None = None) -> int | None:
         """Upserts, partial updates and deletes mixed in one batch, as if applied row by row in the order of ``seq``.
@@ -197,14 +203,17 @@ class Collection:
             "op",
         )
         rows = self._write_rows(typed, batch)
-        return self._write_batch(mutate.fold_operations(accepted(rows), stored, self.spec), rows, batch, source)
+        return self._write_batch(mutate.fold_operations(accepted(rows), stored, self.spec), rows, batch, source, stored)
 
     def _touched(self, typed: DataFrame, batch: int) -> DataFrame:
         """The stored documents a batch names: the one pass over all documents, which stay where they are if the ids are few bytes."""
-        ids = typed.filter("error IS NULL").select("docid").distinct()
+        return self._stored(typed.filter("error IS NULL").select("docid").distinct(), batch)
+
+    def _stored(self, ids: DataFrame, batch: int) -> DataFrame:
+        """The documents of distinct ids as they are before a batch."""
         size = ids.agg(F.coalesce(F.sum(F.octet_length("docid") + 16), F.lit(0))).first()[0]
         ids = F.broadcast(ids) if size <= SMALL_BYTES else ids
-        return self.docs(before=batch).select("docid", "doc").join(ids, "docid", "left_semi")
+        return self.docs(before=batch).select("docid", "doc", "dl").join(ids, "docid", "left_semi")
 
     def delete(self, ids: DataFrame, batch: int | None = None, source: str | None = None) -> int | None:
         """Drop documents by id (first column of ``ids``); unknown ids are ignored."""
@@ -224,18 +233,50 @@ class Collection:
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def _write_batch(self, versions: DataFrame, rows: DataFrame, batch: int, source: str | None) -> int:
+    def _write_batch(self, versions: DataFrame, rows: DataFrame, batch: int, source: str | None, stored: DataFrame | None = None) -> int:
         path = self._at("log", "docs", f"batch={batch}")
         self._with_length(versions).write.mode("overwrite").parquet(path)
-        docs = self.spark.read.schema(self._schema("docs")).parquet(path).filter(F.col("op") == mutate.UPSERT)
+        written = self.spark.read.schema(self._schema("docs")).parquet(path)
+        docs = written.filter(F.col("op") == mutate.UPSERT)
         self._write_by_bucket(
             postings(docs.select("docid", "doc"), self.spec), self._at("log", "postings", f"batch={batch}")
         )
+        ids = written.select("docid")  # one row each
+        gone = self._stored(ids, batch) if stored is None else stored.join(ids, "docid", "left_semi")
+        self._write_changes(docs, staged(gone.select("docid", "doc", "dl"), "replaced"), batch)
         batch_summary(rows, self.spec.name).withColumn("source", F.lit(source).cast("string")).write.mode("overwrite").parquet(
             self._at("log", "summary", f"batch={batch}")
         )
         return batch
 
+    def _write_changes(self, docs: DataFrame, gone: DataFrame, batch: int) -> None:
+        """What a batch adds to the figures of a search: its versions count for it, those they replace against it."""
+        new = self._log("postings", [batch]).select("scope", "token", F.lit(1).alias("df"))
+        old = postings(gone.select("docid", "doc"), self.spec).select("scope", "token", F.lit(-1).alias("df"))
+        change = new.unionByName(old).groupBy("scope", "token").agg(F.sum("df").alias("df")).filter("df <> 0")
+        self._write_by_bucket(change, self._at("log", "counts", f"batch={batch}"))
+        sizes = docs.select(F.lit(1).alias("n"), "dl").unionByName(gone.select(F.lit(-1).alias("n"), (-F.col("dl")).alias("dl")))
+        sizes = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
+        sizes.write.mode("overwrite").parquet(self._at("log", "corpus", f"batch={batch}"))
+
+    def _figures(self, snap: tuple[int, int] | None, batches: list[int]) -> tuple[DataFrame, DataFrame] | None:
+        """Document frequencies and corpus figures as the snapshot's plus each later batch's change; no document is read.
+
+        The snapshot's token count is its mean length times its documents, exact below 2^52 tokens.  None
+        if a batch was written without its changes.
+        """
+        if not all(self._exists(self._at("log", "corpus", f"batch={b}")) for b in batches):
+            return None
+        stats = self._log("counts", batches).select("scope", "token", "df", "bucket")
+        corpus = self._log("corpus", batches).select("n_docs", "tokens")
+        if snap:
+            stats = stats.unionByName(self._snap_table(snap[0], "stats").select("scope", "token", "df", "bucket"))
+            total = F.round(F.col("n_docs") * F.col("avg_dl")).cast("bigint").alias("tokens")
+            corpus = corpus.unionByName(self._snap_table(snap[0], "corpus").select("n_docs", total))
+        stats = stats.groupBy("scope", "token", "bucket").agg(F.sum("df").alias("df")).filter("df > 0")
+        corpus = corpus.agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens"))
+        return stats, corpus.select("n_docs", (F.col("tokens") / F.greatest("n_docs", F.lit(1))).alias("avg_dl"))
+
     def _with_length(self, docs: DataFrame) -> DataFrame:
         lengths = doc_lengths(docs.select("*", F.col("doc").alias("kept")), self.spec)
         return lengths.withColumnRenamed("kept", "doc")
@@ -313,7 +354,8 @@ class Collection:
         if snap:
             base = self._snap_table(snap[0], "postings").join(delta, "docid", "left_anti").select(columns)
             fresh = base.unionByName(fresh)
-        return Tables(docs, fresh, None, corpus_stats(docs), self.buckets)
+        stats, corpus = self._figures(snap, batches) or (None, corpus_stats(docs))
+        return Tables(docs, fresh, stats, corpus, self.buckets)
 
     def search(self, queries: DataFrame, **options) -> Search:
         return Search(self.tables(), self.spec, queries, **options)

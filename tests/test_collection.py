@@ -243,3 +243,34 @@ def test_mixed_operations_row_by_row(spark, tmp_path):
     told = {r.seq.pos: r.error for r in log.filter("error IS NOT NULL").collect()}
     assert told == {**dict.fromkeys(lost, mutate.NOT_FOUND), 62: "unknown operation: X", 63: KEY_MISSING}
     assert found(spark, c, "old") and set(found(spark, c, "old")) == {k for k, v in want.items() if v[0] and v[0].startswith("old")}
+
+
+def test_figures_after_batches_equal_a_recount(spark, tmp_path):
+    """Replaced, deleted, written again, partly updated and mixed: the summed changes are what counting all documents gives."""
+    from folioseek.operators.postings import corpus_stats, token_stats
+
+    def check(c, some=True):
+        t = c.tables()
+        stats = {(r.scope, r.token): r.df for r in t.stats.collect()}
+        assert stats == {(r.scope, r.token): r.df for r in token_stats(t.postings).collect()} and bool(stats) == some
+        assert t.corpus.first() == corpus_stats(t.docs).first()
+        read = t.stats._jdf.queryExecution().toString() + t.corpus._jdf.queryExecution().toString()
+        assert "docid" not in read and "positions" not in read
+
+    c = Collection(spark, str(tmp_path / "figures"), SPEC, buckets=2)
+    c.append(rows(spark, [{"id": 1, "text": "a b a"}, {"id": 2, "text": "b c"}, {"id": 3, "text": ""}]))
+    check(c)
+    c.append(rows(spark, [{"id": 1, "text": "b d"}, {"id": 4, "text": "a"}, {"id": 4, "text": "e e f"}]))
+    c.delete(spark.createDataFrame([(2,), (99,)], "id long"))
+    c.update(rows(spark, [{"id": 3, "text": "g a"}, {"id": 1, "age": 7}, {"id": 50, "text": "none"}]))
+    check(c)
+    c.compact()
+    c.append(rows(spark, [{"id": 2, "text": "c c b"}, {"id": 1, "text": "b d"}]))
+    ops = [({"id": 2}, mutate.DELETE), ({"id": 2, "text": "h"}, mutate.UPSERT), ({"id": 3, "age": 1}, mutate.UPDATE), ({"id": 4}, mutate.DELETE)]
+    names = spark.createDataFrame([(i, op) for i, (_, op) in enumerate(ops)], "i bigint, op string")
+    mixed = rows(spark, [d for d, _ in ops])
+    c.apply(mixed.join(names, F.col("seq.pos") == F.col("i")).drop("i"))
+    check(c)
+    assert {"h", "g"} <= {r.token for r in c.tables().stats.collect()}
+    c.delete(spark.createDataFrame([(i,) for i in range(1, 5)], "id long"))
+    check(c, False)
