@@ -25,7 +25,7 @@ from .paging import top_per_group
 from .retrieve import token_hits
 from .sorting import RELEVANCE, Sort
 
-#: Documents of a block on average, and in how many documents a token must be to have shares by block.
+#: Documents of a block on average, and in how many documents a token must at least be to have shares by block.
 BLOCK_DOCS = 64
 FREQUENT = 64
 #: Where the cheap tokens, dearest last, are cut into layers.
@@ -49,13 +49,19 @@ def token_tops(posted: DataFrame, avg_dl: Column) -> DataFrame:
     return posted.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df"), F.max(_share(avg_dl)).alias("top"))
 
 
-def block_tops(posted: DataFrame, n_docs: int, avg_dl: Column) -> DataFrame:
-    """``(scope, token, block, top)`` of frequent tokens; combined before the shuffle."""
-    by_block = posted.groupBy("scope", "token", block_of(n_docs).alias("block")).agg(
-        F.max(_share(avg_dl)).alias("top"), F.count(F.lit(1)).alias("n")
-    )
-    df = F.sum("n").over(Window.partitionBy("scope", "token"))
-    return by_block.withColumn("df", df).filter(F.col("df") >= FREQUENT).select("scope", "token", "block", "top")
+def frequent_df(n_docs: int) -> int:
+    """In how many documents a token must be to have shares by block: one in BLOCK_DOCS, so that a block saves something.
+
+    Such tokens are at most BLOCK_DOCS times as many as a document has on average, however many documents there are.
+    """
+    return max(FREQUENT, -(-n_docs // BLOCK_DOCS))
+
+
+def block_tops(posted: DataFrame, stats: DataFrame, n_docs: int, avg_dl: Column) -> DataFrame:
+    """``(scope, token, block, top)`` of frequent tokens; the others are left out before anything is grouped."""
+    frequent = stats.filter(F.col("df") >= frequent_df(n_docs)).select("scope", "token")
+    by_block = posted.join(F.broadcast(frequent), ["scope", "token"], "left_semi").groupBy("scope", "token", block_of(n_docs).alias("block"))
+    return by_block.agg(F.max(_share(avg_dl)).alias("top"))
 
 
 class TopShould:
@@ -128,11 +134,11 @@ class TopShould:
         cheap = tokens.filter("layer > 0")
         rest = lambda most: [F.sum(F.when(F.col("layer") >= i, most).otherwise(0.0)).alias(f"b{i}") for i in layers]
         names = [f"b{i}" for i in layers]
-        shares = cheap.filter(F.col("df") >= FREQUENT).select("qid", "scope", "token", "weight", "layer")
+        shares = cheap.filter(F.col("df") >= frequent_df(self.n_docs)).select("qid", "scope", "token", "weight", "layer")
         allowed = self.blocks.join(self._near(shares), ["scope", "token"]).groupBy("qid", "block").agg(*rest(F.col("weight") * F.col("top")))
         always = tokens.groupBy("qid").agg(
             F.first("theta").alias("theta"),
-            *[F.sum(F.when((F.col("layer") >= i) & (F.col("df") < FREQUENT), F.col("most")).otherwise(0.0)).alias(f"a{i}") for i in layers],
+            *[F.sum(F.when((F.col("layer") >= i) & (F.col("df") < frequent_df(self.n_docs)), F.col("most")).otherwise(0.0)).alias(f"a{i}") for i in layers],
         )
         at = self._score(self._all_hits(tokens.filter("layer = 0"))).withColumn("block", block_of(self.n_docs))
         at = at.join(allowed, ["qid", "block"], "left").join(self._near(always), "qid")

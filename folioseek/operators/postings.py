@@ -103,6 +103,8 @@ def postings(docs: DataFrame, spec: IndexSpec, scopes: str = "both") -> DataFram
     fields = [f for f in spec.fields if f.has_text]
     rows = analysed(docs, spec).filter(F.col("dl") > 0)
     kept = [c for c in docs.columns if c != "doc"]
+    if len(fields) == 1:
+        return _lone_postings(rows, kept, fields[0].name, scopes)
     if not fields:  # nothing to analyse: no postings
         merged = F.array().cast("array<struct<scope:string,token:string,positions:array<int>>>")
     else:
@@ -126,6 +128,34 @@ def postings(docs: DataFrame, spec: IndexSpec, scopes: str = "both") -> DataFram
     )
 
 
+def _lone_postings(rows: DataFrame, kept: list[str], name: str, scopes: str) -> DataFrame:
+    """:func:`postings` where one field makes up the whole text: its twin of a posting is that posting ``dl`` places on.
+
+    Where runs begin and how long they are is found in the row; runs are cut out after the explode, in compiled code.
+    """
+    kept = [*kept, "dl"]
+    places = F.sequence(F.lit(0), F.size("t0") - 1).alias("at")
+    rows = once(rows, kept, [F.sort_array(F.arrays_zip(F.col("t0"), places)).alias("e")])
+    rows = once(rows, kept, [F.col("e")["t0"].alias("words"), F.col("e")["at"].alias("places")])
+    words, n = F.col("words"), F.size("words")
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+    runs = let(first, lambda s: F.transform(s, lambda i, k: F.struct(i.alias("at"), (F.coalesce(F.get(s, k + 1), n) - i).alias("tf"))))
+    rows = once(rows, [*kept, "words", "places"], [runs.alias("runs")])
+    cut = rows.select(*kept, "words", "places", F.explode("runs").alias("r")).select(
+        *kept[:-1],
+        F.lit(GLOBAL).alias("scope"),
+        F.get("words", F.col("r.at")).alias("token"),
+        F.col("r.tf").alias("tf"),
+        F.slice("places", F.col("r.at") + 1, F.col("r.tf")).alias("positions"),
+        "dl",
+    )
+    if scopes == "global":
+        return cut
+    named = F.explode(F.array(*(F.lit(x) for x in ([GLOBAL, name] if scopes == "both" else [name]))))
+    moved = F.when(F.col("scope") == GLOBAL, F.col("positions")).otherwise(F.transform("positions", lambda p: p + F.col("dl")))
+    return cut.select(*kept[:-1], named.alias("scope"), "token", "tf", "positions", "dl").withColumn("positions", moved)
+
+
 def token_stats(posted: DataFrame) -> DataFrame:
     """Document frequency of each token; combined before the shuffle."""
     return posted.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df"))

@@ -16,6 +16,7 @@ that may run it again names its source.  Plain Parquet, any file system Spark ca
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..operators import mutate
 from ..operators.block_maxima import block_tops, token_tops
-from ..operators.postings import corpus_stats, doc_lengths, postings
+from ..operators.postings import GLOBAL, corpus_stats, doc_lengths, postings
 from ..operators.report import batch_summary, report
 from ..operators.typed import accepted, typed_read
 from ..session import spread, staged
@@ -32,6 +33,12 @@ from .search import SMALL_BYTES, Search, Tables, token_bucket
 
 # One bucket should hold some hundred megabytes of postings; large corpora take thousands.
 DEFAULT_BUCKETS = 16
+# Postings are written as segments, each sorted in its task and cut by bucket: nothing but the documents is shuffled.
+# A segment has about this many tokens, so that its postings are sorted in memory, and fewer only to keep the cores busy.
+SEGMENT_TOKENS = 3_000_000
+LEAST_TOKENS = 250_000
+# Files of a layout up to which it is written as segments; beyond, postings are shuffled into buckets.
+MANY_FILES = 20_000
 POSTINGS = "scope string, token string, docid string, tf int, positions array<int>, dl int"
 STATS = "scope string, token string, df bigint, top double, bucket int"
 BLOCKS = "scope string, token string, block bigint, top double, bucket int"
@@ -45,6 +52,11 @@ SOURCES = "source string, batch bigint"
 class Collection:
     def __init__(self, spark: SparkSession, path: str, spec: IndexSpec, buckets: int = DEFAULT_BUCKETS):
         self.spark, self.path, self.spec, self.buckets = spark, path, spec, buckets
+        # Where one field makes up the whole text, its postings are those of the document, ``dl`` places on: they
+        # are kept once, under the document, and spelled out when read.
+        analysed = [f.name for f in spec.fields if f.has_text]
+        self._alone = analysed[0] if len(analysed) == 1 else None
+        self._kept = "global" if self._alone else "both"
         if self._exists(self._at("meta")):
             stored = self._meta()
             if stored != buckets:
@@ -104,7 +116,20 @@ class Collection:
         reader = self.spark.read.option("basePath", self._at("log", table))
         if table != "rows":
             reader = reader.schema(self._schema(f"log {table}" if table in ("postings", "corpus") else table))
-        return reader.parquet(*paths)
+        return self._once(reader.parquet(*paths))
+
+    def _once(self, rows: DataFrame) -> DataFrame:
+        """Rows as they are kept; earlier versions wrote those of a lone field too."""
+        return rows.filter(F.col("scope") == GLOBAL) if self._alone and "scope" in rows.columns else rows
+
+    def _spelled(self, rows: DataFrame | None) -> DataFrame | None:
+        """Kept rows under all their scopes; a filter on the scope leaves one reading of them."""
+        if rows is None or not self._alone:
+            return rows
+        own = rows.withColumn("scope", F.lit(self._alone))
+        if "positions" in rows.columns:
+            own = own.withColumn("positions", F.transform("positions", lambda p: p + F.col("dl")))
+        return rows.withColumn("scope", F.lit(GLOBAL)).unionByName(own)
 
     def _snapshot(self) -> tuple[int, int] | None:
         """(generation, last batch folded in) of the newest complete snapshot."""
@@ -238,9 +263,7 @@ class Collection:
         self._with_length(versions).write.mode("overwrite").parquet(path)
         written = self.spark.read.schema(self._schema("docs")).parquet(path)
         docs = written.filter(F.col("op") == mutate.UPSERT)
-        self._write_by_bucket(
-            postings(docs.select("docid", "doc"), self.spec), self._at("log", "postings", f"batch={batch}")
-        )
+        self._write_postings(docs, self._at("log", "postings", f"batch={batch}"))
         ids = written.select("docid")  # one row each
         gone = self._stored(ids, batch) if stored is None else stored.join(ids, "docid", "left_semi")
         self._write_changes(docs, staged(gone.select("docid", "doc", "dl"), "replaced"), batch)
@@ -252,7 +275,7 @@ class Collection:
     def _write_changes(self, docs: DataFrame, gone: DataFrame, batch: int) -> None:
         """What a batch adds to the figures of a search: its versions count for it, those they replace against it."""
         new = self._log("postings", [batch]).select("scope", "token", F.lit(1).alias("df"))
-        old = postings(gone.select("docid", "doc"), self.spec).select("scope", "token", F.lit(-1).alias("df"))
+        old = postings(gone.select("docid", "doc"), self.spec, self._kept).select("scope", "token", F.lit(-1).alias("df"))
         change = new.unionByName(old).groupBy("scope", "token").agg(F.sum("df").alias("df")).filter("df <> 0")
         self._write_by_bucket(change, self._at("log", "counts", f"batch={batch}"))
         sizes = docs.select(F.lit(1).alias("n"), "dl").unionByName(gone.select(F.lit(-1).alias("n"), (-F.col("dl")).alias("dl")))
@@ -281,17 +304,30 @@ class Collection:
         lengths = doc_lengths(docs.select("*", F.col("doc").alias("kept")), self.spec)
         return lengths.withColumnRenamed("kept", "doc")
 
-    def _write_by_bucket(self, rows: DataFrame, path: str) -> None:
-        """One folder per token bucket, tokens in order inside each file.
+    def _write_postings(self, docs: DataFrame, path: str) -> None:
+        """The postings of written documents ``(docid, doc, dl, ...)``, as segments unless they would make too many files."""
+        tokens = docs.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
+        cores = self.spark.sparkContext.defaultParallelism
+        tokens = tokens if self._alone else 2 * tokens  # posted under two scopes
+        segments = max(1, -(-tokens // SEGMENT_TOKENS), min(cores, -(-tokens // LEAST_TOKENS)))
+        segments = -(-segments // cores) * cores if segments > cores else segments
+        docs = docs.select("docid", "doc")
+        if segments * self.buckets > MANY_FILES:
+            self._write_by_bucket(postings(docs, self.spec, self._kept), path)
+        else:
+            self._write_by_bucket(postings(docs.repartition(segments, "docid"), self.spec, self._kept), path, segments=True)
+
+    def _write_by_bucket(self, rows: DataFrame, path: str, segments: bool = False) -> None:
+        """One folder per token bucket, tokens in order inside each file; ``segments`` leaves the rows where they are.
 
         The rebalance hint lets Spark split a bucket that a frequent token has swollen
         over several tasks and files, and join small ones.
         """
         if not self._exists(self._at("meta")):
             self._one_row(self._at("meta"), "overwrite", buckets=self.buckets)
+        rows = rows.withColumn("bucket", token_bucket(self.buckets))
         (
-            rows.withColumn("bucket", token_bucket(self.buckets))
-            .hint("rebalance", "bucket")
+            (rows if segments else rows.hint("rebalance", "bucket"))
             .sortWithinPartitions("bucket", "scope", "token")
             .write.mode("overwrite")
             .partitionBy("bucket")
@@ -327,10 +363,15 @@ class Collection:
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def _snap_table(self, gen: int, name: str) -> DataFrame:
-        return self.spark.read.schema(self._schema(name)).parquet(self._at("snap", f"gen={gen}", name))
+        return self._once(self.spark.read.schema(self._schema(name)).parquet(self._at("snap", f"gen={gen}", name)))
 
     def tables(self) -> Tables:
         """What searches read.  Without changes since the snapshot it is the snapshot."""
+        t = self._tables()
+        return replace(t, postings=self._spelled(t.postings), stats=self._spelled(t.stats), blocks=self._spelled(t.blocks))
+
+    def _tables(self) -> Tables:
+        """:meth:`tables` under the scopes that are kept."""
         snap, batches = self._state()
         docs = self._docs(snap, batches)
         if snap and not batches:
@@ -343,7 +384,7 @@ class Collection:
                 self._snap_table(snap[0], "blocks") if self._exists(self._at("snap", f"gen={snap[0]}", "blocks")) else None,
             )
         if not batches:
-            return Tables(docs, postings(docs.select("docid", "doc"), self.spec), None, corpus_stats(docs), None)
+            return Tables(docs, postings(docs.select("docid", "doc"), self.spec, self._kept), None, corpus_stats(docs), None)
         delta = self._delta(batches).select("docid", "batch", "op")
         columns = ["scope", "token", "docid", "tf", "positions", "dl", "bucket"]
         fresh = (
@@ -382,9 +423,7 @@ class Collection:
             return
         gen = snap[0] + 1 if snap else 0
         upto = batches[-1] if batches else -1
-        tables = self.tables()
-        tables.docs.write.mode("overwrite").parquet(self._at("snap", f"gen={gen}", "docs"))
-        self._write_by_bucket(tables.postings.drop("bucket"), self._at("snap", f"gen={gen}", "postings"))
+        self._docs(snap, batches).write.mode("overwrite").parquet(self._at("snap", f"gen={gen}", "docs"))
         self._finish(gen, upto, self._sources(snap).filter(F.col("batch") <= upto))
 
     def build(self, docs: DataFrame, unique: bool = False) -> None:
@@ -400,19 +439,19 @@ class Collection:
             good = mutate.latest(good.select("docid", "seq", "doc"))
         path = self._at("snap", "gen=0", "docs")
         self._with_length(spread(good.select("docid", "doc"), "docid")).write.mode("overwrite").parquet(path)
-        stored = self._snap_table(0, "docs")
-        self._write_by_bucket(
-            postings(stored.select("docid", "doc"), self.spec), self._at("snap", "gen=0", "postings")
-        )
         self._finish(0, -1, self._sources(None))
 
     def _finish(self, gen: int, upto: int, sources: DataFrame) -> None:
-        posted, docs = self._snap_table(gen, "postings"), self._snap_table(gen, "docs")
+        """Everything else of a snapshot from its written documents; their postings are made anew, which moves less than those of the log."""
+        docs = self._snap_table(gen, "docs")
+        self._write_postings(docs, self._at("snap", f"gen={gen}", "postings"))
+        posted = self._snap_table(gen, "postings")
         corpus_stats(docs).write.mode("overwrite").parquet(self._at("snap", f"gen={gen}", "corpus"))
         corpus = self._snap_table(gen, "corpus").first()
         mean = F.lit(float(corpus.avg_dl))
         # By bucket like the postings, so that a search reads the buckets it needs.
         self._write_by_bucket(token_tops(posted, mean), self._at("snap", f"gen={gen}", "stats"))
-        self._write_by_bucket(block_tops(posted, corpus.n_docs, mean), self._at("snap", f"gen={gen}", "blocks"))
+        stats = self._snap_table(gen, "stats")
+        self._write_by_bucket(block_tops(posted, stats, corpus.n_docs, mean), self._at("snap", f"gen={gen}", "blocks"))
         sources.write.mode("overwrite").parquet(self._at("snap", f"gen={gen}", "sources"))
         self._one_row(self._at("snap", "done"), "append", gen=gen, upto=F.lit(upto).cast("bigint"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import block_maxima
 from ..operators import filters as flt
 from ..operators import paging, project, proximity, retrieve, sorting, survivors
-from ..operators.postings import token_stats
+from ..operators.postings import GLOBAL, token_stats
 from ..session import staged
 from ..spec import IndexSpec
 
@@ -90,13 +90,14 @@ class Search:
 
     @cached_property
     def _figures(self):
-        """Token rows, their bytes and the kinds of query (at most three), of a batch of any size."""
+        """Token rows, their bytes, the kinds of query (at most three) and the scopes asked, of a batch of any size."""
         return self.tokens.agg(
             F.count(F.lit(1)).alias("rows"),
             F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes"),
             F.collect_set(retrieve.kind()).alias("kinds"),
             F.coalesce(F.bool_or("is_must"), F.lit(False)).alias("musts"),
             F.coalesce(F.bool_or("is_not"), F.lit(False)).alias("nots"),
+            F.collect_set(F.when(F.col("scope").isin(GLOBAL, *(f.name for f in self.spec.fields)), F.col("scope"))).alias("scopes"),
         ).first()
 
     @cached_property
@@ -111,6 +112,7 @@ class Search:
 
     def _prune(self, rows: DataFrame) -> DataFrame:
         """Cut postings or statistics to the tokens that are asked, in a small batch by the scan itself."""
+        rows = rows.filter(F.col("scope").isin(*sorted(self._figures.scopes)) if self._figures.scopes else F.lit(False))
         if self._sample is None:
             return rows.join(self._wanted, ["scope", "token"], "left_semi")
         asked = [r for r in self._sample if r.token is not None]

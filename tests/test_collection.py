@@ -274,3 +274,29 @@ def test_figures_after_batches_equal_a_recount(spark, tmp_path):
     assert {"h", "g"} <= {r.token for r in c.tables().stats.collect()}
     c.delete(spark.createDataFrame([(i,) for i in range(1, 5)], "id long"))
     check(c, False)
+
+
+def test_postings_are_kept_once_and_not_shuffled(spark, tmp_path, monkeypatch):
+    """A lone field's postings lie on disk under the document alone, in segments; larger layouts are shuffled, with the same rows."""
+    from folioseek.operators.postings import postings
+    from folioseek.plans import collection
+
+    spec = IndexSpec.of("lone", [Field("id", "i64", pk=True), Field("text"), Field("n", "i64")])
+    texts = ["a b a", "", "b c 'd e'", None, "a", " ".join(f"w{i % 50}" for i in range(400))]
+    rows = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "id long, text string, n long")
+    monkeypatch.setattr(collection, "LEAST_TOKENS", 100)
+    found = []
+    for most in (20_000, 0):
+        monkeypatch.setattr(collection, "MANY_FILES", most)
+        c = Collection(spark, str(tmp_path / f"c{most}"), spec, buckets=2)
+        c.append(readers.from_table(rows), 0)
+        c.compact()
+        stored = spark.read.parquet(f"{c.path}/snap/gen=0/postings")
+        assert {r.scope for r in stored.select("scope").distinct().collect()} == {""}
+        t = c.tables()
+        shown = {tuple(map(str, r)) for r in t.postings.drop("bucket").collect()}
+        want = postings(t.docs.select("docid", "doc"), spec).select("scope", "token", "docid", "tf", "positions", "dl")
+        assert shown == {tuple(map(str, r)) for r in want.collect()} and len(shown) == 2 * stored.count()
+        assert {r.scope for r in t.stats.collect()} == {"", "text"}
+        found.append(shown)
+    assert found[0] == found[1]
