@@ -97,6 +97,7 @@ class Search:
             F.collect_set(retrieve.kind()).alias("kinds"),
             F.coalesce(F.bool_or("is_must"), F.lit(False)).alias("musts"),
             F.coalesce(F.bool_or("is_not"), F.lit(False)).alias("nots"),
+            F.coalesce(F.bool_or((F.col("n_positive") > 0) & (F.col("n_must") == 0)), F.lit(False)).alias("loose"),
             F.collect_set(F.when(F.col("scope").isin(GLOBAL, *(f.name for f in self.spec.fields)), F.col("scope"))).alias("scopes"),
         ).first()
 
@@ -121,7 +122,10 @@ class Search:
         if self.tables.buckets:
             rows = rows.filter(F.col("bucket").isin(*sorted({r.bucket for r in asked})))
         tokens = sorted({r.token for r in asked})
-        return rows.filter(F.col("token").isin(*tokens)) if len(tokens) <= LISTED_TOKENS else rows
+        if len(tokens) <= LISTED_TOKENS:
+            return rows.filter(F.col("token").isin(*tokens))
+        listed = self.tokens.filter(F.col("token").isNotNull()).select("scope", "token").distinct()
+        return rows.join(F.broadcast(listed), ["scope", "token"], "left_semi")
 
     @cached_property
     def _wanted(self) -> DataFrame:
@@ -181,6 +185,8 @@ class Search:
             musts = weighted.filter(F.col("n_must") > 0)
             parts.append(retrieve.led_hits(musts, posted, hot, FEW_ROWS).select(columns))
         loose = weighted.filter(F.col("n_must") == 0)
+        if parts and not self._figures.loose:  # else all postings would be dealt out to meet no query
+            return parts[0]
         if small:
             # By document first: a posting is shuffled once, however many queries ask for its token.
             parts.append(retrieve.token_hits(F.broadcast(loose), posted.repartition("docid")).select(columns))

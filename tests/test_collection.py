@@ -300,3 +300,22 @@ def test_postings_are_kept_once_and_not_shuffled(spark, tmp_path, monkeypatch):
         assert {r.scope for r in t.stats.collect()} == {"", "text"}
         found.append(shown)
     assert found[0] == found[1]
+
+
+def test_long_lists_of_tokens_cut_the_postings(spark, tmp_path, monkeypatch):
+    """Many asked tokens are met by a broadcast, and a batch of must words alone deals out no postings."""
+    from folioseek.plans import search
+
+    spec = IndexSpec.of("cut", [Field("id", "i64", pk=True), Field("text")])
+    texts = ["a b c", "b c d", "a c e", "f g"]
+    c = Collection(spark, str(tmp_path / "c"), spec, buckets=1)
+    c.build(readers.from_table(spark.createDataFrame(list(enumerate(texts)), "id long, text string")), unique=True)
+    for occur, want in (("must", {(1, "0"), (1, "2")}), ("should", {(1, "0"), (1, "1"), (1, "2")})):
+        monkeypatch.setattr(search, "LISTED_TOKENS", 1_000)
+        listed = c.search(query_frame(spark, [(1, [(None, "a c", occur)])]))
+        monkeypatch.setattr(search, "LISTED_TOKENS", 1)
+        s = c.search(query_frame(spark, [(1, [(None, "a c", occur)])]))
+        assert sorted(map(tuple, s.postings.select("scope", "token", "docid").collect())) == [("", t, str(i)) for t in "ac" for i, x in enumerate(texts) if t in x]
+        assert {(r.qid, r.docid) for r in s.matches.collect()} == want and sorted(s.matches.collect()) == sorted(listed.matches.collect())
+        plan = s._hits._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Repartition" in plan) == (occur == "should")
