@@ -7,6 +7,7 @@
     <path>/log/corpus/batch=N     by how much it changes the number of documents and of their tokens
     <path>/log/summary/batch=N    one row, written last: a batch counts once it is there
     <path>/snap/gen=G/...         docs, postings, stats, block maxima, corpus folded up to a batch, and the sources of all batches
+    <path>/snap/gen=G/parts       the folders, of the log or of earlier snapshots too, that hold its docs and postings
 
 A batch that did not get as far as its summary does not count and its folder is overwritten by the
 next one of that number.  A finished one is never overwritten: its number is taken, and a caller
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,12 @@ SEGMENT_TOKENS = 3_000_000
 LEAST_TOKENS = 250_000
 # Files of a layout up to which it is written as segments; beyond, postings are shuffled into buckets.
 MANY_FILES = 20_000
+# Folders that a snapshot may take over as they are; with more, documents and postings are written anew into one.
+MOST_PARTS = 8
+# Smaller batches are not taken over: they are written together, so that a snapshot is made of few large folders.
+LEAST_DOCS = 10_000
+# The log and the snapshots are most of what is on disk.
+PACKED = {"compression": "zstd"}
 POSTINGS = "scope string, token string, docid string, tf int, positions array<int>, dl int"
 STATS = "scope string, token string, df bigint, top double, bucket int"
 BLOCKS = "scope string, token string, block bigint, top double, bucket int"
@@ -47,6 +55,7 @@ CORPUS = "n_docs bigint, avg_dl double"
 CHANGE = "n_docs bigint, tokens bigint, batch bigint"
 SUMMARY = "index string, docs bigint, unreadable bigint, failed bigint, code int, msg string, source string, batch bigint"
 SOURCES = "source string, batch bigint"
+PARTS = "docs string, postings string"
 
 
 class Collection:
@@ -180,7 +189,7 @@ class Collection:
             return None
         typed = typed_read(docs, self.spec).withColumn("op", F.lit(mutate.UPSERT))
         rows = self._write_rows(typed, batch)
-        winners = mutate.latest(accepted(rows).select("docid", "seq", "op", "doc"))
+        winners = mutate.latest_of_few(accepted(rows).select("docid", "seq", "op", "doc"), SMALL_BYTES)
         return self._write_batch(winners.select("docid", "op", "doc"), rows, batch, source)
 
     def update(self, docs: DataFrame, batch: int | None = None, source: str | None = None) -> int | None:
@@ -255,18 +264,19 @@ class Collection:
 
     def _write_rows(self, rows: DataFrame, batch: int) -> DataFrame:
         path = self._at("log", "rows", f"batch={batch}")
-        rows.write.mode("overwrite").parquet(path)
+        rows.write.mode("overwrite").options(**PACKED).parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def _write_batch(self, versions: DataFrame, rows: DataFrame, batch: int, source: str | None, stored: DataFrame | None = None) -> int:
         path = self._at("log", "docs", f"batch={batch}")
-        self._with_length(versions).write.mode("overwrite").parquet(path)
+        self._with_length(versions).write.mode("overwrite").options(**PACKED).parquet(path)
         written = self.spark.read.schema(self._schema("docs")).parquet(path)
         docs = written.filter(F.col("op") == mutate.UPSERT)
         self._write_postings(docs, self._at("log", "postings", f"batch={batch}"))
         ids = written.select("docid")  # one row each
-        gone = self._stored(ids, batch) if stored is None else stored.join(ids, "docid", "left_semi")
-        self._write_changes(docs, staged(gone.select("docid", "doc", "dl"), "replaced"), batch)
+        # What a caller passes is staged already.
+        gone = staged(self._stored(ids, batch), "replaced") if stored is None else stored.join(ids, "docid", "left_semi")
+        self._write_changes(docs, gone.select("docid", "doc", "dl"), batch)
         batch_summary(rows, self.spec.name).withColumn("source", F.lit(source).cast("string")).write.mode("overwrite").parquet(
             self._at("log", "summary", f"batch={batch}")
         )
@@ -329,7 +339,7 @@ class Collection:
         (
             (rows if segments else rows.hint("rebalance", "bucket"))
             .sortWithinPartitions("bucket", "scope", "token")
-            .write.mode("overwrite")
+            .write.mode("overwrite").options(**PACKED)
             .partitionBy("bucket")
             .parquet(path)
         )
@@ -363,7 +373,30 @@ class Collection:
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def _snap_table(self, gen: int, name: str) -> DataFrame:
-        return self._once(self.spark.read.schema(self._schema(name)).parquet(self._at("snap", f"gen={gen}", name)))
+        own = os.path.join("snap", f"gen={gen}", name)
+        folders = [p[name] for p in self._parts(gen)] if name in ("docs", "postings") else [own]
+        reader = self.spark.read.schema(self._schema(name))
+        return self._once(reduce(DataFrame.unionByName, [reader.parquet(self._at(f)) for f in folders]))
+
+    def _parts(self, gen: int) -> list[dict[str, str]]:
+        """The folders of a snapshot's documents and postings; without a list they are its own."""
+        own = {name: os.path.join("snap", f"gen={gen}", name) for name in ("docs", "postings")}
+        listed = self._at("snap", f"gen={gen}", "parts")
+        return [r.asDict() for r in self.spark.read.schema(PARTS).parquet(listed).orderBy("docs").collect()] if self._exists(listed) else [own]
+
+    def _mergeless(self, snap: tuple[int, int] | None, batches: list[int]) -> list[dict[str, str]] | None:
+        """The folders that together are the folded state as they stand, or None if they are too many, some are small, or some row in them is not live.
+
+        All rows of the log are live if the batches added as many documents as they have rows: nothing was deleted or replaced.
+        """
+        parts = self._parts(snap[0]) if snap else []
+        parts = parts + [{name: os.path.join("log", name, f"batch={b}") for name in ("docs", "postings")} for b in batches]
+        if not batches or len(parts) > MOST_PARTS or not all(self._exists(self._at("log", "corpus", f"batch={b}")) for b in batches):
+            return None
+        sizes = [r["count"] for r in self._log("docs", batches).groupBy("batch").count().collect()]
+        if len(sizes) < len(batches) or min(sizes) < LEAST_DOCS:
+            return None
+        return parts if self._log("corpus", batches).agg(F.sum("n_docs")).first()[0] == sum(sizes) else None
 
     def tables(self) -> Tables:
         """What searches read.  Without changes since the snapshot it is the snapshot."""
@@ -417,14 +450,19 @@ class Collection:
     # -- snapshots --------------------------------------------------------------------
 
     def compact(self) -> None:
-        """Fold all finished batches into a new snapshot; searches then read it."""
+        """Fold all finished batches into a new snapshot; searches then read it.
+
+        Large batches of new documents alone are taken over where they lie; else documents and postings are written anew.
+        """
         snap, batches = self._state()
         if snap and not batches:
             return
         gen = snap[0] + 1 if snap else 0
         upto = batches[-1] if batches else -1
-        self._docs(snap, batches).write.mode("overwrite").parquet(self._at("snap", f"gen={gen}", "docs"))
-        self._finish(gen, upto, self._sources(snap).filter(F.col("batch") <= upto))
+        parts = self._mergeless(snap, batches)
+        if parts is None:
+            self._docs(snap, batches).write.mode("overwrite").options(**PACKED).parquet(self._at("snap", f"gen={gen}", "docs"))
+        self._finish(gen, upto, self._sources(snap).filter(F.col("batch") <= upto), parts)
 
     def build(self, docs: DataFrame, unique: bool = False) -> None:
         """Load a first snapshot straight from a reader, without a log.
@@ -438,13 +476,18 @@ class Collection:
         if not unique:
             good = mutate.latest(good.select("docid", "seq", "doc"))
         path = self._at("snap", "gen=0", "docs")
-        self._with_length(spread(good.select("docid", "doc"), "docid")).write.mode("overwrite").parquet(path)
+        self._with_length(spread(good.select("docid", "doc"), "docid")).write.mode("overwrite").options(**PACKED).parquet(path)
         self._finish(0, -1, self._sources(None))
 
-    def _finish(self, gen: int, upto: int, sources: DataFrame) -> None:
-        """Everything else of a snapshot from its written documents; their postings are made anew, which moves less than those of the log."""
+    def _finish(self, gen: int, upto: int, sources: DataFrame, parts: list[dict[str, str]] | None = None) -> None:
+        """Everything else of a snapshot from its written documents; postings that are not taken over are made anew, which moves less than those of the log."""
+        # A list left by a compaction that was cut off is replaced too.
+        own = [{name: os.path.join("snap", f"gen={gen}", name) for name in ("docs", "postings")}]
+        listed = F.array(*[F.struct(*[F.lit(p[name]).alias(name) for name in ("docs", "postings")]) for p in parts or own])
+        self.spark.range(0, 1, 1, 1).select(F.inline(listed)).write.mode("overwrite").parquet(self._at("snap", f"gen={gen}", "parts"))
         docs = self._snap_table(gen, "docs")
-        self._write_postings(docs, self._at("snap", f"gen={gen}", "postings"))
+        if parts is None:
+            self._write_postings(docs, self._at("snap", f"gen={gen}", "postings"))
         posted = self._snap_table(gen, "postings")
         corpus_stats(docs).write.mode("overwrite").parquet(self._at("snap", f"gen={gen}", "corpus"))
         corpus = self._snap_table(gen, "corpus").first()

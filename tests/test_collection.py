@@ -319,3 +319,46 @@ def test_long_lists_of_tokens_cut_the_postings(spark, tmp_path, monkeypatch):
         assert {(r.qid, r.docid) for r in s.matches.collect()} == want and sorted(s.matches.collect()) == sorted(listed.matches.collect())
         plan = s._hits._jdf.queryExecution().optimizedPlan().toString()
         assert ("Repartition" in plan) == (occur == "should")
+
+
+def _files(c, what):
+    return c.spark.read.parquet(f"{c.path}/{what}").inputFiles() if c._exists(f"{c.path}/{what}") else []
+
+
+def test_compaction_takes_over_batches_of_new_documents(spark, tmp_path, monkeypatch):
+    """Documents that nothing replaced are not written a second time; a replaced or deleted one has all written anew."""
+    monkeypatch.setattr("folioseek.plans.collection.LEAST_DOCS", 2)
+    c = Collection(spark, str(tmp_path / "c"), SPEC, buckets=1)
+    c.append(rows(spark, [{"id": 0, "text": "cat"}, {"id": 1, "text": "cat dog"}]))
+    c.append(rows(spark, [{"id": 2, "text": "dog"}, {"id": 3, "text": "cat"}]))
+    c.compact()
+    assert not _files(c, "snap/gen=0/docs") and not _files(c, "snap/gen=0/postings")
+    assert {k: v[0] for k, v in state(c).items()} == {"0": "cat", "1": "cat dog", "2": "dog", "3": "cat"}
+    t = c.tables()
+    assert {(r.token, r.df) for r in t.stats.filter("scope = ''").collect()} == {("cat", 3), ("dog", 2)} and t.postings.count() == 10
+    c.append(rows(spark, [{"id": 0, "text": "dog"}, {"id": 4, "text": "dog"}]))
+    c.compact()
+    assert _files(c, "snap/gen=1/docs") and _files(c, "snap/gen=1/postings")
+    assert {(r.token, r.df) for r in c.tables().stats.filter("scope = ''").collect()} == {("cat", 2), ("dog", 4)}
+
+
+def test_many_batches_are_written_into_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("folioseek.plans.collection.MOST_PARTS", 2)
+    monkeypatch.setattr("folioseek.plans.collection.LEAST_DOCS", 1)
+    c = Collection(spark, str(tmp_path / "c"), SPEC, buckets=1)
+    for i in range(4):
+        c.append(rows(spark, [{"id": i, "text": "cat"}]))
+        c.compact()
+        assert bool(_files(c, f"snap/gen={i}/docs")) == (i == 2)
+    assert sorted(state(c)) == ["0", "1", "2", "3"]
+
+
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_latest_of_few(spark, small):
+    """Single versions stay where they are, repeated ones give their last; with many repeated keys it is the plain way."""
+    seen = [("a", 1, "x"), ("b", 1, "y"), ("a", 3, "z"), ("c", 2, None), ("a", 2, "w")]
+    got = mutate.latest_of_few(spark.createDataFrame(seen, "docid string, seq int, doc string"), small)
+    assert sorted(map(tuple, got.select("docid", "seq", "doc").collect())) == [("a", 3, "z"), ("b", 1, "y"), ("c", 2, None)]
+    once = mutate.latest_of_few(spark.createDataFrame(seen[:2], "docid string, seq int, doc string"), small)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.docid for r in once.collect()) == ["a", "b"] and "Exchange" not in plan
