@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 RANGE = ["file", "block"]
 
 
@@ -76,36 +78,89 @@ def json_ends(texts: DataFrame) -> DataFrame:
     return known.select(*RANGE, "at", "pos", "value", (outside & (now == 1)).alias("ends"))
 
 
-def csv_ends(texts: DataFrame) -> DataFrame:
-    """Lines with ``ends``: the line break after it is not inside a quoted cell.
+def csv_lines(texts: DataFrame) -> DataFrame:
+    """Lines with ``from0`` and ``from1``, whether a quoted cell is open after the line if none, or one, was before, and ``blank``.
 
-    A quote opens a cell only at its start; elsewhere in a bare cell it is a character like any other.
+    A quote opens a cell only at its start; elsewhere in a bare cell it is a character like any other.  Lines without quotes
+    leave things as they are.  Written down, so that texts are looked at once and cuts stay as they are.
     """
     body = r'"[^"]*+(?:""[^"]*+)*+'
     line = F.regexp_replace("value", r"\r\z", "")
+    quoted = F.contains("value", F.lit('"'))
 
     def left_open(text: Column) -> Column:
         rest = F.regexp_replace(text, rf'(?<=\A|,){body}"(?=,|\z)', "x")
         return rest.rlike(rf"(?:\A|,){body}\z").cast("int")
 
-    measured = texts.withColumns({"from0": left_open(line), "from1": left_open(F.concat(F.lit('"'), line))}).repartition(*RANGE)
+    return staged(
+        texts.withColumns({
+            "from0": F.when(quoted, left_open(line)).otherwise(0),
+            "from1": F.when(quoted, left_open(F.concat(F.lit('"'), line))).otherwise(1),
+            "blank": ~quoted & F.col("value").rlike(r"\A\s*\z"),
+        }),
+        "lines",
+    )
+
+
+def _csv_state(lines: DataFrame) -> DataFrame:
+    """Lines, each range in one task, with what they and those before them in the range do to the state."""
     # A line sets the state, keeps it, or turns it round.
     turns = _sum(((F.col("from0") == 1) & (F.col("from1") == 0)).cast("bigint"), _up_to())
-    turned = measured.withColumn("turns", turns)
+    turned = lines.repartition(*RANGE).withColumn("turns", turns)
     fixed = F.last(F.when(F.col("from0") == F.col("from1"), F.struct(F.col("from0").alias("to"), "turns")), ignorenulls=True).over(_up_to())
-    state = turned.withColumn("fixed", fixed)
+    return turned.withColumn("fixed", fixed)
+
+
+def _csv_after(start: Column) -> Column:
+    return (F.coalesce(F.col("fixed.to"), start) + F.col("turns") - F.coalesce(F.col("fixed.turns"), F.lit(0))) % 2
+
+
+def _csv_ends(lines: DataFrame, starts: DataFrame) -> DataFrame:
+    """``ends``: the line break after a line is not inside a quoted cell.  ``nth``: records of its range that end before it."""
+    known = _csv_state(lines).join(F.broadcast(starts), RANGE)
+    ended = known.withColumn("ends", _csv_after(F.col("start")) == 0)
+    return ended.withColumn("nth", _sum(F.col("ends").cast("bigint"), _before()))
 
-    def after(start: Column) -> Column:
-        return (F.coalesce(F.col("fixed.to"), start) + F.col("turns") - F.coalesce(F.col("fixed.turns"), F.lit(0))) % 2
 
-    change = state.groupBy(*RANGE).agg(F.max_by(F.struct("fixed", "turns"), "pos").alias("c")).select(*RANGE, "c.fixed", "c.turns")
+def csv_ranges(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From written lines, without their texts: a row ``(file, block, start, n, first)`` per range, and the text of each file's header.
+
+    ``start`` is the state a range begins in, ``n`` the records that end in it, ``first`` those that end before it.  The header
+    ``(file, head_at, head)`` is the first record that is not blank.  It begins with the first line that is not, as blank lines outside
+    quotes are records of their own.
+    """
+    slim = lines.select(*RANGE, "pos", "from0", "from1", "blank")
+    change = _csv_state(slim).groupBy(*RANGE).agg(F.max_by(F.struct("fixed", "turns"), "pos").alias("c")).select(*RANGE, "c.fixed", "c.turns")
     along = change.withColumn("all_turns", _sum(F.col("turns"), _ranges_before()))
     # The last range before that fixes the state: what it ends in, and the turns up to its end.
-    end = F.when(F.col("fixed").isNotNull(), F.struct(after(F.lit(0)).alias("to"), (F.col("all_turns") + F.col("turns")).alias("turns")))
+    end = F.when(F.col("fixed").isNotNull(), F.struct(_csv_after(F.lit(0)).alias("to"), (F.col("all_turns") + F.col("turns")).alias("turns")))
     along = along.withColumn("from", F.last(end, ignorenulls=True).over(_ranges_before()))
     start = (F.coalesce(F.col("from.to"), F.lit(0)) + F.col("all_turns") - F.coalesce(F.col("from.turns"), F.lit(0))) % 2
-    known = state.join(along.select(*RANGE, start.alias("start")), RANGE)
-    return known.select(*RANGE, "at", "pos", "value", (after(F.col("start")) == 0).alias("ends"))
+    starts = staged(along.select(*RANGE, start.alias("start")), "starts")
+
+    ended = _csv_ends(slim, starts)
+    shown, ends = ~F.col("blank"), F.col("ends")
+    per = ended.groupBy(*RANGE).agg(
+        F.sum(ends.cast("bigint")).alias("n"),
+        F.min(F.when(shown, F.col("pos"))).alias("shown"),
+        F.min(F.when(shown, F.col("nth"))).alias("shown_nth"),
+    )
+    per = staged(per.join(starts, RANGE).withColumn("first", _sum(F.col("n"), _ranges_before())), "ranges")
+    heads = per.filter("shown IS NOT NULL").groupBy("file").agg(F.min(F.struct("block", "shown", (F.col("first") + F.col("shown_nth")).alias("at"))).alias("h"))
+    heads = heads.select("file", F.col("h.block").alias("from_block"), F.col("h.shown").alias("shown_at"), F.col("h.at").alias("head_at"))
+    # Ranges that hold lines of the header; of those, the lines from its first to its last.
+    held = per.select(*RANGE, "n", "first").join(heads, "file").filter("block >= from_block AND first <= head_at AND first + n >= head_at")
+    inside = ended.select(*RANGE, "pos", "nth").join(F.broadcast(held), RANGE).filter((F.col("first") + F.col("nth") == F.col("head_at")) & ((F.col("block") > F.col("from_block")) | (F.col("pos") >= F.col("shown_at"))))
+    spans = staged(inside.groupBy(*RANGE).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.max("head_at").alias("head_at")), "header-lines")
+    texts = lines.select(*RANGE, "pos", "value").join(F.broadcast(spans), RANGE).filter("pos BETWEEN lo AND hi")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "pos", "value"))), lambda p: p["value"]), "\n")
+    headers = texts.groupBy("file").agg(F.max("head_at").alias("head_at"), F.regexp_replace(text, r"\r\z", "").alias("head"))
+    return per.select(*RANGE, "start", "n", "first"), headers
+
+
+def csv_records(lines: DataFrame, per: DataFrame) -> DataFrame:
+    """``(file, at, record, text, ended)`` of written lines and their ranges, as :func:`records`; texts are shuffled once, by range."""
+    return _joined(_csv_ends(lines, per.select(*RANGE, "start")), F.broadcast(per.select(*RANGE, "n", "first")), "\n")
 
 
 def records(ended: DataFrame, separator: str) -> DataFrame:
@@ -118,6 +173,10 @@ def records(ended: DataFrame, separator: str) -> DataFrame:
     counted = ended.withColumn("nth", _sum(one, _before()))
     counts = counted.groupBy(*RANGE).agg(F.sum(one).alias("n"))
     counts = counts.select(*RANGE, "n", _sum(F.col("n"), _ranges_before()).alias("first"))
+    return _joined(counted, counts, separator)
+
+
+def _joined(counted: DataFrame, counts: DataFrame, separator: str) -> DataFrame:
     part = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]), separator)
     parts = (
         counted.groupBy(*RANGE, "nth").agg(F.max("at").alias("at"), part.alias("text"), F.max("ends").alias("ended"))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.coerce import let
 from ..session import staged
 from . import ranges
 
@@ -138,8 +139,8 @@ def read_csv(spark: SparkSession, path, multiline: bool = True) -> DataFrame:
     """CSV with a header in each file; every cell is a string, an empty cell is ``""``.
 
     Columns go by name: files may have them in another order, or other ones, and a column that a file lacks
-    is NULL.  Line breaks inside quotes are kept; files are cut by ranges of bytes (``ranges.csv_ends``), so a file is
-    read by many tasks.  The headers are gathered in a pass of their own, one row per file.
+    is NULL.  Line breaks inside quotes are kept; files are cut by ranges of bytes (``ranges.csv_lines``), so a file is
+    read by many tasks.  Lines are written down first; headers are found from them, one row per file.
     A row with too few or too many cells becomes an error row and reading goes on; a quote that is never
     closed takes the rest of its file into its record.
 
@@ -169,9 +170,11 @@ def read_csv(spark: SparkSession, path, multiline: bool = True) -> DataFrame:
 
 
 def _read_csv_ranges(spark: SparkSession, path) -> DataFrame:
-    rows = ranges.records(ranges.csv_ends(ranges.pieces(spark, path, "\n")), "\n")
+    lines = ranges.csv_lines(ranges.pieces(spark, path, "\n"))
+    per, heads = ranges.csv_ranges(lines)
+    rows = ranges.csv_records(lines, per)
     rows = rows.withColumn("text", F.regexp_replace("text", r"\r\z", "")).filter(~F.col("text").rlike(_BLANK))
-    heads = staged(rows.groupBy("file").agg(F.min("record").alias("head_at"), F.min_by("text", "record").alias("head")), "headers")
+    heads = staged(heads, "headers")
     # One entry per different header, however many files there are.
     headers = {r.head: _header_names(r.head) for r in heads.select("head").distinct().orderBy("head").collect()}
     if not headers:
@@ -183,10 +186,15 @@ def _read_csv_ranges(spark: SparkSession, path) -> DataFrame:
         ddl = ", ".join("`" + n.replace("`", "``") + "` string" for n in [*own, _CORRUPT])
         found = F.from_csv("text", ddl, options)
         held = set(own)
-        values = [F.coalesce(found.getField(n), F.lit("")) if n in held else F.lit(None).cast("string") for n in names]
-        one = F.struct(found.getField(_CORRUPT).isNotNull().alias("bad"), F.struct(*[v.alias(n) for v, n in zip(values, names)]).alias("cells"))
+
+        def kept(record: Column) -> Column:
+            values = [F.coalesce(record.getField(n), F.lit("")) if n in held else F.lit(None).cast("string") for n in names]
+            return F.struct(record.getField(_CORRUPT).isNotNull().alias("bad"), F.struct(*[v.alias(n) for v, n in zip(values, names)]).alias("cells"))
+
+        one = let(found, kept)  # a record is parsed once, not once for each column
         cells = F.when(F.col("head") == head, one) if cells is None else cells.when(F.col("head") == head, one)
-    read = rows.join(heads, "file").filter(F.col("record") > F.col("head_at")).withColumn("read", cells)
+    read = rows.join(heads, "file").filter(F.col("record") > F.col("head_at"))
+    read = read.select("at", "file", "record", "text", F.explode(F.array(cells)).alias("read"))
     bad = F.col("read.bad")
     return read.select(
         _seq(F.col("at"), F.col("file"), F.lit(0), F.col("record")),

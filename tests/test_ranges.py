@@ -114,3 +114,17 @@ def test_csv_without_rows(spark, tmp_path):
     assert readers.read_csv(spark, str(tmp_path / "empty.csv")).count() == 0
     (tmp_path / "head.csv").write_text("id,name\n")
     assert typed_read(readers.read_csv(spark, str(tmp_path)), SPEC).count() == 0
+
+
+def test_csv_texts_are_looked_at_once(spark, tmp_path, monkeypatch):
+    """Lines are cut and matched in one scan, written down, and shuffled once; a record is parsed once."""
+    for i, head in enumerate(("id,name\n", '\n \n"id\n",name,x\n')):
+        (tmp_path / f"{i}.csv").write_text(head + "".join(f'{j},"a ""b""\n{j}"{",y" * i}\n' for j in range(20)))
+    real, scans = ranges.pieces, []
+    monkeypatch.setattr(ranges, "pieces", lambda *a: scans.append(1) or real(*a))
+    rows = readers.read_csv(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    got = rows.orderBy("seq").collect()
+    assert len(got) == 40 and not [r.error for r in got if r.error]
+    assert [r.payload["id\n"] for r in got if r.payload.x] == [str(j) for j in range(20)]
+    assert "lineSep" not in plan and "regexp_replace(value" not in plan and plan.count("from_csv(") <= 2 and len(scans) == 1
