@@ -24,20 +24,30 @@ def latest(versions: DataFrame, key: str = "docid", order: str = "seq") -> DataF
     return best.select(key, *[F.col(f"v.{c}").alias(c) for c in rest])
 
 
+def repeated(keys: DataFrame, key: str = "docid") -> DataFrame:
+    """The keys that occur more than once."""
+    return keys.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key)
+
+
+def id_bytes(keys: DataFrame, key: str = "docid") -> int:
+    """About how large keys are in memory."""
+    return keys.agg(F.coalesce(F.sum(F.octet_length(key) + 16), F.lit(0))).first()[0]
+
+
 def latest_of_few(versions: DataFrame, small_bytes: int, key: str = "docid", order: str = "seq") -> DataFrame:
     """:func:`latest` for written versions of which most are the only one of their key: those stay where they are.
 
     Keys alone are shuffled to find those that repeat; if these are more than ``small_bytes``, it is :func:`latest` of all.
     """
     keys = F.col(key).isNotNull()
-    repeated = staged(versions.filter(keys).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key), "repeated")
-    size = repeated.agg(F.coalesce(F.sum(F.octet_length(key) + 16), F.lit(0))).first()[0]
+    several = staged(repeated(versions.filter(keys), key), "repeated")
+    size = id_bytes(several, key)
     if size > small_bytes or not versions.filter(~keys).isEmpty():
         return latest(versions, key, order)
     if not size:
         return versions
-    repeated = F.broadcast(repeated)
-    return versions.join(repeated, key, "left_anti").unionByName(latest(versions.join(repeated, key, "left_semi"), key, order))
+    several = F.broadcast(several)
+    return versions.join(several, key, "left_anti").unionByName(latest(versions.join(several, key, "left_semi"), key, order))
 
 
 def live(versions: DataFrame, order: str = "seq") -> DataFrame:

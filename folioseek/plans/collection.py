@@ -244,10 +244,19 @@ class Collection:
         return self._stored(typed.filter("error IS NULL").select("docid").distinct(), batch)
 
     def _stored(self, ids: DataFrame, batch: int) -> DataFrame:
-        """The documents of distinct ids as they are before a batch."""
-        size = ids.agg(F.coalesce(F.sum(F.octet_length("docid") + 16), F.lit(0))).first()[0]
-        ids = F.broadcast(ids) if size <= SMALL_BYTES else ids
-        return self.docs(before=batch).select("docid", "doc", "dl").join(ids, "docid", "left_semi")
+        """The documents of distinct ids as they are before a batch.
+
+        Most ids of a large batch are new: where the stored rows lie as they are, ids alone are shuffled to find those
+        that are stored, and documents only if these are many.
+        """
+        snap, batches = self._state(batch)
+        plain = self._all_live(batches)
+        docs = self._docs(snap, batches, plain).select("docid", "doc", "dl")
+        size = mutate.id_bytes(ids)
+        if size > SMALL_BYTES and plain:
+            ids = staged(mutate.repeated(ids.unionByName(docs.select("docid"))), "stored")
+            size = mutate.id_bytes(ids)
+        return docs.join(F.broadcast(ids) if size <= SMALL_BYTES else ids, "docid", "left_semi")
 
     def delete(self, ids: DataFrame, batch: int | None = None, source: str | None = None) -> int | None:
         """Drop documents by id (first column of ``ids``); unknown ids are ignored."""
@@ -356,16 +365,18 @@ class Collection:
 
     def docs(self, before: int | None = None) -> DataFrame:
         """Current documents ``(docid, doc, dl)``, or those before a batch."""
-        return self._docs(*self._state(before))
+        snap, batches = self._state(before)
+        return self._docs(snap, batches, self._all_live(batches))
 
-    def _docs(self, snap: tuple[int, int] | None, batches: list[int]) -> DataFrame:
+    def _docs(self, snap: tuple[int, int] | None, batches: list[int], plain: bool) -> DataFrame:
+        """``plain`` says that all rows of the batches are live: then all rows are read where they lie, without a shuffle."""
         parts = []
         if batches:
-            delta = self._delta(batches)
+            delta = self._log("docs", batches) if plain else self._delta(batches)
             parts.append(delta.filter(F.col("op") == mutate.UPSERT).select("docid", "doc", "dl"))
         if snap:
             base = self._snap_table(snap[0], "docs")
-            if batches:
+            if batches and not plain:
                 base = base.join(delta.select("docid"), "docid", "left_anti")
             parts.append(base.select("docid", "doc", "dl"))
         if not parts:
@@ -384,19 +395,20 @@ class Collection:
         listed = self._at("snap", f"gen={gen}", "parts")
         return [r.asDict() for r in self.spark.read.schema(PARTS).parquet(listed).orderBy("docs").collect()] if self._exists(listed) else [own]
 
-    def _mergeless(self, snap: tuple[int, int] | None, batches: list[int]) -> list[dict[str, str]] | None:
-        """The folders that together are the folded state as they stand, or None if they are too many, some are small, or some row in them is not live.
+    def _all_live(self, batches: list[int]) -> bool:
+        """Whether all rows of the log are live: the batches added as many documents as they have rows, so nothing was deleted or replaced."""
+        if not all(self._exists(self._at("log", "corpus", f"batch={b}")) for b in batches):
+            return False
+        return not batches or self._log("corpus", batches).agg(F.sum("n_docs")).first()[0] == self._log("docs", batches).count()
 
-        All rows of the log are live if the batches added as many documents as they have rows: nothing was deleted or replaced.
-        """
+    def _mergeless(self, snap: tuple[int, int] | None, batches: list[int]) -> list[dict[str, str]] | None:
+        """The folders that together are the folded state as they stand, or None if they are too many, some are small, or some row in them is not live."""
         parts = self._parts(snap[0]) if snap else []
         parts = parts + [{name: os.path.join("log", name, f"batch={b}") for name in ("docs", "postings")} for b in batches]
-        if not batches or len(parts) > MOST_PARTS or not all(self._exists(self._at("log", "corpus", f"batch={b}")) for b in batches):
+        if not batches or len(parts) > MOST_PARTS or not self._all_live(batches):
             return None
         sizes = [r["count"] for r in self._log("docs", batches).groupBy("batch").count().collect()]
-        if len(sizes) < len(batches) or min(sizes) < LEAST_DOCS:
-            return None
-        return parts if self._log("corpus", batches).agg(F.sum("n_docs")).first()[0] == sum(sizes) else None
+        return None if len(sizes) < len(batches) or min(sizes) < LEAST_DOCS else parts
 
     def tables(self) -> Tables:
         """What searches read.  Without changes since the snapshot it is the snapshot."""
@@ -406,7 +418,7 @@ class Collection:
     def _tables(self) -> Tables:
         """:meth:`tables` under the scopes that are kept."""
         snap, batches = self._state()
-        docs = self._docs(snap, batches)
+        docs = self._docs(snap, batches, self._all_live(batches))
         if snap and not batches:
             return Tables(
                 docs,
@@ -461,7 +473,7 @@ class Collection:
         upto = batches[-1] if batches else -1
         parts = self._mergeless(snap, batches)
         if parts is None:
-            self._docs(snap, batches).write.mode("overwrite").options(**PACKED).parquet(self._at("snap", f"gen={gen}", "docs"))
+            self._docs(snap, batches, self._all_live(batches)).write.mode("overwrite").options(**PACKED).parquet(self._at("snap", f"gen={gen}", "docs"))
         self._finish(gen, upto, self._sources(snap).filter(F.col("batch") <= upto), parts)
 
     def build(self, docs: DataFrame, unique: bool = False) -> None:

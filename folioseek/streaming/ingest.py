@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.collection import Collection
+from ..session import dealt
 from ..sources.readers import from_table, parse_json_lines
 
 
@@ -57,7 +58,7 @@ def ingest(
         if set(rows.columns) == {"value", "meta"}:
             docs = parse_json_lines(rows, F.monotonically_increasing_id())
         else:
-            docs = from_table(rows, seq)
+            docs = dealt(from_table(rows, seq))
         collection.append(docs, source=source)
         if on_batch is not None:
             on_batch(collection.summaries().filter(F.col("source") == source))

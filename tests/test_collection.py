@@ -362,3 +362,42 @@ def test_latest_of_few(spark, small):
     once = mutate.latest_of_few(spark.createDataFrame(seen[:2], "docid string, seq int, doc string"), small)
     plan = once._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.docid for r in once.collect()) == ["a", "b"] and "Exchange" not in plan
+
+
+def test_new_documents_are_read_where_they_lie(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("folioseek.plans.collection.SMALL_BYTES", 0)
+    c = Collection(spark, str(tmp_path / "new"), SPEC, buckets=4)
+    plan = lambda: c.docs()._jdf.queryExecution().executedPlan().toString()
+    c.append(rows(spark, [{"id": i, "text": f"word {i}"} for i in range(5)]))
+    c.append(rows(spark, [{"id": i, "text": f"word {i}"} for i in range(5, 9)]))
+    assert "Exchange" not in plan()
+    c.compact()
+    c.append(rows(spark, [{"id": 9, "text": "word 9"}]))
+    assert "Exchange" not in plan()
+    want = {str(i): (f"word {i}", None, None) for i in range(10)}
+    assert state(c) == want
+
+    # Ids that are stored already, one of them twice, and a deleted one.
+    c.append(rows(spark, [{"id": 3, "text": "old"}, {"id": 3, "text": "other"}, {"id": 9, "text": "other"}, {"id": 10, "text": "other"}]))
+    want |= {i: ("other", None, None) for i in ("3", "9", "10")}
+    assert state(c) == want
+    c.delete(spark.createDataFrame([("4",), ("77",)], "id string"))
+    del want["4"]
+    assert state(c) == want and set(found(spark, c, "word")) == {"0", "1", "2", "5", "6", "7", "8"}
+    c.compact()
+    assert state(c) == want and found(spark, c, "word other") == found(spark, fresh(spark, tmp_path, "same", *[{"id": int(i), "text": v[0]} for i, v in want.items()]), "word other")
+
+
+def test_one_file_of_a_stream_is_shared_out(spark, tmp_path):
+    files = str(tmp_path / "files")
+    spark.range(4000).selectExpr("id", "concat('word ', id) AS text").coalesce(1).write.parquet(files)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1b")
+    try:
+        c = Collection(spark, str(tmp_path / "dealt"), SPEC, buckets=2)
+        stream = table_stream(spark, files, spark.read.parquet(files).schema)
+        ingest(stream, c, str(tmp_path / "state"), seq="id", available_now=True).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    sizes = [r["count"] for r in spark.read.parquet(c._at("log", "rows")).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 1 and sum(sizes) == 4000 and max(sizes) < 4000
+    assert c.docs().count() == 4000
