@@ -29,6 +29,12 @@ def repeated(keys: DataFrame, key: str = "docid") -> DataFrame:
     return keys.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key)
 
 
+def common(keys: DataFrame, others: DataFrame, key: str = "docid") -> DataFrame:
+    """The keys that both frames have, once each; keys alone are shuffled, one row of a key per map task."""
+    sides = keys.select(key, F.lit(1).alias("side")).unionByName(others.select(key, F.lit(2).alias("side")))
+    return sides.groupBy(key).agg(F.bit_or("side").alias("sides")).filter("sides = 3").select(key)
+
+
 def id_bytes(keys: DataFrame, key: str = "docid") -> int:
     """About how large keys are in memory."""
     return keys.agg(F.coalesce(F.sum(F.octet_length(key) + 16), F.lit(0))).first()[0]

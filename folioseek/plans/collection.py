@@ -246,17 +246,16 @@ class Collection:
     def _stored(self, ids: DataFrame, batch: int) -> DataFrame:
         """The documents of distinct ids as they are before a batch.
 
-        Most ids of a large batch are new: where the stored rows lie as they are, ids alone are shuffled to find those
-        that are stored, and documents only if these are many.
+        Most ids of a large batch are new: ids alone are shuffled to find those ever stored, and documents only if
+        these are many.  Last versions are picked among the documents of those ids.
         """
         snap, batches = self._state(batch)
         plain = self._all_live(batches)
-        docs = self._docs(snap, batches, plain).select("docid", "doc", "dl")
         size = mutate.id_bytes(ids)
-        if size > SMALL_BYTES and plain:
-            ids = staged(mutate.repeated(ids.unionByName(docs.select("docid"))), "stored")
+        if size > SMALL_BYTES:
+            ids = staged(mutate.common(ids, self._docs(snap, batches, plain=True)), "stored")
             size = mutate.id_bytes(ids)
-        return docs.join(F.broadcast(ids) if size <= SMALL_BYTES else ids, "docid", "left_semi")
+        return self._docs(snap, batches, plain, F.broadcast(ids) if size <= SMALL_BYTES else ids)
 
     def delete(self, ids: DataFrame, batch: int | None = None, source: str | None = None) -> int | None:
         """Drop documents by id (first column of ``ids``); unknown ids are ignored."""
@@ -368,14 +367,19 @@ class Collection:
         snap, batches = self._state(before)
         return self._docs(snap, batches, self._all_live(batches))
 
-    def _docs(self, snap: tuple[int, int] | None, batches: list[int], plain: bool) -> DataFrame:
-        """``plain`` says that all rows of the batches are live: then all rows are read where they lie, without a shuffle."""
+    def _docs(self, snap: tuple[int, int] | None, batches: list[int], plain: bool, ids: DataFrame | None = None) -> DataFrame:
+        """``plain`` says that all rows of the batches are live: then all rows are read where they lie, without a shuffle.
+
+        With ``ids`` it is the documents of these alone; other rows are left out before last versions are picked.
+        """
+        named = lambda rows: rows if ids is None else rows.join(ids, "docid", "left_semi")
         parts = []
         if batches:
-            delta = self._log("docs", batches) if plain else self._delta(batches)
+            delta = named(self._log("docs", batches))
+            delta = delta if plain else mutate.latest(delta, order="batch")
             parts.append(delta.filter(F.col("op") == mutate.UPSERT).select("docid", "doc", "dl"))
         if snap:
-            base = self._snap_table(snap[0], "docs")
+            base = named(self._snap_table(snap[0], "docs"))
             if batches and not plain:
                 base = base.join(delta.select("docid"), "docid", "left_anti")
             parts.append(base.select("docid", "doc", "dl"))

@@ -401,3 +401,27 @@ def test_one_file_of_a_stream_is_shared_out(spark, tmp_path):
     sizes = [r["count"] for r in spark.read.parquet(c._at("log", "rows")).groupBy(F.input_file_name()).count().collect()]
     assert len(sizes) > 1 and sum(sizes) == 4000 and max(sizes) < 4000
     assert c.docs().count() == 4000
+
+
+def test_last_versions_are_picked_among_the_documents_a_batch_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("folioseek.plans.collection.SMALL_BYTES", 60)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        c = Collection(spark, str(tmp_path / "named"), SPEC, buckets=2)
+        c.append(rows(spark, [{"id": i, "text": f"word {i}"} for i in range(5)]))
+        c.append(rows(spark, [{"id": 3, "text": "other"}]))  # from here on not all rows of the log are live
+        c.delete(spark.createDataFrame([("4",)], "id string"))
+        ids = spark.createDataFrame([(str(i),) for i in (3, 4, *range(10, 30))], "docid string")
+        stored = c._stored(ids, 3)
+        assert "SortMergeJoin" not in stored._jdf.queryExecution().executedPlan().toString()
+        assert [(r.docid, r.doc.text) for r in stored.collect()] == [("3", "other")]
+        c.compact()
+        c.append(rows(spark, [{"id": 2, "text": "newer"}, {"id": 3, "text": "newer"}]))
+        c.delete(spark.createDataFrame([("3",)], "id string"))
+        ids = ids.unionByName(spark.createDataFrame([("1",), ("2",)], "docid string"))
+        want = [("1", "word 1"), ("2", "newer")]
+        for small in (60, 0, 1 << 20):  # named documents are few, many, and the batch itself is small
+            monkeypatch.setattr("folioseek.plans.collection.SMALL_BYTES", small)
+            assert sorted((r.docid, r.doc.text) for r in c._stored(ids, 5).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
