@@ -32,28 +32,21 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, max(coalesce(quality = 0 OR toxic = 1, quality = 0, toxic = 1)) AS bad FROM labels GROUP BY doc_id),
         known AS (SELECT id, tokens, bad FROM listed JOIN marks ON doc_id = page_id WHERE bad IS NOT NULL),
         needed AS (SELECT greatest(5, ceil(0.005 * count(*))) AS need FROM known),
-        single AS (
-            SELECT t, count(*) AS n, sum(bad::INT) AS blocked, list(k ORDER BY k) AS seen
-            FROM (SELECT k, bad, unnest(tokens) AS t FROM (SELECT *, row_number() OVER () AS k FROM known)) GROUP BY t),
-        items AS (SELECT t, min(t) OVER (PARTITION BY seen) AS item, n, blocked FROM single, needed WHERE blocked >= need),
-        baskets AS (
-            SELECT k, bad, list_distinct(list(item)) AS items
-            FROM (SELECT k, bad, unnest(tokens) AS t FROM (SELECT *, row_number() OVER () AS k FROM known)) JOIN items USING (t) GROUP BY k, bad),
+        held AS (
+            SELECT k, bad, unnest(tokens) AS t FROM (SELECT row_number() OVER () AS k, tokens, bad FROM known)),
+        often AS (SELECT t FROM held, needed GROUP BY t, need HAVING sum(bad::INT) >= need),
+        items AS (SELECT k, bad, t FROM held JOIN often USING (t)),
         grown AS (
             WITH RECURSIVE g AS (
-                SELECT [item] AS s, item AS last, k, bad, sum(bad::INT) OVER (PARTITION BY item) AS blocked, count(*) OVER (PARTITION BY item) AS m
-                FROM (SELECT k, bad, unnest(items) AS item FROM baskets)
+                SELECT [t] AS s, t AS last, k, bad, sum(bad::INT) OVER (PARTITION BY t) AS blocked, count(*) OVER (PARTITION BY t) AS m FROM items
                 UNION ALL
                 SELECT s, last, k, bad, blocked, m FROM (
                     SELECT s, last, k, bad, sum(bad::INT) OVER (PARTITION BY s) AS blocked, count(*) OVER (PARTITION BY s) AS m
-                    FROM (SELECT list_append(g.s, x.item) AS s, x.item AS last, g.k, g.bad
-                          FROM g JOIN (SELECT k, unnest(items) AS item FROM baskets) x ON x.k = g.k AND x.item > g.last
-                          WHERE g.blocked::DOUBLE / g.m < 0.6)), needed WHERE blocked >= need)
-            SELECT DISTINCT s FROM g WHERE blocked::DOUBLE / m >= 0.6),
-        rules AS (SELECT s FROM grown r WHERE NOT EXISTS (FROM grown o WHERE len(o.s) < len(r.s) AND list_has_all(r.s, o.s))),
-        pages_items AS (
-            SELECT id, list_distinct(list(item)) AS items FROM (SELECT id, unnest(tokens) AS t FROM listed WHERE rule IS NULL) JOIN items USING (t) GROUP BY id),
-        hits AS (SELECT id, count(s) AS mined FROM listed LEFT JOIN pages_items USING (id) LEFT JOIN rules ON list_has_all(items, s) GROUP BY id)
+                    FROM (SELECT list_append(g.s, x.t) AS s, x.t AS last, g.k, g.bad FROM g JOIN items x ON x.k = g.k AND x.t > g.last)), needed
+                WHERE blocked >= need)
+            SELECT DISTINCT s, blocked, m FROM g),
+        rules AS (SELECT s FROM grown WHERE blocked::DOUBLE / m >= 0.6),
+        hits AS (SELECT id, count(s) AS mined FROM listed LEFT JOIN rules ON rule IS NULL AND list_has_all(tokens, s) GROUP BY id)
         SELECT page_id, host, path, rule,
                CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR mined > 0 THEN 'block' ELSE 'allow' END AS verdict, mined
         FROM listed JOIN hits USING (id)

@@ -120,3 +120,34 @@ def test_long_rule_blocks_pages(spark):
         spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     ).collect()
     assert all(r.verdict == ("block" if r.page_id % 5 == 0 else "allow") for r in got)
+
+
+def test_every_rule_counts(spark):
+    import random
+
+    # a and b always stand together where there are labels, also as parts of longer rules; c is a rule alone, d and e only together.
+    rng = random.Random(3)
+    paths = ["a/b/c", "a/b", "a/b/d/e", "d", "e", "c/d", "c/d/e", "f"]
+    pages = [(i, paths[i % 8]) for i in range(160)] + [(200 + i, "/".join(rng.sample("abcdef", rng.randint(1, 6)))) for i in range(40)]
+    bad = lambda p: "c" in p or ("d" in p and "e" in p) or rng.random() < 0.3
+    labels = [(i, int(not bad(p)), 0) for i, p in pages[:160]]
+    frames = spark.createDataFrame([(i, f"x://h/{p}") for i, p in pages], "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.page_id: (r.verdict, r.mined) for r in filter_urls(*frames).collect()}
+
+    tokens = {i: frozenset(["s:x", "h:h", *(f"p:{x}" for x in p.split("/"))]) for i, p in pages}
+    known = [(tokens[i], quality == 0) for i, quality, _ in labels]
+    every = set()
+    for c in {c for t, _ in known for n in range(1, len(t) + 1) for c in combinations(sorted(t), n)}:
+        has = [b for t, b in known if set(c) <= t]
+        if sum(has) >= 5 and sum(has) / len(has) >= 0.6:
+            every.add(c)
+    want = {i: sum(set(c) <= t for c in every) for i, t in tokens.items()}
+    assert got == {i: ("block" if n else "allow", n) for i, n in want.items()} and max(want.values()) > 20
+
+
+def test_rules_beyond_a_long(spark):
+    long = "x://h/" + "/".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(70))
+    pages = [(i, long if i < 10 else "x://h/p" if i < 40 else "y://g/q") for i in range(50)]
+    labels = [(i, int(i >= 10), 0) for i in range(50)]
+    frames = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert all((r.verdict, r.mined) == (("block", 2**63 - 1) if r.page_id < 10 else ("allow", 0)) for r in filter_urls(*frames).collect())
