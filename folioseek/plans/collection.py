@@ -26,10 +26,10 @@ from pyspark.sql import types as T
 
 from ..operators import mutate
 from ..operators.block_maxima import block_tops, token_tops
-from ..operators.postings import GLOBAL, corpus_stats, doc_lengths, postings
+from ..operators.postings import GLOBAL, bulk_postings, corpus_stats, doc_lengths, postings
 from ..operators.report import batch_summary, report
 from ..operators.typed import accepted, typed_read
-from ..session import spread, staged
+from ..session import estimated_bytes, spread, staged
 from ..spec import IndexSpec
 from .search import SMALL_BYTES, Search, Tables, token_bucket
 
@@ -41,6 +41,9 @@ SEGMENT_TOKENS = 3_000_000
 LEAST_TOKENS = 250_000
 # Files of a layout up to which it is written as segments; beyond, postings are shuffled into buckets.
 MANY_FILES = 20_000
+# Inputs with at least this many bytes, as estimated, and documents with this many tokens are analysed in whole Arrow batches.
+MANY_BYTES = 32 << 20
+MANY_TOKENS = 20_000_000
 # Folders that a snapshot may take over as they are; with more, documents and postings are written anew into one.
 MOST_PARTS = 8
 # Smaller batches are not taken over: they are written together, so that a snapshot is made of few large folders.
@@ -318,8 +321,8 @@ class Collection:
         corpus = corpus.agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens"))
         return stats, corpus.select("n_docs", (F.col("tokens") / F.greatest("n_docs", F.lit(1))).alias("avg_dl"))
 
-    def _with_length(self, docs: DataFrame) -> DataFrame:
-        lengths = doc_lengths(docs.select("*", F.col("doc").alias("kept")), self.spec)
+    def _with_length(self, docs: DataFrame, many: bool = False) -> DataFrame:
+        lengths = doc_lengths(docs.select("*", F.col("doc").alias("kept")), self.spec, many)
         return lengths.withColumnRenamed("kept", "doc")
 
     def _write_postings(self, docs: DataFrame, path: str) -> None:
@@ -329,11 +332,14 @@ class Collection:
         tokens = tokens if self._alone else 2 * tokens  # posted under two scopes
         segments = max(1, -(-tokens // SEGMENT_TOKENS), min(cores, -(-tokens // LEAST_TOKENS)))
         segments = -(-segments // cores) * cores if segments > cores else segments
+        if MANY_FILES < segments * self.buckets <= 2 * MANY_FILES:  # up to twice as large rather than shuffled
+            segments = max(1, MANY_FILES // self.buckets)
         docs = docs.select("docid", "doc")
+        posted = bulk_postings if self._alone and tokens >= MANY_TOKENS else lambda docs, spec: postings(docs, spec, self._kept)
         if segments * self.buckets > MANY_FILES:
-            self._write_by_bucket(postings(docs, self.spec, self._kept), path)
+            self._write_by_bucket(posted(docs, self.spec), path)
         else:
-            self._write_by_bucket(postings(docs.repartition(segments, "docid"), self.spec, self._kept), path, segments=True)
+            self._write_by_bucket(posted(docs.repartition(segments, "docid"), self.spec), path, segments=True)
 
     def _write_by_bucket(self, rows: DataFrame, path: str, segments: bool = False) -> None:
         """One folder per token bucket, tokens in order inside each file; ``segments`` leaves the rows where they are.
@@ -492,7 +498,8 @@ class Collection:
         if not unique:
             good = mutate.latest(good.select("docid", "seq", "doc"))
         path = self._at("snap", "gen=0", "docs")
-        self._with_length(spread(good.select("docid", "doc"), "docid")).write.mode("overwrite").options(**PACKED).parquet(path)
+        many = estimated_bytes(good) >= MANY_BYTES
+        self._with_length(spread(good.select("docid", "doc"), "docid"), many).write.mode("overwrite").options(**PACKED).parquet(path)
         self._finish(0, -1, self._sources(None))
 
     def _finish(self, gen: int, upto: int, sources: DataFrame, parts: list[dict[str, str]] | None = None) -> None:

@@ -8,8 +8,9 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import block_maxima
+from ..operators import block_maxima, by_document
 from ..operators import filters as flt
 from ..operators import paging, project, proximity, retrieve, sorting, survivors
 from ..operators.postings import GLOBAL, token_stats
@@ -25,6 +26,10 @@ FEW_ROWS = 200_000
 # Postings to score above which a page by relevance is found through block maxima: its steps are jobs of
 # their own, which small batches do not pay for.
 MANY_HITS = 50_000_000
+# Postings to score above which queries that share their words are scored document by document, with the queries' weights in
+# each task, and for how many queries a posting is asked on average at least.
+MANY_SHARED = 50_000_000
+SHARED_BY = 4
 # Tokens listed in a scan predicate at most.
 LISTED_TOKENS = 1_000
 
@@ -235,11 +240,34 @@ class Search:
 
     # -- pages ------------------------------------------------------------------------
 
+    @cached_property
+    def _plain_top(self) -> bool:
+        """Whether the page is the best of should words alone."""
+        plain = self.predicate is None and self.max_proximity is None and self._only_should
+        return plain and block_maxima.first_by_score(self.keys)
+
+    @cached_property
+    def shared(self) -> DataFrame | None:
+        """The page's matches without most others, where many queries ask for the same postings."""
+        qid = self.queries.schema["qid"]
+        if not self._plain_top or isinstance(qid.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
+            return None
+        rows = self._weighted.filter("df > 0").select("qid", "scope", "token", "weight", "df")
+        each = rows.groupBy("scope", "token").agg(F.first("df").alias("df"), F.count(F.lit(1)).alias("n"))
+        total = each.agg(F.sum("n").alias("rows"), F.sum(F.col("df") * F.col("n")).alias("hits"), F.sum("df").alias("postings")).first()
+        many = (total.hits or 0) >= MANY_SHARED and total.hits >= SHARED_BY * total.postings
+        if not many or total.rows > FEW_ROWS:
+            return None
+        asked = rows.drop("df").toArrow()
+        if len(asked.column("qid").unique()) * self.page_args.end > FEW_ROWS:
+            return None
+        posted = self.postings.select("scope", "token", "docid", "tf", "dl")
+        return by_document.top_by_document(asked, qid, posted, self._corpus[1], self.page_args.end)
+
     @cached_property
     def leaders(self) -> block_maxima.TopShould | None:
         """The page's matches without the others, where the page is by relevance and much would be scored."""
-        plain = self.predicate is None and self.max_proximity is None and self._only_should
-        if self.tables.blocks is None or not plain or not block_maxima.first_by_score(self.keys):
+        if self.tables.blocks is None or not self._plain_top:
             return None
         if (self._weighted.agg(F.sum("df")).first()[0] or 0) < MANY_HITS:
             return None
@@ -251,7 +279,10 @@ class Search:
         )
 
     def _match_page(self) -> DataFrame:
-        matches = self.matches if self.leaders is None else self.leaders.found
+        if self.shared is not None:
+            matches = self.shared
+        else:
+            matches = self.matches if self.leaders is None else self.leaders.found
         top = paging.top_per_group(matches, ["qid"], self._order, self.page_args.end)
         return top.filter(F.col("rank") > self.page_args.offset).select("qid", "docid", "rank", "score")
 
