@@ -29,7 +29,7 @@ from ..operators.block_maxima import block_tops, token_tops
 from ..operators.postings import GLOBAL, bulk_postings, corpus_stats, doc_lengths, postings
 from ..operators.report import batch_summary, report
 from ..operators.typed import accepted, typed_read
-from ..session import estimated_bytes, spread, staged
+from ..session import estimated_bytes, small_batches, spread, staged
 from ..spec import IndexSpec
 from .search import SMALL_BYTES, Search, Tables, token_bucket
 
@@ -336,10 +336,11 @@ class Collection:
             segments = max(1, MANY_FILES // self.buckets)
         docs = docs.select("docid", "doc")
         posted = bulk_postings if self._alone and tokens >= MANY_TOKENS else lambda docs, spec: postings(docs, spec, self._kept)
-        if segments * self.buckets > MANY_FILES:
-            self._write_by_bucket(posted(docs, self.spec), path)
-        else:
-            self._write_by_bucket(posted(docs.repartition(segments, "docid"), self.spec), path, segments=True)
+        with small_batches(self.spark):
+            if segments * self.buckets > MANY_FILES:
+                self._write_by_bucket(posted(docs, self.spec), path)
+            else:
+                self._write_by_bucket(posted(docs.repartition(segments, "docid"), self.spec), path, segments=True)
 
     def _write_by_bucket(self, rows: DataFrame, path: str, segments: bool = False) -> None:
         """One folder per token bucket, tokens in order inside each file; ``segments`` leaves the rows where they are.
@@ -499,7 +500,8 @@ class Collection:
             good = mutate.latest(good.select("docid", "seq", "doc"))
         path = self._at("snap", "gen=0", "docs")
         many = estimated_bytes(good) >= MANY_BYTES
-        self._with_length(spread(good.select("docid", "doc"), "docid"), many).write.mode("overwrite").options(**PACKED).parquet(path)
+        with small_batches(self.spark):
+            self._with_length(spread(good.select("docid", "doc"), "docid"), many).write.mode("overwrite").options(**PACKED).parquet(path)
         self._finish(0, -1, self._sources(None))
 
     def _finish(self, gen: int, upto: int, sources: DataFrame, parts: list[dict[str, str]] | None = None) -> None:
